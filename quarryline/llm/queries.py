@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exactdedup
+from . import exactdedup, packing, simhash
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op3_simhash": simhash.op3_simhash,
     "op10_exact_dedup": exactdedup.op10_exact_dedup,
 }
 SQL = {
