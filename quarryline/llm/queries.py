@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exactdedup, packing, simhash
+from . import exactdedup, linededup, mixing, packing, sharding, simhash
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op3_simhash": simhash.op3_simhash,
+    "op4_mixing": mixing.op4_mixing,
+    "op6_line_dedup": linededup.op6_line_dedup,
+    "op9_sharding": sharding.op9_sharding,
     "op10_exact_dedup": exactdedup.op10_exact_dedup,
 }
 SQL = {
+    "op6_line_dedup": linededup.SQL,
     "op10_exact_dedup": exactdedup.SQL,
 }
