@@ -3,7 +3,8 @@
 With DataFrame functions only. Each shingle of five words is hashed once; the leading bits choose one of BINS bins and
 the least hash of a bin is its value. An empty bin takes the value of the first bin with one in a pseudo-random order
 of its own, the same for all documents (a universal hash of the bin and the attempt, then of the bin and the place).
-Of each value the BITS low-order bits are kept, as one hex digit of the fingerprint. Two fingerprints' likeness is the
+Of each value, hashed with its bin so that bins filled by one value do not agree by one chance,
+the BITS low-order bits are kept, as one hex digit of the fingerprint. Two fingerprints' likeness is the
 share of equal digits with the part that agrees by chance (2 ** -BITS) taken out.
 """
 
@@ -62,8 +63,8 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
             c = c.when(~empty(at(b, t)), at(b, t))
         return c.otherwise(last(b))
 
-    digit = lambda v: F.substring(F.lit("0123456789abcdef"), (v.bitwiseAND(F.lit((1 << BITS) - 1)) + 1).cast("int"), F.lit(1))
-    digits = F.array_join(F.transform("_d", lambda v, b: digit(filled(v, b))), "")
+    digit = lambda v, b: F.substring(F.lit("0123456789abcdef"), (F.xxhash64(v, b).bitwiseAND(F.lit((1 << BITS) - 1)) + 1).cast("int"), F.lit(1))
+    digits = F.array_join(F.transform("_d", lambda v, b: digit(filled(v, b), b)), "")
     return df.withColumn(out, F.when(F.size("_full") == 0, F.repeat(F.lit("0"), BINS)).otherwise(digits)).drop("_w", "_h", "_d", "_full")
 
 
