@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exactdedup, fingerprint, linededup, mixing, packing, sharding, simhash
+from . import exactdedup, fingerprint, linededup, mixing, packing, sharding, simhash, substring, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_packing": packing.op2_packing,
     "op3_simhash": simhash.op3_simhash,
     "op4_mixing": mixing.op4_mixing,
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_line_dedup": linededup.op6_line_dedup,
+    "op7_substring_dedup": substring.op7_substring_dedup,
     "op9_sharding": sharding.op9_sharding,
     "op10_exact_dedup": exactdedup.op10_exact_dedup,
 }
