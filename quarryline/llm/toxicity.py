@@ -21,7 +21,7 @@ WINDOW, STRIDE = 32, 24
 WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 13, 1 << 12, 12, 8, 8, 8
 #: The training sample: so many labelled documents of each class at most, none of over MOST_CHARS.
 SAMPLE_EACH, MOST_CHARS = 2048, 1 << 14
-EPOCHS, BATCH, RATE, SEED = 8, 128, 4e-3, 7
+EPOCHS, STEPS, MOST_EPOCHS, BATCH, RATE, SEED = 8, 500, 60, 128, 4e-3, 7  # at least EPOCHS, or as many as make STEPS
 TRIGRAMS = 14
 CACHE_MOST = 1 << 18
 _PUNCTUATION = "\"'`.,;:!?()[]{}<>*%$&#@+=|/\\~^_-"
@@ -165,8 +165,8 @@ class Network:
         for x, y in zip(each, labels, strict=True):
             seen[y, np.unique(words[x])] += 1
         odds = np.log((seen[1] + 0.5) / (labels.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - labels).sum() + 1))
-        odds[seen.sum(0) < 4] = 0
-        self.p["word"][:, 0] = np.clip(odds, -2, 4) / 2
+        odds[seen.sum(0) < 3] = 0
+        self.p["word"][:, 0] = np.clip(odds, -2, 6) / 2
         self.p["word"][0], self.p["char"][0] = 0, 0
         score = self.p["word"][words[ids], 0].max(1)
         r = np.random.default_rng(SEED)
@@ -174,7 +174,8 @@ class Network:
         step = 0
         ends = np.cumsum([len(x) for x in each])
         weight = np.where(labels == 1, np.sqrt((1 - labels).sum() / labels.sum()), 1.0).astype(np.float32)
-        for epoch in range(EPOCHS):
+        a_round = -(-(len(each) + int((labels == 0).sum())) // BATCH)
+        for epoch in range(max(EPOCHS, min(MOST_EPOCHS, -(-STEPS // a_round)))):
             if epoch:
                 table = self.project(words, chars)
                 score = np.concatenate([self.forward(table, ids[i : i + 4096]) for i in range(0, len(ids), 4096)])
