@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdedup, fingerprint, linededup, mixing, packing, sharding, simhash, substring, toxicity
+from . import exactdedup, fingerprint, linededup, lm, mixing, packing, sharding, simhash, substring, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_substring_dedup": substring.op7_substring_dedup,
+    "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_sharding": sharding.op9_sharding,
     "op10_exact_dedup": exactdedup.op10_exact_dedup,
 }
