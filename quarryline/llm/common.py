@@ -62,8 +62,13 @@ def discard(*tables: DataFrame) -> None:
     """Removes written tables that nothing reads any more, and lets Spark drop its shuffle files."""
     for t in tables:
         _remove(t.sparkSession, t._scratch)
+    release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of plans that nothing refers to any more."""
     gc.collect()
-    tables[0].sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def source_key(source: str | Column) -> Column:

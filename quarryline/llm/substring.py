@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ready, salted_join, written
+from .common import discard, ready, release, written
 
 WINDOW = 20
 #: Words whose windows meet in one hash range, about; ranges are a power of two.
@@ -61,8 +61,25 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
 
 
+def by_range(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows in the order of (range, place); the ranges that occur, and where each begins in that order."""
+    top = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    order = np.argsort(top, kind="stable")
+    top = top[order]
+    cut = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])[: len(top)]
+    return order, top[cut], cut
+
+
+def _sliced(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    b, n = values.tobytes(), values.itemsize
+    ends = [*cut[1:].tolist(), len(values)]
+    return [b[n * x : n * y] for x, y in zip(cut.tolist(), ends, strict=True)]
+
+
 def _probes(texts: DataFrame, block: int, bits: int) -> DataFrame:
-    """range, doc_id, place (of windows, packed), low (32 further bits of each window's hash, packed)."""
+    """range, doc_id, low, nth, in two kinds of rows: the 32 bits after the range of all of a document's windows that
+    fall into the range, in the order of places (nth null); and those of its indexed blocks, with their numbers in
+    that order. A place is known by its number, which the document's text gives back."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -71,118 +88,152 @@ def _probes(texts: DataFrame, block: int, bits: int) -> DataFrame:
                 h = rolling(word_hashes(t.encode().split()), block, _MUL[0])
                 if not len(h):
                     continue
-                top = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
-                order = np.argsort(top, kind="stable").astype(np.int32)
-                low = h.astype(np.uint32)[order]
-                top = top[order]
-                cut = np.flatnonzero(np.r_[True, top[1:] != top[:-1]])
-                ends = np.r_[cut[1:], len(top)]
-                p, q = order.tobytes(), low.tobytes()
-                out[0].extend(top[cut].tolist())
-                out[1].extend([doc] * len(cut))
-                out[2].extend(p[4 * a : 4 * b] for a, b in zip(cut.tolist(), ends.tolist(), strict=True))
-                out[3].extend(q[4 * a : 4 * b] for a, b in zip(cut.tolist(), ends.tolist(), strict=True))
-            yield pd.DataFrame({"range": out[0], "doc_id": pd.array(out[1], "Int64"), "place": out[2], "low": out[3]})
-
-    return texts.mapInPandas(run, "range int, doc_id long, place binary, low binary")
+                order, ranges, cut = by_range(h, bits)
+                low = (h >> np.uint64(32 - bits)).astype(np.uint32)[order]
+                nth = (np.arange(len(h)) - np.repeat(cut, np.diff(np.r_[cut, len(h)]))).astype(np.int32)
+                at = np.flatnonzero(order % block == 0)
+                of = np.searchsorted(cut, at, side="right") - 1  # the range of each indexed block
+                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                out[0].extend(ranges.tolist() + ranges[of[first]].tolist())
+                out[1].extend([doc] * (len(cut) + len(first)))
+                out[2].extend(_sliced(low, cut) + _sliced(low[at], first))
+                out[3].extend([None] * len(cut) + _sliced(nth[at], first))
+            yield pd.DataFrame({"range": out[0], "doc_id": out[1], "low": out[2], "nth": out[3]})
 
+    return texts.mapInPandas(run, "range int, doc_id long, low binary, nth binary")
 
-def _unpacked(f: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    n = (f["low"].str.len() // 4).to_numpy(np.int64)
-    doc = np.repeat(f["doc_id"].fillna(-(1 << 63)).to_numpy(np.int64), n)
-    rng = np.repeat(f["range"].to_numpy(np.int64), n)
-    return (rng << 32) | np.frombuffer(b"".join(f["low"]), np.uint32), doc, np.frombuffer(b"".join(f["place"]), np.int32)
 
-
-def hits(docs_texts: DataFrame, block: int, bits: int) -> DataFrame:
-    """doc_id, places of anchor hits, in packed parts."""
+def hits(texts: DataFrame, block: int, bits: int) -> DataFrame:
+    """range, doc_id, nth (packed): windows that equal an indexed block of another place, and blocks that a window
+    elsewhere equals. Each range's index comes first and is kept, without its repeats; probes are read as they come."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
         state: dict = {}
 
-        def rows(d: np.ndarray, p: np.ndarray) -> pd.DataFrame:
-            order = np.argsort(d, kind="stable")
-            d, p = d[order], p[order].astype(np.int32)
-            cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])[: len(d)]
-            ends = np.r_[cut[1:], len(d)]
-            b = p.tobytes()
-            return pd.DataFrame({"doc_id": d[cut], "places": [b[4 * x : 4 * y] for x, y in zip(cut.tolist(), ends.tolist(), strict=True)]})
+        def rows(k: np.ndarray, d: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+            r = k >> 32
+            order = np.lexsort((n, d, r))
+            r, d, n = r[order], d[order], n[order].astype(np.int32)
+            cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (r[1:] != r[:-1])])[: len(d)]
+            return pd.DataFrame({"range": r[cut], "doc_id": d[cut], "nth": _sliced(n, cut)})
 
-        def probe(k: np.ndarray, d: np.ndarray, p: np.ndarray) -> pd.DataFrame | None:
+        def probe(k: np.ndarray, d: np.ndarray, n: np.ndarray) -> pd.DataFrame | None:
             if not state:
-                a, b, c = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (k[:0], d[:0], p[:0])
+                a, b, c = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (k[:0], d[:0], n[:0])
                 held.clear()
-                key, first, n = np.unique(a, return_index=True, return_counts=True)
-                state.update(key=key, doc=b[first], place=c[first], many=n > 1, hit=np.zeros(len(key), bool))
+                key, first, times = np.unique(a, return_index=True, return_counts=True)
+                state.update(key=key, doc=b[first], nth=c[first], many=times > 1, hit=np.zeros(len(key), bool))
             key, many = state["key"], state["many"]
             if not len(key):
                 return None
             at = np.minimum(np.searchsorted(key, k), len(key) - 1)
-            other = (key[at] == k) & (many[at] | (state["doc"][at] != d) | (state["place"][at] != p))
+            other = (key[at] == k) & (many[at] | (state["doc"][at] != d) | (state["nth"][at] != n))
             state["hit"][at[other]] = True
-            return rows(d[other], p[other]) if other.any() else None
+            return rows(k[other], d[other], n[other]) if other.any() else None
 
         for f in frames:
-            k, d, p = _unpacked(f)
-            anchor = np.repeat(f["anchor"].to_numpy(bool), (f["low"].str.len() // 4).to_numpy(np.int64))
-            if anchor.any():
-                held.append((k[anchor], d[anchor], p[anchor]))
-            if not anchor.all():
-                out = probe(k[~anchor], d[~anchor], p[~anchor])
+            anchor = f["nth"].notna().to_numpy()
+            for g, is_anchor in ((f[anchor], True), (f[~anchor], False)):
+                if not len(g):
+                    continue
+                n = (g["low"].str.len() // 4).to_numpy(np.int64)
+                k = np.repeat(g["range"].to_numpy(np.int64), n) << 32 | np.frombuffer(b"".join(g["low"]), np.uint32)
+                d = np.repeat(g["doc_id"].to_numpy(np.int64), n)
+                if is_anchor:
+                    held.append((k, d, np.frombuffer(b"".join(g["nth"]), np.int32)))
+                    continue
+                out = probe(k, d, (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32))
                 if out is not None:
                     yield out
         if state:
             alone = state["hit"] & ~state["many"]
             if alone.any():
-                yield rows(state["doc"][alone], state["place"][alone])
-
-    def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            p = [np.frombuffer(x, np.int32) for x in f["place"]]
-            at = [np.flatnonzero(x % block == 0) for x in p]
-            low = [np.frombuffer(x, np.uint32)[i].tobytes() for x, i in zip(f["low"], at, strict=True)]
-            g = pd.DataFrame({"range": f["range"], "doc_id": f["doc_id"], "place": [x[i].tobytes() for x, i in zip(p, at, strict=True)], "low": low, "anchor": True})
-            yield pd.concat([g[[len(i) > 0 for i in at]], f.assign(anchor=False)])
+                yield rows(state["key"][alone], state["doc"][alone], state["nth"][alone])
 
-    kinds = "range int, doc_id long, place binary, low binary, anchor boolean"
-    both = _probes(docs_texts, block, bits).mapInPandas(anchors, kinds)
-    dealt = both.repartition(1 << bits, "range") if bits else both.repartition(1)
-    return dealt.sortWithinPartitions(F.desc("anchor")).mapInPandas(run, "doc_id long, places binary")
+    dealt = _probes(texts, block, bits).repartition(1 << bits, "range")
+    return dealt.sortWithinPartitions(F.col("nth").isNull()).mapInPandas(run, "range int, doc_id long, nth binary")
 
 
-def _around(texts: DataFrame, found: DataFrame, window: int, block: int) -> DataFrame:
-    """w1, w2 (128 bits of the words' hash), doc_id, start of each window that holds an anchor hit."""
+def _around(texts: DataFrame, found: DataFrame, window: int, block: int, bits: int) -> DataFrame:
+    """range, doc_id, keys, starts (packed): the windows that hold an anchor hit, by the range of one hash of their
+    words, with 64 bits of another as the key."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def table(parts: list[tuple]) -> pd.DataFrame:
-            w1, w2, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            return pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "doc_id": doc, "start": start})
-
         for f in frames:
-            parts: list[tuple] = []
-            size = 0
-            for doc, t, places in zip(f["doc_id"], f["t"], f["places"], strict=True):
+            out: tuple[list, ...] = ([], [], [], [])
+            for doc, t, nths in zip(f["doc_id"], f["t"], f["nths"], strict=True):
                 h = word_hashes(t.encode().split())
                 n = len(h) - window + 1
                 if n <= 0:
                     continue
-                p = np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in places]))
-                p = p[p <= len(h) - block]
+                order, ranges, cut = by_range(rolling(h, block, _MUL[0]), bits)
+                begin = dict(zip(ranges.tolist(), cut.tolist(), strict=True))
+                at = [np.frombuffer(x["nth"], np.int32).astype(np.int64) + begin.get(x["range"], len(order)) for x in nths]
+                at = np.unique(np.concatenate(at))
+                p = order[at[at < len(order)]]
                 mark = np.zeros(n + 1, np.int32)
                 np.add.at(mark, np.maximum(0, np.minimum(p - (window - block), n)), 1)
                 np.add.at(mark, np.minimum(p + 1, n), -1)
                 at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                parts.append((rolling(h, window, _MUL[0])[at], rolling(h, window, _MUL[1])[at], np.full(len(at), doc, np.int64), at.astype(np.int32)))
-                size += len(at)
-                if size > 1 << 17:
-                    yield table(parts)
-                    parts, size = [], 0
-            if parts:
-                yield table(parts)
+                if not len(at):
+                    continue
+                order, ranges, cut = by_range(rolling(h, window, _MUL[1])[at], bits)
+                at = at[order]
+                out[0].extend(ranges.tolist())
+                out[1].extend([doc] * len(cut))
+                out[2].extend(_sliced(rolling(h, window, _MUL[0])[at], cut))
+                gaps = np.diff(at, prepend=0)
+                gaps[cut] = at[cut]
+                out[3].extend(_sliced(gaps.astype(np.uint16 if gaps.max() < 1 << 16 else np.uint32), cut))
+            yield pd.DataFrame({"range": out[0], "doc_id": out[1], "keys": out[2], "starts": out[3]})
+
+    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("range", "nth")).alias("nths"))
+    return texts.join(per_doc, "doc_id").mapInPandas(run, "range int, doc_id long, keys binary, starts binary")
+
+
+def later_windows(packed: DataFrame, bits: int, chunk: int = 1 << 19) -> DataFrame:
+    """doc_id, starts (packed): windows whose key came before in the order of documents and places. A range's task
+    reads them in that order and keeps each key's first place, however often a key occurs."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        seen, now = empty, None
+
+        def take(g: pd.DataFrame) -> pd.DataFrame:
+            nonlocal seen
+            n = (g["keys"].str.len() // 8).to_numpy(np.int64)
+            k = np.frombuffer(b"".join(g["keys"]), np.uint64)
+            d = np.repeat(g["doc_id"].to_numpy(np.int64), n)
+            s = np.concatenate([np.cumsum(np.frombuffer(x, np.uint16 if len(x) == 2 * m else np.uint32).astype(np.int64)) for x, m in zip(g["starts"], n.tolist(), strict=True)])
+            every = tuple(np.concatenate([a, b]) for a, b in zip(seen, (k, d, s), strict=True))
+            order = np.argsort(every[0], kind="stable")  # what was seen before stays in front
+            ks = every[0][order]
+            first = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]])
+            of = np.repeat(order[first], np.diff(np.r_[first, len(ks)]))
+            late = (order >= len(seen[0])) & ((every[1][order] != every[1][of]) | (every[2][order] != every[2][of]))
+            at = np.sort(order[late])
+            seen = tuple(x[order[first]] for x in every)
+            d, s = every[1][at], every[2][at].astype(np.int32)
+            cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])[: len(d)]
+            return pd.DataFrame({"doc_id": d[cut], "starts": _sliced(s, cut)})
+
+        held: list[pd.DataFrame] = []
+        size = 0
+        for f in frames:
+            for r, g in f.groupby("range", sort=False):
+                if held and (r != now or size >= chunk):
+                    yield take(pd.concat(held))
+                    held, size = [], 0
+                if r != now:
+                    seen, now = empty, r
+                held.append(g)
+                size += int(g["keys"].str.len().sum()) // 8
+        if held:
+            yield take(pd.concat(held))
 
-    per_doc = found.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    return texts.join(per_doc, "doc_id").mapInPandas(run, "w1 long, w2 long, doc_id long, start int")
+    dealt = packed.repartition(1 << bits, "range").sortWithinPartitions("range", "doc_id")
+    return dealt.mapInPandas(run, "doc_id long, starts binary")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,13 +241,12 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     texts = _texts(docs, id_col, text_col).where("doc_id is not null")
     block = (window + 1) // 2
     words = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] / 6
-    bits = max(0, min(24, int(words / WORDS_PER_RANGE).bit_length()))
+    bits = max(3, min(24, int(words / WORDS_PER_RANGE).bit_length()))
     found = written(hits(texts, block, bits), "hits")
-    near = written(_around(texts, found, window, block), "windows")
+    release(docs.sparkSession)
+    later = written(later_windows(_around(texts, found, window, block, bits), bits), "later")
     discard(found)
-    first = near.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
-    later = salted_join(near, first, ["w1", "w2"], "inner", "doc_id").where("doc_id <> first.doc_id or start <> first.start")
-    return later.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    return later.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,11 +254,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     A word goes if a window of `window` consecutive words of its document covers it whose word sequence also starts
     earlier: in a smaller doc_id, or in the same document before. Windows are judged on the input. Null and empty texts
-    have no words; rows without an id are left as they are. Rows of one id are taken as one text repeated: a window
-    that both hold is removed from neither by the other. Other columns are ignored; an empty table gives no rows.
+    have no words; rows without an id are left as they are. Rows of one id and one text count as one
+    document repeated (neither row's windows remove the other's); ids must be unique among different texts. Other columns are ignored; an empty table gives no rows.
     """
     ready(docs.sparkSession)
-    starts = written(repeats(docs, window, id_col, text_col), "repeats")
+    starts = repeats(docs, window, id_col, text_col)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -217,13 +267,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
                 words = t.encode().split()
                 spans: list[list[int]] = []
                 if s is not None:
-                    for x in s:
+                    for x in np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in s])).tolist():
                         if x + window > len(words):
                             continue
                         if spans and x <= spans[-1][1]:
-                            spans[-1][1] = int(x) + window
+                            spans[-1][1] = x + window
                         else:
-                            spans.append([int(x), int(x) + window])
+                            spans.append([x, x + window])
                 kept, at = [], 0
                 for a, b in spans:
                     kept.extend(words[at:a])
