@@ -331,25 +331,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 score = np.add.reduceat(logp + inside_word[ids], starts)
                 base = np.add.reduceat(base_word[ids], starts)
                 have = np.add.reduceat((ids < end).astype(np.int64), starts) + bool(ends)
-                row = part["row"].tolist()
-                ids_ = [None if d is None or d != d else int(d) for d in part["doc_id"]]
-                rows = [(r, d, None, 0, float(s), float(b), int(x), int(h)) for r, d, s, b, x, h in zip(row, ids_, score, base, n, have, strict=True)]
-                for r, w_, a, x in zip(row, words, starts, n, strict=True):
-                    mine = np.flatnonzero(ids[a : a + x - 1] > end)
-                    if len(mine):
-                        rows.extend((r, None, w.decode(), c, 0.0, 0.0, 0, 0) for w, c in Counter([w_[j] for j in mine]).items())
-                made = pd.DataFrame(rows, columns=["row", "doc_id", "word", "tf", "score", "base", "n", "known"])
+                row = part["row"].to_numpy(np.int64)
+                rare = np.flatnonzero(ids > end)
+                flat = [w for x in words for w in (*x, b"")]
+                more = pd.DataFrame({"row": np.repeat(row, n)[rare], "word": [flat[i].decode() for i in rare.tolist()]})
+                made = pd.DataFrame({"row": row, "doc_id": part["doc_id"].astype("Int64").to_numpy(), "score": score, "base": base, "n": n, "known": have})
+                made = pd.concat([made, more]).reindex(columns=["row", "doc_id", "word", "score", "base", "n", "known"])
+                made["n"], made["known"] = made["n"].astype("Int64"), made["known"].astype("Int64")
                 made["doc_id"] = made["doc_id"].astype("Int64")
                 yield made
 
     held = every.withColumn("row", F.monotonically_increasing_id())
-    parts = written(held.mapInPandas(run, "row long, doc_id long, word string, tf int, score double, base double, n long, known long"), "scored")
+    parts = written(held.mapInPandas(run, "row long, doc_id long, word string, score double, base double, n long, known long"), "scored")
     log_new = F.array(*[F.lit(float(x)) for x in np.log10(new)])
     log_known = F.array(*[F.lit(float(x)) for x in known])
     k = suffix_column(F.col("word")) + 1
     counts = vocabulary.where(F.col("c") <= int(table.counts[-1]) if len(table.words) else F.lit(True))  # words of the table need no join
-    rare = parts.where("word is not null").select("row", "word", "tf").join(counts, "word", "left")
-    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), (F.col("tf") * F.when(F.col("c").isNull(), F.element_at(log_new, k)).otherwise(F.log10("c") + F.element_at(log_known, k))).alias("score"), (F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"), F.lit(0).cast("long").alias("n"), F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0).cast("long").alias("known"))
+    rare = parts.where("word is not null").select("row", "word").join(counts, "word", "left")
+    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), (F.when(F.col("c").isNull(), F.element_at(log_new, k)).otherwise(F.log10("c") + F.element_at(log_known, k))).alias("score"), (F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"), F.lit(0).cast("long").alias("n"), F.when(F.col("c").isNotNull(), 1).otherwise(0).cast("long").alias("known"))
     sums = parts.where("word is null").select("row", "doc_id", "score", "base", "n", "known").union(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"))
     return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * float(np.log10(total + words + 1))).alias("base_score"), "score")
 

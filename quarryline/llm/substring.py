@@ -21,7 +21,7 @@ from .common import discard, ready, release, written
 
 WINDOW = 20
 #: Words whose windows meet in one hash range, about; ranges are a power of two.
-WORDS_PER_RANGE = 1 << 21
+WORDS_PER_RANGE = 1 << 23
 _MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _KNOWN_MOST = 1 << 18
 
@@ -76,35 +76,52 @@ def _sliced(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
     return [b[n * x : n * y] for x, y in zip(cut.tolist(), ends, strict=True)]
 
 
+def _grouped(ranges: np.ndarray, doc: np.ndarray, *values: np.ndarray) -> dict[str, list]:
+    """A row for each range: values, and the documents that they are of as runs, all packed. Keeps the order."""
+    order = np.argsort(ranges, kind="stable")
+    ranges, doc = ranges[order], doc[order]
+    cut = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])[: len(ranges)]
+    run = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (ranges[1:] != ranges[:-1])])[: len(ranges)]
+    of_range = np.searchsorted(run, cut)
+    out = {"range": ranges[cut].tolist(), "docs": _sliced(doc[run], of_range), "runs": _sliced(np.diff(np.r_[run, len(ranges)]).astype(np.int32), of_range)}
+    return out | {f"v{i}": _sliced(v[order], cut) for i, v in enumerate(values)}
+
+
+def _docs_of(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of packed rows: range and document of each value, and the value's number in its run."""
+    runs = np.frombuffer(b"".join(f["runs"]), np.int32).astype(np.int64)
+    docs = np.repeat(np.frombuffer(b"".join(f["docs"]), np.int64), runs)
+    per_row = [int(np.frombuffer(x, np.int32).sum()) for x in f["runs"]]
+    nth = np.arange(len(docs)) - np.repeat(np.cumsum(runs) - runs, runs)
+    return np.repeat(f["range"].to_numpy(np.int64), per_row), docs, nth
+
+
 def _probes(texts: DataFrame, block: int, bits: int) -> DataFrame:
-    """range, doc_id, low, nth, in two kinds of rows: the 32 bits after the range of all of a document's windows that
-    fall into the range, in the order of places (nth null); and those of its indexed blocks, with their numbers in
-    that order. A place is known by its number, which the document's text gives back."""
+    """range, docs, runs, v0, v1, in two kinds of rows, each of many documents: the 32 bits after the range of all
+    windows that fall into the range, in the order of documents and places (v1 null); and those of the indexed blocks,
+    with their numbers in their document's run. A place is known by that number, which the document's text gives back."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out: tuple[list, ...] = ([], [], [], [])
+            each: list[tuple[np.ndarray, ...]] = []
             for doc, t in zip(f["doc_id"], f["t"], strict=True):
                 h = rolling(word_hashes(t.encode().split()), block, _MUL[0])
-                if not len(h):
-                    continue
-                order, ranges, cut = by_range(h, bits)
-                low = (h >> np.uint64(32 - bits)).astype(np.uint32)[order]
-                nth = (np.arange(len(h)) - np.repeat(cut, np.diff(np.r_[cut, len(h)]))).astype(np.int32)
-                at = np.flatnonzero(order % block == 0)
-                of = np.searchsorted(cut, at, side="right") - 1  # the range of each indexed block
-                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-                out[0].extend(ranges.tolist() + ranges[of[first]].tolist())
-                out[1].extend([doc] * (len(cut) + len(first)))
-                out[2].extend(_sliced(low, cut) + _sliced(low[at], first))
-                out[3].extend([None] * len(cut) + _sliced(nth[at], first))
-            yield pd.DataFrame({"range": out[0], "doc_id": out[1], "low": out[2], "nth": out[3]})
+                if len(h):
+                    order, ranges, cut = by_range(h, bits)
+                    size = np.diff(np.r_[cut, len(h)])
+                    each.append((np.repeat(ranges, size), np.full(len(h), doc, np.int64), (h >> np.uint64(32 - bits)).astype(np.uint32)[order], (np.arange(len(h)) - np.repeat(cut, size)).astype(np.int32), order % block == 0))
+            if each:
+                ranges, doc, low, nth, anchor = (np.concatenate(x) for x in zip(*each, strict=True))
+                index = _grouped(ranges[anchor], doc[anchor], low[anchor], nth[anchor])
+                every = _grouped(ranges, doc, low)
+                yield pd.DataFrame(index)
+                yield pd.DataFrame(every | {"v1": [None] * len(every["range"])})
 
-    return texts.mapInPandas(run, "range int, doc_id long, low binary, nth binary")
+    return texts.mapInPandas(run, "range int, docs binary, runs binary, v0 binary, v1 binary")
 
 
 def hits(texts: DataFrame, block: int, bits: int) -> DataFrame:
-    """range, doc_id, nth (packed): windows that equal an indexed block of another place, and blocks that a window
+    """doc_id, range, nth (packed): windows that equal an indexed block of another place, and blocks that a window
     elsewhere equals. Each range's index comes first and is kept, without its repeats; probes are read as they come."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +133,7 @@ def hits(texts: DataFrame, block: int, bits: int) -> DataFrame:
             order = np.lexsort((n, d, r))
             r, d, n = r[order], d[order], n[order].astype(np.int32)
             cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (r[1:] != r[:-1])])[: len(d)]
-            return pd.DataFrame({"range": r[cut], "doc_id": d[cut], "nth": _sliced(n, cut)})
+            return pd.DataFrame({"doc_id": d[cut], "range": r[cut], "nth": _sliced(n, cut)})
 
         def probe(k: np.ndarray, d: np.ndarray, n: np.ndarray) -> pd.DataFrame | None:
             if not state:
@@ -128,40 +145,41 @@ def hits(texts: DataFrame, block: int, bits: int) -> DataFrame:
             if not len(key):
                 return None
             at = np.minimum(np.searchsorted(key, k), len(key) - 1)
-            other = (key[at] == k) & (many[at] | (state["doc"][at] != d) | (state["nth"][at] != n))
-            state["hit"][at[other]] = True
-            return rows(k[other], d[other], n[other]) if other.any() else None
+            same = np.flatnonzero(key[at] == k)
+            a = at[same]
+            same = same[many[a] | (state["doc"][a] != d[same]) | (state["nth"][a] != n[same])]
+            state["hit"][at[same]] = True
+            return rows(k[same], d[same], n[same]) if len(same) else None
 
         for f in frames:
-            anchor = f["nth"].notna().to_numpy()
+            anchor = f["v1"].notna().to_numpy()
             for g, is_anchor in ((f[anchor], True), (f[~anchor], False)):
-                if not len(g):
-                    continue
-                n = (g["low"].str.len() // 4).to_numpy(np.int64)
-                k = np.repeat(g["range"].to_numpy(np.int64), n) << 32 | np.frombuffer(b"".join(g["low"]), np.uint32)
-                d = np.repeat(g["doc_id"].to_numpy(np.int64), n)
-                if is_anchor:
-                    held.append((k, d, np.frombuffer(b"".join(g["nth"]), np.int32)))
-                    continue
-                out = probe(k, d, (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32))
-                if out is not None:
-                    yield out
+                for i in range(0, len(g), 50):
+                    part = g.iloc[i : i + 50]
+                    r, d, n = _docs_of(part)
+                    k = r << 32 | np.frombuffer(b"".join(part["v0"]), np.uint32)
+                    if is_anchor:
+                        held.append((k, d, np.frombuffer(b"".join(part["v1"]), np.int32)))
+                        continue
+                    out = probe(k, d, n)
+                    if out is not None:
+                        yield out
         if state:
             alone = state["hit"] & ~state["many"]
             if alone.any():
                 yield rows(state["key"][alone], state["doc"][alone], state["nth"][alone])
 
     dealt = _probes(texts, block, bits).repartition(1 << bits, "range")
-    return dealt.sortWithinPartitions(F.col("nth").isNull()).mapInPandas(run, "range int, doc_id long, nth binary")
+    return dealt.sortWithinPartitions(F.col("v1").isNull()).mapInPandas(run, "doc_id long, range int, nth binary")
 
 
 def _around(texts: DataFrame, found: DataFrame, window: int, block: int, bits: int) -> DataFrame:
-    """range, doc_id, keys, starts (packed): the windows that hold an anchor hit, by the range of one hash of their
-    words, with 64 bits of another as the key."""
+    """range, docs, runs, v0, v1: the windows that hold an anchor hit, by the range of one hash of their words, with 64
+    bits of another as the key, and their places."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out: tuple[list, ...] = ([], [], [], [])
+            each: list[tuple[np.ndarray, ...]] = []
             for doc, t, nths in zip(f["doc_id"], f["t"], f["nths"], strict=True):
                 h = word_hashes(t.encode().split())
                 n = len(h) - window + 1
@@ -170,70 +188,59 @@ def _around(texts: DataFrame, found: DataFrame, window: int, block: int, bits: i
                 order, ranges, cut = by_range(rolling(h, block, _MUL[0]), bits)
                 begin = dict(zip(ranges.tolist(), cut.tolist(), strict=True))
                 at = [np.frombuffer(x["nth"], np.int32).astype(np.int64) + begin.get(x["range"], len(order)) for x in nths]
-                at = np.unique(np.concatenate(at))
-                p = order[at[at < len(order)]]
+                at = np.concatenate(at)
+                p = np.sort(order[at[at < len(order)]])
+                p = p[np.r_[True, p[1:] != p[:-1]]] if len(p) else p
                 mark = np.zeros(n + 1, np.int32)
                 np.add.at(mark, np.maximum(0, np.minimum(p - (window - block), n)), 1)
                 np.add.at(mark, np.minimum(p + 1, n), -1)
                 at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-                if not len(at):
-                    continue
-                order, ranges, cut = by_range(rolling(h, window, _MUL[1])[at], bits)
-                at = at[order]
-                out[0].extend(ranges.tolist())
-                out[1].extend([doc] * len(cut))
-                out[2].extend(_sliced(rolling(h, window, _MUL[0])[at], cut))
-                gaps = np.diff(at, prepend=0)
-                gaps[cut] = at[cut]
-                out[3].extend(_sliced(gaps.astype(np.uint16 if gaps.max() < 1 << 16 else np.uint32), cut))
-            yield pd.DataFrame({"range": out[0], "doc_id": out[1], "keys": out[2], "starts": out[3]})
+                if len(at):
+                    top = rolling(h, window, _MUL[1])[at] >> np.uint64(64 - bits)
+                    each.append((top.astype(np.int64), np.full(len(at), doc, np.int64), rolling(h, window, _MUL[0])[at], at.astype(np.int32)))
+            if each:
+                yield pd.DataFrame(_grouped(*(np.concatenate(x) for x in zip(*each, strict=True))))
 
     per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("range", "nth")).alias("nths"))
-    return texts.join(per_doc, "doc_id").mapInPandas(run, "range int, doc_id long, keys binary, starts binary")
+    return texts.join(per_doc, "doc_id").mapInPandas(run, "range int, docs binary, runs binary, v0 binary, v1 binary")
 
 
 def later_windows(packed: DataFrame, bits: int, chunk: int = 1 << 19) -> DataFrame:
-    """doc_id, starts (packed): windows whose key came before in the order of documents and places. A range's task
-    reads them in that order and keeps each key's first place, however often a key occurs."""
+    """doc_id, starts (packed): windows whose key has an earlier place. A range's task keeps the first place of each
+    key so far, however often it occurs; a place that turns out later than another, or that another replaces, goes out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        seen, now = empty, None
-
-        def take(g: pd.DataFrame) -> pd.DataFrame:
-            nonlocal seen
-            n = (g["keys"].str.len() // 8).to_numpy(np.int64)
-            k = np.frombuffer(b"".join(g["keys"]), np.uint64)
-            d = np.repeat(g["doc_id"].to_numpy(np.int64), n)
-            s = np.concatenate([np.cumsum(np.frombuffer(x, np.uint16 if len(x) == 2 * m else np.uint32).astype(np.int64)) for x, m in zip(g["starts"], n.tolist(), strict=True)])
-            every = tuple(np.concatenate([a, b]) for a, b in zip(seen, (k, d, s), strict=True))
-            order = np.argsort(every[0], kind="stable")  # what was seen before stays in front
-            ks = every[0][order]
-            first = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]])
-            of = np.repeat(order[first], np.diff(np.r_[first, len(ks)]))
-            late = (order >= len(seen[0])) & ((every[1][order] != every[1][of]) | (every[2][order] != every[2][of]))
-            at = np.sort(order[late])
-            seen = tuple(x[order[first]] for x in every)
-            d, s = every[1][at], every[2][at].astype(np.int32)
+        seen: dict[int, tuple[np.ndarray, ...]] = {}
+
+        def take(r: int, parts: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+            k, d, s = (np.concatenate(x) for x in zip(*([seen[r]] if r in seen else []), *parts, strict=True))
+            order = np.lexsort((s, d, k))
+            k, d, s = k[order], d[order], s[order]
+            new = np.r_[True, k[1:] != k[:-1]]
+            first = np.flatnonzero(new)
+            of = np.repeat(first, np.diff(np.r_[first, len(k)]))
+            late = (d != d[of]) | (s != s[of])
+            seen[r] = (k[first], d[first], s[first])
+            d, s = d[late], s[late]
+            order = np.lexsort((s, d))
+            d, s = d[order], s[order]
             cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])[: len(d)]
             return pd.DataFrame({"doc_id": d[cut], "starts": _sliced(s, cut)})
 
-        held: list[pd.DataFrame] = []
-        size = 0
+        held: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        size: dict[int, int] = {}
         for f in frames:
             for r, g in f.groupby("range", sort=False):
-                if held and (r != now or size >= chunk):
-                    yield take(pd.concat(held))
-                    held, size = [], 0
-                if r != now:
-                    seen, now = empty, r
-                held.append(g)
-                size += int(g["keys"].str.len().sum()) // 8
-        if held:
-            yield take(pd.concat(held))
+                _, d, _ = _docs_of(g)
+                held.setdefault(r, []).append((np.frombuffer(b"".join(g["v0"]), np.uint64), d, np.frombuffer(b"".join(g["v1"]), np.int32)))
+                size[r] = size.get(r, 0) + len(d)
+                if size[r] >= chunk:
+                    yield take(r, held.pop(r))
+                    size[r] = 0
+        for r, parts in held.items():
+            yield take(r, parts)
 
-    dealt = packed.repartition(1 << bits, "range").sortWithinPartitions("range", "doc_id")
-    return dealt.mapInPandas(run, "doc_id long, starts binary")
+    return packed.repartition(1 << bits, "range").mapInPandas(run, "doc_id long, starts binary")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -241,7 +248,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     texts = _texts(docs, id_col, text_col).where("doc_id is not null")
     block = (window + 1) // 2
     words = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] / 6
-    bits = max(3, min(24, int(words / WORDS_PER_RANGE).bit_length()))
+    bits = max(4, min(24, int(words / WORDS_PER_RANGE).bit_length()))
     found = written(hits(texts, block, bits), "hits")
     release(docs.sparkSession)
     later = written(later_windows(_around(texts, found, window, block, bits), bits), "later")
