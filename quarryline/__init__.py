@@ -1,0 +1 @@
+"""Quarryline: text-corpus analytics on Spark DataFrames."""
