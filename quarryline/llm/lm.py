@@ -334,11 +334,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 row = part["row"].to_numpy(np.int64)
                 rare = np.flatnonzero(ids > end)
                 flat = [w for x in words for w in (*x, b"")]
-                more = pd.DataFrame({"row": np.repeat(row, n)[rare], "word": [flat[i].decode() for i in rare.tolist()]})
-                made = pd.DataFrame({"row": row, "doc_id": part["doc_id"].astype("Int64").to_numpy(), "score": score, "base": base, "n": n, "known": have})
-                made = pd.concat([made, more]).reindex(columns=["row", "doc_id", "word", "score", "base", "n", "known"])
-                made["n"], made["known"] = made["n"].astype("Int64"), made["known"].astype("Int64")
-                made["doc_id"] = made["doc_id"].astype("Int64")
+                none = [None] * len(rare)
+                made = pd.DataFrame({"row": np.concatenate([row, np.repeat(row, n)[rare]])})
+                made["doc_id"] = pd.array([*(None if d is None or d != d else int(d) for d in part["doc_id"]), *none], "Int64")
+                made["word"] = pd.Series([*[None] * len(row), *(flat[i].decode() for i in rare.tolist())], dtype=object)
+                made["score"], made["base"] = np.r_[score, np.zeros(len(rare))], np.r_[base, np.zeros(len(rare))]
+                made["n"], made["known"] = np.r_[n, np.zeros(len(rare), np.int64)], np.r_[have, np.zeros(len(rare), np.int64)]
                 yield made
 
     held = every.withColumn("row", F.monotonically_increasing_id())
