@@ -120,7 +120,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, weights: dict[str, fl
             yield made if with_ids else made.drop(columns="ids")
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_to int" + ", ids binary" * with_ids
-    return tokens.select("row", "doc_id", "n", "ids").join(plan, "row").mapInPandas(cut, kinds)
+    # The plan has a row for each document, so the join is a merge at every size, never a broadcast.
+    return tokens.select("row", "doc_id", "n", "ids").join(plan.hint("merge"), "row").mapInPandas(cut, kinds)
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
