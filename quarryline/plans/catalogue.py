@@ -198,12 +198,12 @@ def bm25_topk(t):
     return _bm25(t)
 
 
-_DENSE = "e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v, label from embeddings), n0 as (select a.vec_id as query_id, b.vec_id as row_id, a.label as q_label, b.label, round(list_dot_product(a.v, b.v), 6) as score from e a, e b where a.vec_id % 50 = 0), n as (select *, row_number() over (partition by query_id order by score desc, row_id) as rank from n0 qualify rank <= 20)"
+_DENSE = "e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v, label from embeddings), n0 as (select a.vec_id as query_id, b.vec_id as row_id, a.label as q_label, b.label, round(list_dot_product(a.v, b.v), 6) as score from e a, e b where a.vec_id % 20 = 0), n as (select *, row_number() over (partition by query_id order by score desc, row_id) as rank from n0 qualify rank <= 20)"
 
 
 def _dense(t, k=20):
     e = t("embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return R.dense_top(q, e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("v")), k)
 
 
@@ -223,21 +223,21 @@ def dense_label_gold(t):
 def ann_overlap(t):
     """Exact top 10 against a probe of the query's own partition."""
     e = t("embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
     near = q.join(e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("v"), "label"), "label")
     near = R.top(near.select("query_id", "row_id", F.round(X.dot(F.col("q"), F.col("v")), 6).alias("score")), ["query_id"], [F.desc("score"), "row_id"], 10).select("query_id", "row_id", F.lit(1).alias("found"))
     both = _dense(t, 10).join(near, ["query_id", "row_id"], "left")
     return both.groupBy("query_id").agg(F.count("found").alias("common"), F.round(F.count("found") / 10.0, 6).alias("recall"))
 
 
-_RUNS = f"{_TERMS}, {_DENSE.replace(' n as', ' dn as').replace('from n0', 'from n0')}, r as (select query_id, 0 as variant, 'bm25' as lane, 1 as lane_order, 1.0 as weight, rank, row_id, score from b union all select m.item_id, 0, 'dense', 0, 0.82, dn.rank, dn.row_id, dn.score from dn join (select item_id, row_number() over (order by item_id) - 1 as i from benchmark) m on dn.query_id = m.i * 50), fu as (select query_id, row_id, round(sum(weight / (60 + rank)), 9) as rrf_score, min(variant * 1000000 + lane_order * 1000 + rank) as f, max(score) filter (lane = 'dense') as best_dense, max(score) filter (lane = 'bm25') as best_bm25, array_to_string(list_sort(list(lane || ':q' || variant || '@' || rank)), ',') as hits from r group by all), ff as (select * exclude (f), row_number() over (partition by query_id order by rrf_score desc, f, row_id) as rank from fu qualify rank <= 20)"
+_RUNS = f"{_TERMS}, {_DENSE.replace(' n as', ' dn as').replace('from n0', 'from n0')}, r as (select query_id, 0 as variant, 'bm25' as lane, 1 as lane_order, 1.0 as weight, rank, row_id, score from b union all select m.item_id, 0, 'dense', 0, 0.82, dn.rank, dn.row_id, dn.score from dn join (select item_id, row_number() over (order by item_id) - 1 as i from benchmark) m on dn.query_id = m.i * 20), fu as (select query_id, row_id, round(sum(weight / (60 + rank)), 9) as rrf_score, min(variant * 1000000 + lane_order * 1000 + rank) as f, max(score) filter (lane = 'dense') as best_dense, max(score) filter (lane = 'bm25') as best_bm25, array_to_string(list_sort(list(lane || ':q' || variant || '@' || rank)), ',') as hits from r group by all), ff as (select * exclude (f), row_number() over (partition by query_id order by rrf_score desc, f, row_id) as rank from fu qualify rank <= 20)"
 
 
 def _fused(t):
     cols = ["query_id", F.lit(0).alias("variant"), "lane", "lane_order", "weight", "rank", "row_id", "score"]
     lex = _bm25(t).withColumns({"lane": F.lit("bm25"), "lane_order": F.lit(1), "weight": F.lit(1.0)}).select(*cols)
     pair = t("benchmark").select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("i"))  # the queries, few
-    den = _dense(t).join(pair, F.col("query_id") == F.col("i") * 50).drop("query_id").withColumnRenamed("item_id", "query_id")
+    den = _dense(t).join(pair, F.col("query_id") == F.col("i") * 20).drop("query_id").withColumnRenamed("item_id", "query_id")
     den = den.withColumns({"lane": F.lit("dense"), "lane_order": F.lit(0), "weight": F.lit(0.82)}).select(*cols)
     return R.fused(lex.unionByName(den), 20)
 
@@ -320,21 +320,30 @@ def label_breakdown(t):
     return j.groupingSets([[], ["quality"], ["toxic"], ["quality", "toxic"]], "quality", "toxic").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 6).alias("mean_chars")).select("quality", "toxic", "n", "mean_chars")
 
 
-@query("""with a as (select doc_id, lower(text[:400]) as x, lower(text[200:700]) as y from documents where doc_id % 2 = 0), ta as (select doc_id, t, count(*) as n from (select doc_id, unnest(regexp_extract_all(x, '[\\p{L}\\p{N}]+')) as t from a) group by all), tb as (select doc_id, t, count(*) as n from (select doc_id, unnest(regexp_extract_all(y, '[\\p{L}\\p{N}]+')) as t from a) group by all), c as (select doc_id, sum(least(ta.n, tb.n)) as c from ta join tb using (doc_id, t) group by 1), z as (select doc_id, len(regexp_extract_all(x, '[\\p{L}\\p{N}]+')) as n, len(regexp_extract_all(y, '[\\p{L}\\p{N}]+')) as m, coalesce(c, 0) as c from a left join c using (doc_id))
-select doc_id, case when n = 0 and m = 0 then 1.0 when n = 0 or m = 0 then 0.0 else round(c / n, 6) end as precision, case when n = 0 and m = 0 then 1.0 when n = 0 or m = 0 then 0.0 else round(c / m, 6) end as recall, case when n = 0 and m = 0 then 1.0 when n = 0 or m = 0 then 0.0 else round(2 * c / (n + m), 6) end as f1 from z""".replace(" where doc_id % 2 = 0", ""))
+_TURNS = "u as (select conv_id, turn, lower(text) as x from conversations where role = 'user'), v as (select conv_id, turn - 1 as turn, lower(text) as y from conversations where role = 'assistant'), a as (select u.conv_id * 1000 + u.turn as id, x, y from u join v on u.conv_id = v.conv_id and u.turn = v.turn)"
+
+
+def _turns(t):
+    """A question and the answer of the turn after it, as tokens of whole texts."""
+    c = t("conversations")
+    u = c.where("role = 'user'").select("conv_id", "turn", X.answer_tokens(F.col("text")).alias("x"))
+    v = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), X.answer_tokens(F.col("text")).alias("y"))
+    return u.join(v, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "x", "y")
+
+
+_TOK = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}]+')"
+_ONE = "case when n = 0 and m = 0 then 1.0 when n = 0 or m = 0 then 0.0 else round({}, 6) end"
+
+
+@query(f"with {_TURNS}, ta as (select id, t, count(*) as n from (select id, unnest({_TOK.format('x')}) as t from a) group by all), tb as (select id, t, count(*) as n from (select id, unnest({_TOK.format('y')}) as t from a) group by all), c as (select id, sum(least(ta.n, tb.n)) as c from ta join tb using (id, t) group by 1), z as (select id, len({_TOK.format('x')}) as n, len({_TOK.format('y')}) as m, coalesce(c, 0) as c from a left join c using (id)) select id, {_ONE.format('c / n')} as precision, {_ONE.format('c / m')} as recall, {_ONE.format('2 * c / (n + m)')} as f1 from z")
 def answer_token_f1(t):
-    """A document's beginning as the answer, a later part as the reference."""
-    d = t("documents").select("doc_id", F.substring("text", 1, 400).alias("x"), F.substring("text", 200, 501).alias("y"))
-    return E.token_overlap(d, "doc_id", X.answer_tokens(F.col("x")), X.answer_tokens(F.col("y")))
+    return E.token_overlap(_turns(t), "id", F.col("x"), F.col("y"))
 
 
 @query()
 def answer_rouge_l(t):
-    """Longest common subsequences of questions and answers of a turn; tests hold it against dynamic programming."""
-    c = t("conversations")
-    a = c.where("role = 'user'").select("conv_id", "turn", F.slice(X.answer_tokens(F.col("text")), 1, 40).alias("a"))
-    b = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.slice(X.answer_tokens(F.col("text")), 1, 40).alias("b"))
-    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", F.round(E.rouge_l(F.col("a"), F.col("b")), 6).alias("rouge_l"))
+    """Longest common subsequences of questions and answers; tests hold it against dynamic programming."""
+    return _turns(t).select("id", F.round(E.rouge_l(F.col("x"), F.col("y")), 6).alias("rouge_l"))
 
 
 # Curation ----------------------------------------------------------------------------------------------------------

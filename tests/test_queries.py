@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from quarryline.operators import curation as U
 from quarryline.plans import catalogue
 
 DIR = "/root/testdata/sf0.001"
@@ -48,3 +49,20 @@ def test_entry(spark):
 
 def test_sql_belongs_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_similar_pairs_against_brute_force(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    base = [[r.choice("abcdefghijklmnop") for _ in range(r.randint(0, 12))] for _ in range(40)]
+    rows = [(i, [x if r.random() < 0.9 else "z" for x in b]) for i, b in enumerate(base * 3)]
+    sets: dict = {}
+    for i, b in rows:
+        if b:
+            sets.setdefault(frozenset(b), i)
+    want = {(min(i, j), max(i, j)) for a, i in sets.items() for b, j in sets.items() if i != j and len(a & b) / len(a | b) >= 0.75}
+    got = U.similar_pairs(spark.createDataFrame(rows, "id long, t array<string>"), "id", F.col("t"), 0.75).collect()
+    assert {(x.a, x.b) for x in got} == want
