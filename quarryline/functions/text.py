@@ -109,3 +109,41 @@ def jaccard(a: Column, b: Column) -> Column:
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def cited(text: Column, facts: Column) -> Column:
+    """Text with ' [id]' after each fact it holds, at the fact's first place; facts: array of (fact, id)."""
+    at = F.filter(F.transform(facts, lambda f: F.struct((F.instr(text, f["fact"]) + F.length(f["fact"])).alias("end"), f["id"].alias("id"), (F.instr(text, f["fact"]) > 0).alias("found"))), lambda f: f["found"])
+    last_first = F.reverse(F.array_sort(at))
+    return F.aggregate(last_first, text, lambda s, f: F.concat(F.substr(s, F.lit(1), f["end"] - 1), F.lit(" ["), f["id"], F.lit("]"), F.substr(s, f["end"])))
+
+
+def uncited(text: Column, ids: Column) -> Column:
+    """Text without ' [id]' for the given ids."""
+    return F.aggregate(ids, text, lambda s, i: F.replace(s, F.concat(F.lit(" ["), i, F.lit("]")), F.lit("")))
+
+
+def without_names(c: Column, names: list[str], mask: str = "[hidden]") -> Column:
+    """Text with the names replaced, whatever their case, the longest first."""
+    for n in sorted(names, key=lambda n: (-len(n), n)):
+        c = F.regexp_replace(c, f"(?iu)\\Q{n}\\E", mask)
+    return c
+
+
+def article_url(url: Column, source_id: Column, title: Column, base: str) -> Column:
+    """The record's own URL, else one from its id, else one from its title, percent-encoded."""
+    given = F.nullif(F.trim(url), F.lit(""))
+    by_id = F.concat(F.lit(base + "?curid="), F.nullif(F.trim(source_id.cast("string")), F.lit("")))
+    by_title = F.concat(F.lit(base + "/"), F.replace(F.url_encode(F.replace(F.nullif(F.trim(title), F.lit("")), F.lit(" "), F.lit("_"))), F.lit("+"), F.lit("%20")))
+    return F.coalesce(given, by_id, by_title)
+
+
+def public_url(c: Column) -> Column:
+    """Whether an http(s) URL with a host and no user information."""
+    return F.coalesce(c.rlike("^https?://[^/?#@\\s]+([/?#]|$)"), F.lit(False))
+
+
+def without_secret_parameters(c: Column, names: str = "token|key|secret|password|signature|sig") -> Column:
+    """The URL without query parameters of these names."""
+    c = F.regexp_replace(c, f"(?i)([?&])(?:{names})=[^&#]*", "$1")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&{2,}", "&"), "[?]&", "?"), "[?&](#|$)", "$1")

@@ -38,3 +38,42 @@ def largest_remainder(df: DataFrame, name: str, weight: str, limit: int) -> Data
     q = df.withColumn("_e", exact).withColumn("_f", F.floor("_e")).withColumn("_left", F.lit(limit) - F.sum("_f").over(whole))
     place = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("_e") - F.col("_f"), 9)), name))
     return q.withColumn("quota", (F.col("_f") + (place <= F.col("_left")).cast("int")).cast("long")).drop("_e", "_f", "_left")
+
+
+def phase_summary(df: DataFrame, phase: str, value: str, phases: list[str]) -> DataFrame:
+    """The distribution of each of the fixed phases, also of those without a row."""
+    fixed = df.sparkSession.createDataFrame([(p,) for p in phases], f"{phase} string")
+    d = df.groupBy(phase).agg(*distribution(value))
+    return fixed.join(F.broadcast(d.where(F.col(phase).isin(phases))), phase, "left").withColumn("n", F.coalesce("n", F.lit(0)))  # a row a phase
+
+
+def run_deltas(candidate: DataFrame, reference: DataFrame, key: str, metrics: list[str], comparable: Column, review: str, apart: float = 20.0) -> DataFrame:
+    """key, metric, delta, percent of a candidate run against a reference, null where the two are not comparable, and
+    review: whether the metric of that name differs by more than `apart` percent."""
+    side = lambda d, n: d.unpivot([key], metrics, "metric", n)
+    j = side(candidate, "x").join(side(reference, "y"), [key, "metric"])
+    percent = percent_difference(F.col("x"), F.col("y"))
+    return j.select(
+        key, "metric", F.when(comparable, F.round(F.col("x") - F.col("y"), 6)).alias("delta"), F.when(comparable, percent).alias("percent"),
+        ((F.col("metric") == review) & F.coalesce(F.abs(percent) > apart, F.lit(False))).alias("review"),
+    )
+
+
+def compared_points(a: DataFrame, b: DataFrame, key: str, vector: str, rel: float = 1e-5, absolute: float = 1e-6) -> DataFrame:
+    """key, state: same, different, missing (only in a) or unexpected (only in b), vectors being equal within tolerance."""
+    j = a.select(key, F.col(vector).alias("x"), F.lit(True).alias("in_a")).join(b.select(key, F.col(vector).alias("y"), F.lit(True).alias("in_b")), key, "full")
+    near = lambda p, q: F.abs(p - q) <= F.greatest(F.lit(absolute), F.lit(rel) * F.greatest(F.abs(p), F.abs(q)))
+    same = (F.size("x") == F.size("y")) & F.forall(F.zip_with("x", "y", lambda p, q: F.coalesce(near(p.cast("double"), q.cast("double")), F.lit(False))), lambda t: t)
+    state = F.when(F.col("in_a").isNull(), "unexpected").when(F.col("in_b").isNull(), "missing").when(F.coalesce(same, F.lit(False)), "same").otherwise("different")
+    return j.select(key, state.alias("state"))
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """field, value, n: how often each value of each column occurs; null is a value."""
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "field", "value")
+    return long.groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+def snapshot(cells: DataFrame, key: str, who: str, value: str, names: list[str]) -> DataFrame:
+    """A row a key with a column for each named experiment; null where it has no cell."""
+    return cells.groupBy(key).pivot(who, names).agg(F.first(value))

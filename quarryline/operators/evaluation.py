@@ -61,8 +61,48 @@ def observed(df: DataFrame, id_cols: list[str], metrics: list[str]) -> DataFrame
     return long.groupBy("metric").agg(F.round(F.avg(F.when(ok, F.col("v"))), 6).alias("mean"), F.count(F.when(ok, 1)).alias("n"))
 
 
+def cited_targets(answer: Column) -> Column:
+    """Targets of bracketed groups cut at commas and semicolons, in order; four-digit years are no citations."""
+    groups = F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit("\\[([^\\[\\]]+)\\]"), F.lit(1))
+    parts = F.flatten(F.transform(groups, lambda g: F.split(g, "[,;]")))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^[0-9]{4}$"))
+
+
 def citations(df: DataFrame, id_col: str, answer: Column) -> DataFrame:
-    """id, pos, target: bracketed groups cut at commas and semicolons; four-digit years are no citations."""
-    groups = F.regexp_extract_all(answer, F.lit("\\[([^\\[\\]]+)\\]"), F.lit(1))
-    parts = F.filter(F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, "[,;]"))), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^[0-9]{4}$"))
-    return df.select(id_col, F.posexplode(parts).alias("pos", "target"))
+    """id, pos, target: a row for each citation of the answer."""
+    return df.select(id_col, F.posexplode(cited_targets(answer)).alias("pos", "target"))
+
+
+def citation_scores(df: DataFrame, id_col: str, answer: Column, known: Column, gold: Column) -> DataFrame:
+    """id, cited, validity (share of citations that name a known target), precision (share of distinct targets that are
+    known and gold), recall (share of gold targets cited); null where there is nothing to divide by."""
+    c = df.select(id_col, cited_targets(answer).alias("c"), known.alias("k"), gold.alias("g"))
+    share = lambda x, n: F.when(n > 0, F.round(x / n, 6))
+    hit = F.size(F.array_intersect(F.array_intersect("c", "k"), "g"))
+    valid = F.size(F.filter("c", lambda x: F.array_contains("k", x)))
+    return c.select(
+        id_col, F.size("c").alias("cited"), share(valid, F.size("c")).alias("validity"),
+        share(hit, F.size(F.array_distinct("c"))).alias("precision"), share(hit, F.size(F.array_distinct("g"))).alias("recall"),
+    )
+
+
+# What counts as a year in an answer, and as a refusal.
+ANSWER_YEAR = "(?<!\\d)(?:[5-9]\\d{2}|1\\d{3}|20\\d{2})(?!\\d)"
+REFUSAL = "(?i)không (?:có )?đủ (?:thông tin|bằng chứng|tư liệu)|không thể (?:xác minh|trả lời)|ngoài phạm vi|insufficient (?:evidence|information)|cannot verify|outside (?:the )?scope"
+
+
+def grounding(df: DataFrame, id_col: str, answer: Column, evidence: Column, facts: Column, answerable: Column) -> DataFrame:
+    """id, fact_recall (share of required facts the answer holds, ignoring case and spacing), unverified_years, its
+    rate, refused_rightly, refused_wrongly; null where the label or the evidence is missing."""
+    years = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(ANSWER_YEAR), F.lit(0)))
+    flat = lambda c: F.trim(F.regexp_replace(F.lower(c), "\\s+", " "))
+    r = df.select(id_col, F.coalesce(answer, F.lit("")).alias("a"), F.nullif(evidence, F.lit("")).alias("e"), facts.alias("f"), answerable.alias("ok"))
+    held = F.size(F.filter("f", lambda x: F.contains(flat(F.col("a")), flat(x))))
+    wrong = F.size(F.array_except(years(F.col("a")), years(F.col("e"))))
+    refused = F.col("a").rlike(REFUSAL.replace("(?i)", "(?iu)")).cast("double")
+    return r.select(
+        id_col, F.when(F.size("f") > 0, F.round(held / F.size("f"), 6)).alias("fact_recall"),
+        F.when(F.col("e").isNotNull(), wrong).alias("unverified_years"),
+        F.when(F.col("e").isNotNull() & (F.size(years(F.col("a"))) > 0), F.round(wrong / F.size(years(F.col("a"))), 6)).alias("unverified_rate"),
+        F.when(~F.col("ok"), refused).alias("refused_rightly"), F.when(F.col("ok"), refused).alias("refused_wrongly"),
+    )

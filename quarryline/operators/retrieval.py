@@ -39,14 +39,14 @@ def top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def dense_top(queries: DataFrame, corpus: DataFrame, k: int, blocks: int = 16) -> DataFrame:
+def dense_top(queries: DataFrame, corpus: DataFrame, k: int, blocks: int = 16, places: int = 6) -> DataFrame:
     """query_id, row_id, score, rank: exact inner products of a stated query set against all rows, in blocks.
 
     The corpus is dealt over blocks and each block meets every query, of which there are few; each block keeps its k
     best for each query before the last selection."""
     q = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     c = corpus.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int"))
-    s = q.join(c, "block").select("query_id", "row_id", "block", F.round(dot(F.col("q"), F.col("v")), 6).alias("score"))
+    s = q.join(c, "block").select("query_id", "row_id", "block", F.round(dot(F.col("q"), F.col("v")), places).alias("score"))
     best = top(s, ["query_id", "block"], [F.desc("score"), "row_id"], k, "_r").drop("_r", "block")
     return top(best, ["query_id"], [F.desc("score"), "row_id"], k)
 
@@ -107,3 +107,53 @@ def diverse(candidates: DataFrame, k: int, title_cap: int = 2) -> DataFrame:
         return out
 
     return candidates.groupBy("query_id").applyInPandas(run, "query_id long, row_id long, score double, rank int")
+
+
+def balanced(candidates: DataFrame, k: int, least: float = 0.24) -> DataFrame:
+    """Per query: places kept for both sides of a comparison, min(2, max(1, k // 3)) each for candidates with a
+    relevance of at least `least` to that side, then the best by score + 0.12 times the better relevance. Candidates
+    (query_id, row_id, score, relevance_a, relevance_b) are some tens a query, and each choice depends on those before."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        chosen: dict[int, str] = {}
+        for side in ("a", "b"):
+            r = f"relevance_{side}"
+            fit = f[(f[r] >= least) & ~f.row_id.isin(list(chosen))].sort_values([r, "score", "row_id"], ascending=[False, False, True])
+            chosen |= dict.fromkeys(fit.row_id.head(min(2, max(1, k // 3))), side)
+        f = f.assign(adjusted=f.score + 0.12 * f[["relevance_a", "relevance_b"]].max(axis=1))
+        rest = f[~f.row_id.isin(list(chosen))].sort_values(["adjusted", "row_id"], ascending=[False, True])
+        chosen |= dict.fromkeys(rest.row_id.head(max(0, k - len(chosen))), "")
+        rows = [(f.query_id.iloc[0], row, i + 1, side) for i, (row, side) in enumerate(list(chosen.items())[:k])]
+        return pd.DataFrame(rows, columns=["query_id", "row_id", "rank", "reserved_for"])
+
+    return candidates.groupBy("query_id").applyInPandas(run, "query_id long, row_id long, rank int, reserved_for string")
+
+
+def merged_roles(runs: DataFrame, k: int) -> DataFrame:
+    """query_id, row_id, rrf_score, roles: the best max(6, 3 k) of each role's own fusion, one row for each document."""
+    each = runs.groupBy("query_id", "role", "row_id").agg(F.round(F.sum(F.col("weight") / (60 + F.col("rank"))), 9).alias("rrf_score"))
+    each = top(each, ["query_id", "role"], [F.desc("rrf_score"), "row_id"], max(6, 3 * k))
+    return each.groupBy("query_id", "row_id").agg(F.max("rrf_score").alias("rrf_score"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
+
+
+def attached_merge(whole: DataFrame, attached: DataFrame, k: int, about_attached: Column) -> DataFrame:
+    """Contexts of the corpus and of attachments (query_id, row_id, rerank, previous): one row for each document, the
+    corpus's winning, by 0.85 rerank + 0.15 previous, and 0.08 more for attachments where the question is about them."""
+    both = whole.withColumn("attached", F.lit(False)).unionByName(attached.withColumn("attached", F.lit(True)))
+    one = both.groupBy("query_id", "row_id").agg(F.min_by(F.struct("rerank", "previous"), "attached").alias("_s"), F.min("attached").alias("attached"))
+    extra = F.when(about_attached & F.col("attached"), 0.08).otherwise(0.0)
+    scored = one.withColumn("score", F.round(0.85 * F.col("_s.rerank") + 0.15 * F.col("_s.previous") + extra, 6)).drop("_s")
+    return top(scored, ["query_id"], [F.desc("score"), "row_id"], k)
+
+
+def overlap_at(a: DataFrame, b: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """query_id, and of the first n of two rankings (query_id, row_id, rank, score) for each n: overlap (share of n),
+    jaccard; max_delta: the largest difference of scores of documents in both."""
+    x = a.select("query_id", "row_id", F.col("rank").alias("ra"), F.col("score").alias("sa"))
+    j = x.join(b.select("query_id", "row_id", F.col("rank").alias("rb"), F.col("score").alias("sb")), ["query_id", "row_id"], "full")
+    out = []
+    for n in sizes:
+        in_a, in_b = F.coalesce(F.col("ra") <= n, F.lit(False)), F.coalesce(F.col("rb") <= n, F.lit(False))
+        out.append(F.round(F.count_if(in_a & in_b) / float(n), 6).alias(f"overlap_{n}"))
+        out.append(F.round(F.count_if(in_a & in_b) / F.greatest(F.lit(1), F.count_if(in_a | in_b)), 6).alias(f"jaccard_{n}"))
+    return j.groupBy("query_id").agg(*out, F.round(F.max(F.abs(F.col("sa") - F.col("sb"))), 6).alias("max_delta"))

@@ -56,3 +56,30 @@ def totals_stream(stream: DataFrame, keys: list[str], path: str, checkpoint: str
     """Running totals by key: each micro-batch's complete totals replace the table."""
     counts = stream.groupBy(*keys).count()
     return counts.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sse_frames(lines: DataFrame, stream: str, seq: str, line: str) -> DataFrame:
+    """stream, frame, event, data from the lines of event streams: a blank line ends a frame, lines with a leading colon
+    are comments, data lines are joined, the last event line counts (else message); frames without data are none."""
+    before = Window.partitionBy(stream).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    text = F.regexp_replace(line, "[\\r\\n]+\\z", "")
+    f = lines.withColumn("_l", text).withColumn("_f", F.coalesce(F.sum((F.col("_l") == "").cast("int")).over(before), F.lit(0)))
+    f = f.where("_l <> '' and not startswith(_l, ':')").withColumn("_k", F.regexp_extract("_l", "^([^:]*)", 1)).withColumn("_v", F.regexp_replace(F.regexp_replace("_l", "^[^:]*:?", ""), "^ ", ""))
+    g = f.groupBy(stream, "_f").agg(F.max_by(F.when(F.col("_k") == "event", F.col("_v")), F.when(F.col("_k") == "event", F.col(seq))).alias("event"), F.array_sort(F.collect_list(F.when(F.col("_k") == "data", F.struct(seq, "_v")))).alias("d")).where(F.size("d") > 0)
+    place = F.row_number().over(Window.partitionBy(stream).orderBy("_f"))
+    return g.select(stream, place.alias("frame"), F.coalesce("event", F.lit("message")).alias("event"), F.array_join(F.transform("d", lambda x: x["_v"]), "\n").alias("data"))
+
+
+def stream_records(events: DataFrame, key: str, ts: str, kind: str, answer: str, done: str) -> DataFrame:
+    """key, first_ms to the first answer, total_ms to the last end, p50_gap_ms between answers, since the key's first event."""
+    e = events.withColumn("_us", micros(ts))
+    e = e.withColumn("_gap", F.when(F.col(kind) == answer, F.col("_us") - F.lag("_us").over(Window.partitionBy(key, kind).orderBy("_us"))))
+    ms = lambda c: F.round((c - F.min("_us")) / 1000.0, 3)
+    return e.groupBy(key).agg(ms(F.min(F.when(F.col(kind) == answer, F.col("_us")))).alias("first_ms"), ms(F.max(F.when(F.col(kind) == done, F.col("_us")))).alias("total_ms"), F.round(F.percentile("_gap", 0.5) / 1000.0, 3).alias("p50_gap_ms"))
+
+
+def staleness(events: DataFrame, key: str, ts: str, now, seconds: int = 15) -> DataFrame:
+    """key, age_s, stale: the age of the key's last event at `now` (a timestamp column or literal)."""
+    last = events.groupBy(key).agg(F.max(micros(ts)).alias("_us"))
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), now.cast("timestamp_ntz"))
+    return last.select(key, F.round((at - F.col("_us")) / 1e6, 3).alias("age_s"), (at - F.col("_us") > seconds * 1_000_000).alias("stale"))
