@@ -147,3 +147,20 @@ def without_secret_parameters(c: Column, names: str = "token|key|secret|password
     """The URL without query parameters of these names."""
     c = F.regexp_replace(c, f"(?i)([?&])(?:{names})=[^&#]*", "$1")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&{2,}", "&"), "[?]&", "?"), "[?&](#|$)", "$1")
+
+
+def first_rank(hits: Column, lane: str) -> Column:
+    """The least rank of a lane in a list of hits as lane:qN@rank, separated by commas."""
+    found = F.regexp_extract_all(hits, F.lit(f"(?:^|,){lane}:q[0-9]+@([0-9]+)"), F.lit(1))
+    return F.array_min(F.transform(found, lambda r: r.cast("int")))
+
+
+def only_known_citations(text: Column, known: Column) -> Column:
+    """Text without the bracketed ids that are not known; an id has letters, digits and _ : . - only."""
+    ids = F.array_distinct(F.regexp_extract_all(text, F.lit("\\[([\\w:.-]+)\\]"), F.lit(1)))
+    return F.aggregate(F.array_except(ids, known), text, lambda s, i: F.replace(s, F.concat(F.lit("["), i, F.lit("]")), F.lit("")))
+
+
+def has_secret(c: Column) -> Column:
+    """Whether secrets_masked would mask anything."""
+    return F.coalesce(c.rlike("(?i)\\b(sk|pk|api|key|token)[-_][a-z0-9_-]{8,}") | c.rlike("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"), F.lit(False))

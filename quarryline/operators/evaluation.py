@@ -106,3 +106,31 @@ def grounding(df: DataFrame, id_col: str, answer: Column, evidence: Column, fact
         F.when(F.col("e").isNotNull() & (F.size(years(F.col("a"))) > 0), F.round(wrong / F.size(years(F.col("a"))), 6)).alias("unverified_rate"),
         F.when(~F.col("ok"), refused).alias("refused_rightly"), F.when(F.col("ok"), refused).alias("refused_wrongly"),
     )
+
+
+def behavior_checks(df: DataFrame, id_col: str, captured: Column, calls: Column, required: Column, groups: Column, forbidden: Column, allowed: Column, most: Column, most_repeated: Column) -> DataFrame:
+    """id, call_count, repeated_calls, repeated_rate and checks of a run's calls, an array of (name, fingerprint).
+
+    Nothing is known of a run whose calls were not captured; a check without an expectation is null; repeats are known
+    only if every call has a fingerprint. Duplicates after the first count, whatever their order."""
+    d = df.select(id_col, F.when(F.coalesce(captured, F.lit(False)), calls).alias("c"), required.alias("q"), groups.alias("s"), forbidden.alias("x"), allowed.alias("w"), most.alias("m"), most_repeated.alias("mr"))
+    names = F.transform("c", lambda c: c["name"])
+    known = F.forall("c", lambda c: c["fingerprint"].isNotNull() & (c["fingerprint"] != ""))
+    repeated = F.when(known, F.size("c") - F.size(F.array_distinct("c")))
+    d = d.withColumn("n", F.when(F.col("c").isNotNull(), F.size("c"))).withColumn("r", repeated).withColumn("names", names)
+    some = lambda c: F.col("n").isNotNull() & F.col(c).isNotNull() & (F.size(c) > 0)
+    return d.select(
+        id_col, F.col("n").alias("call_count"), F.col("r").alias("repeated_calls"), F.when(F.col("n") > 0, F.round(F.col("r") / F.col("n"), 6)).alias("repeated_rate"),
+        F.when(some("q"), F.size(F.array_except("q", "names")) == 0).alias("required_tools"),
+        F.when(some("s"), F.forall("s", lambda g: F.arrays_overlap("names", g))).alias("any_tool_groups"),
+        F.when(some("x"), ~F.arrays_overlap("names", "x")).alias("forbidden_tools"),
+        F.when(F.col("n").isNotNull() & F.col("w").isNotNull(), F.size(F.array_except("names", "w")) == 0).alias("allowed_tools"),
+        (F.col("n") <= F.col("m")).alias("max_tool_calls"), (F.col("r") <= F.col("mr")).alias("max_repeated_calls"),
+    )
+
+
+def retrieval_behavior(gold: Column, dense: Column, bm25: Column, final: Column, negative: Column) -> Column:
+    """How a question's gold documents were found: by which lane's ten, and whether the final five have one."""
+    has = lambda c, n: F.coalesce(F.arrays_overlap(gold, F.slice(c, 1, n)), F.lit(False))
+    d, b = has(dense, 10), has(bm25, 10)
+    return F.when(F.coalesce(negative, F.lit(False)), "negative_edge").when(~has(final, 5), "final_miss").when(d & ~b, "dense_only_hit").when(b & ~d, "bm25_only_hit").otherwise("shared_hit")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -10,8 +11,9 @@ from ..operators import curation as U
 from ..operators import evaluation as E
 from ..operators import questions as Q
 from ..operators import retrieval as R
+from ..sources import files as S
 from ..streaming import telemetry as T
-from .catalogue import _DENSE, _TERMS, NORM, _bm25, _dense, query
+from .catalogue import _DENSE, _GOLD, _RUNS, _TERMS, NORM, _bm25, _dense, _fused, _gold, query
 
 # Question planning -------------------------------------------------------------------------------------------------
 
@@ -238,3 +240,76 @@ def wall_time_buckets(t):
     of = lambda k: F.sum(F.when(F.col("event_type") == k, F.col("value")))
     rest = F.sum("value") - F.coalesce(of("click"), F.lit(0.0)) - F.coalesce(of("view"), F.lit(0.0))
     return t("events").groupBy("user_id").agg(F.round(of("click"), 6).alias("planning"), F.round(of("view"), 6).alias("tools"), F.round(F.greatest(F.lit(0.0), rest), 6).alias("orchestration"))
+
+
+@query("with s as (select doc_id, '[\"' || coalesce(lang, 'null') || '\",\"' || coalesce(source, 'null') || '\"]' as s from documents), n as (select s, count(*) as n, sha256('7:' || s) as r from s group by 1), k as (select *, sum(n) over () as al, cast(count(*) over () <= 100 as int) as own from n), j as (select *, unnest(generate_series(0, least(n, 100))) as j from (select s, n, r, al, own from k)), g as (select s, count(*) as more from (select s, row_number() over (order by round(100.0 * n / al - own - j, 9) desc, r desc, s) as p from j where j < n - own) where p <= (select 100 - sum(own) from k) group by 1), i as (select doc_id, s, row_number() over (partition by s order by sha256('7:' || doc_id), doc_id) as i from s) select doc_id from i join k using (s) left join g using (s) where i <= own + coalesce(more, 0)")
+def stratified_sample(t):
+    return U.stratified_sample(t("documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 100, "7").select("doc_id")
+
+
+@query()
+def balanced_subset(t):
+    """A choice depends on those before; tests hold it against the loop over all rows."""
+    return U.balanced_subset(t("documents"), ["lang", "source"], "doc_id", 60)
+
+
+_POOL = "g as (select source, ascii(lang) as grp, row_number() over (partition by source, lang order by doc_id) as pos, doc_id, case doc_id % 3 when 0 then 'history' when 1 then 'web' else 'upload' end as kind from documents)"
+
+
+@query(f"with {_POOL}, f as (select *, row_number() over (partition by source, kind order by pos, -grp, doc_id) = 1 as lead from g), o as (select *, case when lead and kind = 'upload' then 0 when lead and kind = 'web' then 1 else 2 end as o from f) select source, doc_id, row_number() over (partition by source order by o, pos, -grp, doc_id) as rank from o qualify rank <= 8")
+def evidence_selection(t):
+    pos = F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id"))
+    kind = F.get(F.array(F.lit("history"), F.lit("web"), F.lit("upload")), (F.col("doc_id") % 3).cast("int"))
+    g = t("documents").select("source", F.ascii("lang").alias("grp"), pos.alias("pos"), "doc_id", kind.alias("kind"))
+    return U.selected_evidence(g, "source", "grp", "pos", "doc_id", "kind", ["upload", "web"], 8)
+
+
+@query("with g as (select user_id, user_id % 4 <> 0 as cap, count(*) as n, count(*) - count(distinct event_type || props) as r, list(distinct event_type) as seen from events group by all) select user_id, cast(if(cap, n, null) as integer) as call_count, cast(if(cap, r, null) as integer) as repeated_calls, if(cap, round(r / n, 6), null) as repeated_rate, if(cap, list_has_all(seen, ['click', 'view']), null) as required_tools, if(cap, list_has_any(seen, ['signup', 'purchase']), null) as any_tool_groups, if(cap, not list_has_any(seen, ['error']), null) as forbidden_tools, if(cap and user_id % 3 = 0, list_has_all(['click', 'view', 'error', 'purchase'], seen), null) as allowed_tools, if(cap, n <= 60, null) as max_tool_calls, if(cap, r <= 0, null) as max_repeated_calls from g")
+def behavior_checks(t):
+    g = t("events").groupBy("user_id").agg(F.collect_list(F.struct(F.col("event_type").alias("name"), F.concat("event_type", "props").alias("fingerprint"))).alias("c"))
+    names = lambda *n: F.array(*[F.lit(x) for x in n])
+    allowed = F.when(F.col("user_id") % 3 == 0, names("click", "view", "error", "purchase"))
+    return E.behavior_checks(g, "user_id", F.col("user_id") % 4 != 0, F.col("c"), names("click", "view"), F.array(names("signup", "purchase")), names("error"), allowed, F.lit(60), F.lit(0))
+
+
+_WAYS = f"with {_RUNS}, {_GOLD.replace('g as (', 'gg as (')}, w as (select gg.query_id, items, (select list(row_id order by rank) from b where b.query_id = gg.query_id and rank <= 10) as bm, (select list(row_id order by rank) from r where lane = 'dense' and r.query_id = gg.query_id and rank <= 10) as de, (select list(row_id order by rank) from ff where ff.query_id = gg.query_id and rank <= 5) as fi from gg)"
+
+
+@query(f"{_WAYS} select query_id, case when items is null then 'negative_edge' when not coalesce(list_has_any(items, fi), false) then 'final_miss' when coalesce(list_has_any(items, de), false) and not coalesce(list_has_any(items, bm), false) then 'dense_only_hit' when coalesce(list_has_any(items, bm), false) and not coalesce(list_has_any(items, de), false) then 'bm25_only_hit' else 'shared_hit' end as behavior from w")
+def retrieval_behavior(t):
+    """A benchmark item that no document holds has no answer."""
+    f = _fused(t)
+    ids = lambda d, n: d.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "row_id"))), lambda x: x["row_id"]).alias(n))
+    pair = t("benchmark").select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("i"))  # the queries, few
+    dense = _dense(t).join(pair, F.col("query_id") == F.col("i") * 20).select(F.col("item_id").alias("query_id"), "rank", "row_id")
+    j = _gold(t).join(ids(dense, "de"), "query_id", "left").join(ids(_bm25(t), "bm"), "query_id", "left").join(ids(f, "fi"), "query_id", "left")
+    return j.select("query_id", E.retrieval_behavior(F.col("items"), F.col("de"), F.col("bm"), F.col("fi"), F.col("items").isNull()).alias("behavior"))
+
+
+@query(f"with {_RUNS} select query_id, row_id, cast(list_min(list_transform(list_filter(string_split(hits, ','), lambda h: starts_with(h, 'dense:')), lambda h: cast(split_part(h, '@', 2) as int))) as integer) as dense_rank, cast(list_min(list_transform(list_filter(string_split(hits, ','), lambda h: starts_with(h, 'bm25:')), lambda h: cast(split_part(h, '@', 2) as int))) as integer) as bm25_rank from ff")
+def hit_ranks(t):
+    return _fused(t).select("query_id", "row_id", X.first_rank(F.col("hits"), "dense").alias("dense_rank"), X.first_rank(F.col("hits"), "bm25").alias("bm25_rank"))
+
+
+@query("select conv_id, turn, text || ' [c1]' as shown from conversations where role = 'assistant' and not regexp_matches(text, '\\[')")
+def known_citations(t):
+    c = t("conversations").where("role = 'assistant' and not contains(text, '[')")
+    whole = F.concat(F.lit("[zz]"), "text", F.lit(" [c1][c9]"))
+    return c.select("conv_id", "turn", X.only_known_citations(whole, F.array(F.lit("c1"), F.lit("c2"))).alias("shown"))
+
+
+@query("select doc_id, coalesce(regexp_matches(text, '(?i)\\b(sk|pk|api|key|token)[-_][a-z0-9_-]{8,}') or regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}'), false) as secret from documents")
+def secret_flags(t):
+    return t("documents").select("doc_id", X.has_secret(F.col("text")).alias("secret"))
+
+
+@query("with c as (select lang, source, len(regexp_extract_all(text, '[0-9]{4}')) as n from documents) select lang, source, count(*) as rows, count(*) filter (n > 0) as cited, coalesce(sum(n), 0) as citations, round(median(n) filter (n > 0), 6) as median_of_cited from c group by grouping sets ((), (lang), (source))")
+def citation_statistics(t):
+    c = t("documents").select("lang", "source", F.size(F.regexp_extract_all("text", F.lit("[0-9]{4}"), F.lit(0))).alias("n"))
+    c = c.withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
+    return c.groupingSets([[], ["lang"], ["source"]], "lang", "source").agg(F.count("*").alias("rows"), F.count_if(F.col("n") > 0).alias("cited"), F.coalesce(F.sum("n"), F.lit(0)).alias("citations"), F.round(F.median(F.when(F.col("n") > 0, F.col("n"))), 6).alias("median_of_cited")).select("lang", "source", "rows", "cited", "citations", "median_of_cited")
+
+
+@query("select source, doc_id, text[1:240] as text from (select *, row_number() over (partition by source order by doc_id) as n from documents) where n <= 3")
+def source_inspection(t):
+    return S.inspected(t("documents").select("source", "doc_id", "text"), "source", "doc_id", 3)

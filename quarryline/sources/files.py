@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -77,3 +77,25 @@ def write_frozen(df: DataFrame, path: str, schema: StructType) -> None:
             raise ValueError(f"{path} is frozen with other rows")
         return
     df.write.parquet(path)
+
+
+def inspected(df: DataFrame, split: str, order: str, n: int = 3, width: int = 240) -> DataFrame:
+    """The first n rows of each split, strings cut to `width`; also a row limit for each split, with width 0 for whole strings."""
+    w = Window.partitionBy(split).orderBy(order)
+    out = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    cut = [F.substring(f.name, 1, width).alias(f.name) if width and f.dataType == StringType() else F.col(f.name) for f in df.schema.fields]
+    return out.select(*cut)
+
+
+def table_states(tables: dict[str, DataFrame], copies: dict[str, DataFrame]) -> dict[str, str]:
+    """same, different, missing or unexpected for each table of a backup, by row counts and digests."""
+    out = {}
+    for name in sorted(tables.keys() | copies.keys()):
+        if name not in copies:
+            out[name] = "missing"
+        elif name not in tables:
+            out[name] = "unexpected"
+        else:
+            a, b = tables[name], copies[name]
+            out[name] = "same" if a.columns == b.columns and digest(a) == digest(b) else "different"
+    return out

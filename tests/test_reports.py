@@ -109,3 +109,65 @@ def test_sse_frames(spark):
     df = spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "s long, i int, l string")
     got = [tuple(r) for r in T.sse_frames(df, "s", "i", "l").orderBy("frame").collect()]
     assert got == [(1, 1, "a", "1\n2"), (1, 2, "message", " x: y"), (1, 3, "message", "")]
+
+
+def test_stratum_quotas_against_one_at_a_time(spark):
+    import random
+
+    r = random.Random(5)
+    for sizes, count in ([[r.randint(1, 30) for _ in range(6)], 20], [[1, 1, 1, 50], 10], [[3, 2], 5], [[9] * 5, 3]):
+        rows = [(f"s{i}", n, f"{r.random():.9f}") for i, n in enumerate(sizes)]
+        quota = {k: int(len(rows) <= count) for k, _, _ in rows}
+        for _ in range(count - sum(quota.values())):
+            k = max((x for x in rows if quota[x[0]] < x[1]), key=lambda x: (round(count * x[1] / sum(sizes) - quota[x[0]], 9), x[2]))[0]
+            quota[k] += 1
+        got = U.stratum_quotas(spark.createDataFrame(rows, "k string, n long, r string"), "k", "n", count, F.col("r")).collect()
+        assert {x.k: x.quota for x in got} == quota
+
+
+def test_balanced_subset_against_all_rows(spark):
+    import hashlib
+    import random
+
+    r = random.Random(2)
+    rows = [(i, r.choice("aaaab"), r.choice(["x", "y", None])) for i in range(120)]
+    pool, seen, want = list(rows), {}, []
+    while pool and len(want) < 30:
+        best = max(pool, key=lambda x: (round(sum(1 / (1 + seen.get(f, 0)) for f in (("f", x[1]), ("g", x[2]))), 12), hashlib.sha256(str(x[0]).encode()).hexdigest()))
+        pool.remove(best)
+        want.append(best[0])
+        for f in (("f", best[1]), ("g", best[2])):
+            seen[f] = seen.get(f, 0) + 1
+    got = U.balanced_subset(spark.createDataFrame(rows, "i long, f string, g string"), ["f", "g"], "i", 30).orderBy("pick").collect()
+    assert [x.id for x in got] == want
+
+
+def test_behavior_checks(spark):
+    calls = [("a", "1"), ("a", "1"), ("b", "2")]
+    df = spark.createDataFrame([(1, True, calls), (2, False, calls), (3, None, None), (4, True, [("a", None)]), (5, True, [])], "id long, k boolean, c array<struct<name:string,fingerprint:string>>")
+    names = lambda *n: F.array(*[F.lit(x) for x in n])
+    got = E.behavior_checks(df, "id", F.col("k"), F.col("c"), names("a", "z"), F.array(names("b", "q")), names("z"), F.lit(None).cast("array<string>"), F.lit(2), F.lit(1))
+    got = {r.id: tuple(r)[1:] for r in got.collect()}
+    assert got[1] == (3, 1, 0.333333, False, True, True, None, False, True)
+    assert got[2] == got[3] == (None,) * 9
+    assert got[4][:3] == (1, None, None) and got[4][-2:] == (True, None)
+    assert got[5] == (0, 0, None, False, False, True, None, True, True)
+
+
+def test_retrieval_behavior(spark):
+    rows = [(1, ["g"], ["g"], [], ["g"], False), (2, ["g"], [], ["g"], ["g"], None), (3, ["g"], ["g"], ["g"], ["g"], False), (4, ["g"], ["g"], ["g"], ["a"] * 5 + ["g"], False), (5, None, None, None, None, True), (6, ["g"], None, None, None, False)]
+    df = spark.createDataFrame(rows, "i int, g array<string>, d array<string>, b array<string>, f array<string>, n boolean")
+    got = [r[0] for r in df.orderBy("i").select(E.retrieval_behavior(F.col("g"), F.col("d"), F.col("b"), F.col("f"), F.col("n"))).collect()]
+    assert got == ["dense_only_hit", "bm25_only_hit", "shared_hit", "final_miss", "negative_edge", "final_miss"]
+
+
+def test_table_states(spark):
+    from quarryline.sources import files as S
+
+    a, b = spark.range(3), spark.range(4)
+    assert S.table_states({"x": a, "y": a, "z": a}, {"x": spark.range(2, -1, -1), "y": b, "w": a}) == {"w": "unexpected", "x": "same", "y": "different", "z": "missing"}
+
+
+def test_ranks_and_citations_in_text(spark):
+    assert one(spark, lambda c: X.first_rank(c, "dense"), "bm25:q0@1,dense:q0@7,dense:q2@3") == 3 and one(spark, lambda c: X.first_rank(c, "dense"), "bm25:q0@1") is None
+    assert one(spark, lambda c: X.only_known_citations(c, F.array(F.lit("a"))), "x [a] [b] [a b]") == "x [a]  [a b]"
