@@ -416,7 +416,7 @@ def paired_win_tie_loss(t):
     return A.win_tie_loss(cells, "user_id", "who", "v")
 
 
-@query("select l_orderkey, l_linenumber, round(0.3 * l_quantity + 0.2 * l_discount * 100 + 0.5 * l_tax * 100, 2) as weighted, least(4, floor(l_quantity / 10.5)) as bucket from lineitem")
+@query("select l_orderkey, l_linenumber, round(0.3 * l_quantity + 0.2 * l_discount * 100 + 0.5 * l_tax * 100, 2) as weighted, cast(least(4, floor(l_quantity / 10.5)) as bigint) as bucket from lineitem")
 def rubric_weighted(t):
     w = F.round(0.3 * F.col("l_quantity") + 0.2 * F.col("l_discount") * 100 + 0.5 * F.col("l_tax") * 100, 2)
     return t("lineitem").select("l_orderkey", "l_linenumber", w.alias("weighted"), F.least(F.lit(4), F.floor(F.col("l_quantity") / 10.5)).alias("bucket"))
@@ -454,7 +454,7 @@ def conv_last_n(t):
     return R.top(t("conversations").select("conv_id", "turn", "role"), ["conv_id"], [F.desc("turn")], 3, "back")
 
 
-@query("select conv_id, count(*) as messages, count(*) filter (role = 'user') as of_user, sum(length(text)) as chars from conversations group by 1")
+@query("select conv_id, count(*) as messages, count(*) filter (role = 'user') as of_user, cast(sum(length(text)) as bigint) as chars from conversations group by 1")
 def conv_counts(t):
     return t("conversations").groupBy("conv_id").agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "user").alias("of_user"), F.sum(F.length("text")).alias("chars"))
 
@@ -466,7 +466,7 @@ def conv_prompt(t):
     return last.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["l"]), "\n").alias("prompt"))
 
 
-@query("with b as (select cast(floor(epoch_us(ts) / 1000000) as bigint) as second, count(*) as n from events group by 1) select second, n, sum(n) over (order by second range between 299 preceding and current row) as rolling from b")
+@query("with b as (select cast(floor(epoch_us(ts) / 1000000) as bigint) as second, count(*) as n from events group by 1) select second, n, cast(sum(n) over (order by second range between 299 preceding and current row) as bigint) as rolling from b")
 def event_rolling_5m(t):
     return T.rolling_counts(t("events"), "ts").select("second", "n", "rolling")
 
@@ -491,7 +491,7 @@ def event_json_props(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query("with c as (select user_id, event_type, count(*) as n from events group by all) select user_id, sum(n) as calls, sum(n - 1) as repeated, round(sum(n - 1) / sum(n), 6) as rate from c group by 1")
+@query("with c as (select user_id, event_type, count(*) as n from events group by all) select user_id, cast(sum(n) as bigint) as calls, cast(sum(n - 1) as bigint) as repeated, round(sum(n - 1) / sum(n), 6) as rate from c group by 1")
 def tool_repeat_counts(t):
     c = t("events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return c.groupBy("user_id").agg(F.sum("n").alias("calls"), F.sum(F.col("n") - 1).alias("repeated"), F.round(F.sum(F.col("n") - 1) / F.sum("n"), 6).alias("rate"))

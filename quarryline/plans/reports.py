@@ -219,6 +219,13 @@ def staleness(t):
     return T.staleness(t("events"), "user_id", "ts", F.lit("2024-02-01 00:00:00"), 86400)
 
 
+@query("with e as (select event_id, user_id, case event_type when 'click' then 'a' when 'view' then 'a' else 'b' end as stage, case when event_type in ('click', 'signup') then 'started' when event_type = 'error' then 'failed' else 'completed' end as kind, epoch_us(ts) as us from events), n as (select *, lead(us) over (partition by user_id, stage order by us) as nx from e) select user_id, stage, arg_max(kind, us) as state, round(coalesce(sum(nx - us) filter (kind = 'started'), 0) / 1000.0, 3) as active_ms from n group by all")
+def stage_progress(t):
+    e = t("events").withColumn("stage", F.when(F.col("event_type").isin("click", "view"), "a").otherwise("b"))
+    e = e.withColumn("kind", F.when(F.col("event_type").isin("click", "signup"), "started").when(F.col("event_type") == "error", "failed").otherwise("completed"))
+    return T.staged_progress(e, "user_id", "stage", "kind", "ts")
+
+
 # Pages and listings ------------------------------------------------------------------------------------------------
 
 
@@ -303,7 +310,7 @@ def secret_flags(t):
     return t("documents").select("doc_id", X.has_secret(F.col("text")).alias("secret"))
 
 
-@query("with c as (select lang, source, len(regexp_extract_all(text, '[0-9]{4}')) as n from documents) select lang, source, count(*) as rows, count(*) filter (n > 0) as cited, coalesce(sum(n), 0) as citations, round(median(n) filter (n > 0), 6) as median_of_cited from c group by grouping sets ((), (lang), (source))")
+@query("with c as (select lang, source, len(regexp_extract_all(text, '[0-9]{4}')) as n from documents) select lang, source, count(*) as rows, count(*) filter (n > 0) as cited, cast(coalesce(sum(n), 0) as bigint) as citations, round(median(n) filter (n > 0), 6) as median_of_cited from c group by grouping sets ((), (lang), (source))")
 def citation_statistics(t):
     c = t("documents").select("lang", "source", F.size(F.regexp_extract_all("text", F.lit("[0-9]{4}"), F.lit(0))).alias("n"))
     c = c.withColumn("n", F.when(F.col("n") >= 0, F.col("n")))

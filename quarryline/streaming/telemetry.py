@@ -83,3 +83,17 @@ def staleness(events: DataFrame, key: str, ts: str, now, seconds: int = 15) -> D
     last = events.groupBy(key).agg(F.max(micros(ts)).alias("_us"))
     at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), now.cast("timestamp_ntz"))
     return last.select(key, F.round((at - F.col("_us")) / 1e6, 3).alias("age_s"), (at - F.col("_us") > seconds * 1_000_000).alias("stale"))
+
+
+def deduplicated_stream(stream: DataFrame, keys: list[str], ts: str, late: str = "10 minutes") -> DataFrame:
+    """The first row of each key; state of keys is kept as long as the watermark lets copies come. Works on a table too."""
+    s = stream.withColumn("_ts", F.col(ts).cast("timestamp"))
+    return (s.withWatermark("_ts", late).dropDuplicatesWithinWatermark(keys) if stream.isStreaming else s.dropDuplicates(keys)).drop("_ts")
+
+
+def staged_progress(events: DataFrame, run: str, stage: str, kind: str, ts: str) -> DataFrame:
+    """run, stage, state, active_ms: the last event's kind, and the time between each start and the next event of the stage."""
+    w = Window.partitionBy(run, stage).orderBy("_us")
+    e = events.withColumn("_us", micros(ts)).withColumn("_next", F.lead("_us").over(w))
+    spent = F.sum(F.when((F.col(kind) == "started") & F.col("_next").isNotNull(), F.col("_next") - F.col("_us")).otherwise(0))
+    return e.groupBy(run, stage).agg(F.max_by(kind, "_us").alias("state"), F.round(spent / 1000.0, 3).alias("active_ms"))

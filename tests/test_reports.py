@@ -171,3 +171,20 @@ def test_table_states(spark):
 def test_ranks_and_citations_in_text(spark):
     assert one(spark, lambda c: X.first_rank(c, "dense"), "bm25:q0@1,dense:q0@7,dense:q2@3") == 3 and one(spark, lambda c: X.first_rank(c, "dense"), "bm25:q0@1") is None
     assert one(spark, lambda c: X.only_known_citations(c, F.array(F.lit("a"))), "x [a] [b] [a b]") == "x [a]  [a b]"
+
+
+def test_dealt_is_even(spark):
+    rows = [(i, "hot" if i % 3 else None) for i in range(500)]
+    got = U.dealt(spark.createDataFrame(rows, "i long, g string"), "g", "i", "s", ["a", "b", "c"]).groupBy("g", "mode").count().collect()
+    for g in ("hot", None):
+        counts = [x["count"] for x in got if x.g == g]
+        assert len(counts) == 3 and max(counts) - min(counts) <= 1
+    assert sum(x["count"] for x in got) == 500
+
+
+def test_deduplicated_stream(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:01"), (1, "2024-01-01 00:00:02"), (2, "2024-01-01 00:00:03")]
+    spark.createDataFrame(rows, "k long, ts string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k long, ts string").parquet(str(tmp_path / "in"))
+    T.run_available(T.deduplicated_stream(stream, ["k"], "ts"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
