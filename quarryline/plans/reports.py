@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions import unicode as N
 from ..operators import analytics as A
 from ..operators import curation as U
 from ..operators import evaluation as E
@@ -320,3 +321,8 @@ def citation_statistics(t):
 @query("select source, doc_id, text[1:240] as text from (select *, row_number() over (partition by source order by doc_id) as n from documents) where n <= 3")
 def source_inspection(t):
     return S.inspected(t("documents").select("source", "doc_id", "text"), "source", "doc_id", 3)
+
+
+@query("select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(coalesce(text, '')), '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B-\\x1F\\x7F-\\x9F]', '', 'g'), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+\\z', '', 'g') as normalized from documents")
+def doc_normalized(t):
+    return t("documents").select("doc_id", N.normalized_text(F.col("text")).alias("normalized"))

@@ -188,3 +188,11 @@ def test_deduplicated_stream(spark, tmp_path):
     stream = spark.readStream.schema("k long, ts string").parquet(str(tmp_path / "in"))
     T.run_available(T.deduplicated_stream(stream, ["k"], "ts"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_normalized_text(spark):
+    from quarryline.functions import unicode as N
+
+    assert one(spark, N.normalized_text, " e\u0301 \x07a\t b \r\n \n\n\r\u1100\u1161 \n") == "\u00e9 a b\n\n\uac00"
+    assert one(spark, N.normalized_text, None) == "" and one(spark, lambda c: N.normal_form(c, "NFKC"), "ﬁ①") == "fi1"
+    assert one(spark, N.normal_form, None) is None
