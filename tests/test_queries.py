@@ -66,3 +66,26 @@ def test_similar_pairs_against_brute_force(spark):
     want = {(min(i, j), max(i, j)) for a, i in sets.items() for b, j in sets.items() if i != j and len(a & b) / len(a | b) >= 0.75}
     got = U.similar_pairs(spark.createDataFrame(rows, "id long, t array<string>"), "id", F.col("t"), 0.75).collect()
     assert {(x.a, x.b) for x in got} == want
+
+
+def test_near_dup_jaccard_against_all_pairs_of_rows(spark, tmp_path):
+    """Every link of two documents follows from the class pairs and the membership."""
+    import random
+    from collections import Counter
+
+    r = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "rho", "sigma", "kappa", "zeta", "eta", "theta"]
+    texts = [" ".join(r.sample(words, r.randint(1, 9))) for _ in range(40)]
+    texts += ["Beta alpha", "alpha  alpha, beta!", "álpha beta", "one two three", "three two one", "One; two. Three", "x", "", None, "one two three"]
+    docs = [(i * 2 + 1, x) for i, x in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: {w for w in "".join(c if c.isalnum() else " " for c in (x or "").lower().replace("á", "a")).split() if len(w) > 1} for i, x in docs}
+    want = {(i, j): len(a & b) / len(a | b) for i, a in sets.items() for j, b in sets.items() if i < j and a and b and len(a & b) / len(a | b) >= 0.75}
+    got = entry.queries()["near_dup_jaccard"](spark, str(tmp_path)).collect()
+    of = {x.id: x.class_id for x in got if x.kind == "member"}
+    pairs = {(x.a, x.b): x.similarity for x in got if x.kind == "pair"}
+    assert set(of) == set(sets) and {i for i, c in of.items() if c is None} == {i for i, s in sets.items() if not s}
+    similarity = lambda i, j: 1.0 if of[i] is not None and of[i] == of[j] else pairs.get((of[i], of[j]), pairs.get((of[j], of[i])))
+    links = {(i, j): similarity(i, j) for i in of for j in of if i < j and similarity(i, j) is not None}
+    assert links == pytest.approx(want, abs=1e-6)
+    assert {x.id: x.links for x in got if x.kind == "member"} == dict.fromkeys(sets, 0) | Counter(i for p in want for i in p)
