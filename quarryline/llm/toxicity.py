@@ -2,11 +2,13 @@
 
 Trained in numpy on the driver from a bounded sample of labelled documents, then sent to the workers (its size is set
 by the constants below), which score all overlapping windows of every text. A word's input is the embedding of its
-hash and the mean of the embeddings of its character trigrams' hashes; a document's score is that of its worst window.
+hash and the mean of the embeddings of all its character trigrams' hashes; a document's score is that of its worst
+window. What white space leaves long or holds scripts without spaces is several inputs (`pieces`).
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,38 +24,86 @@ WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 13, 1 << 1
 #: The training sample: so many labelled documents of each class at most, none of over MOST_CHARS.
 SAMPLE_EACH, MOST_CHARS = 2048, 1 << 14
 EPOCHS, STEPS, MOST_EPOCHS, BATCH, RATE, SEED = 8, 500, 60, 128, 4e-3, 7  # at least EPOCHS, or as many as make STEPS
-TRIGRAMS = 14
+#: A word of more bytes than LONG is cut at punctuation, what is left of more characters than PIECE into overlapping
+#: pieces: a word of up to PIECE // 2 characters in it is whole in one of them.
+LONG, PIECE = 14, 24
 CACHE_MOST = 1 << 18
 _PUNCTUATION = "\"'`.,;:!?()[]{}<>*%$&#@+=|/\\~^_-"
 
 
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_JOINS = re.escape(_PUNCTUATION) + "\u2000-\u206f\u3000-\u303f\uff01-\uff0f"
+_ALONE, _PARTS = re.compile(f"[{_UNSPACED}]"), re.compile(f"[{_UNSPACED}]|[^{_UNSPACED}{_JOINS}]+")
+
+
+def pieces(word: str) -> list[str]:
+    """The inputs that a word is read as: itself, if it is short; a character of a script without spaces is one."""
+    if len(word.encode()) <= LONG and not _ALONE.search(word):
+        return [word]
+    out = []
+    for x in _PARTS.findall(word):
+        last = len(x) - PIECE
+        out += [x] if last <= 0 else [x[i : i + PIECE] for i in (*range(0, last, PIECE // 2), last)]
+    return out or [word[:1]]
+
+
 def word_features(word: str) -> tuple[int, list[int]]:
-    """The bucket of a word and those of its first and last character trigrams, 1 and up."""
+    """The bucket of a word and those of all its character trigrams, 1 and up."""
     b = word.lower().strip(_PUNCTUATION).encode()
     edge = b"<" + b + b">"
     tri = [zlib.crc32(edge[i : i + 3]) % (CHAR_BUCKETS - 1) + 1 for i in range(len(edge) - 2)]
-    return zlib.crc32(b) % (WORD_BUCKETS - 1) + 1, tri if len(tri) <= TRIGRAMS else tri[: TRIGRAMS // 2] + tri[-TRIGRAMS // 2 :]
+    return zlib.crc32(b) % (WORD_BUCKETS - 1) + 1, tri
+
+
+class Trigrams:
+    """Lists of trigrams' buckets of different lengths, one after another; an empty one has bucket 0."""
+
+    def __init__(self, flat: np.ndarray, count: np.ndarray) -> None:
+        self.flat, self.count = flat, count
+        self.start = np.cumsum(count) - count
+
+    def of(self, rows: np.ndarray) -> Trigrams:
+        n = self.count[rows]
+        return Trigrams(self.flat[np.repeat(self.start[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())], n)
 
 
 class Vocabulary(dict):
-    """Words as they are met, numbered from 1; the features of those numbered since the last call of features()."""
+    """Inputs as they are met, numbered from 1; the features of those numbered since the last call of features()."""
 
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
+        self.runs: list[list[int]] = []
 
     def __missing__(self, word: str) -> int:
+        parts = pieces(word)
+        if parts != [word]:  # not kept: such words are rare, and of any length
+            self.runs.append([self[x] for x in parts])
+            return -1
         self.new.append(word)
         n = self[word] = len(self) + 1
         return n
 
-    def features(self) -> tuple[np.ndarray, np.ndarray]:
-        words, chars = np.zeros(len(self.new), np.int32), np.zeros((len(self.new), TRIGRAMS), np.int32)
+    def numbers(self, text: str) -> np.ndarray:
+        """The inputs' numbers of a text."""
+        self.runs = []
+        ids = np.fromiter(map(self.__getitem__, text.split()), np.int32)
+        if not self.runs:
+            return ids
+        out, last = [], 0
+        for at, run in zip(np.flatnonzero(ids < 0).tolist(), self.runs, strict=True):
+            out += [ids[last:at], np.array(run, np.int32)]
+            last = at + 1
+        return np.concatenate([*out, ids[last:]])
+
+    def features(self) -> tuple[np.ndarray, Trigrams]:
+        words, flat, count = np.zeros(len(self.new), np.int32), [], np.zeros(len(self.new), np.int64)
         for i, w in enumerate(self.new):
             words[i], tri = word_features(w)
-            chars[i, : len(tri)] = tri
+            flat += tri or [0]
+            count[i] = len(tri) or 1
         self.new = []
-        return words, chars
+        return words, Trigrams(np.array(flat, np.int32), count)
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
@@ -77,15 +127,13 @@ class Network:
         x = WORD_DIM + CHAR_DIM
         self.p = {"word": draw(WORD_BUCKETS, WORD_DIM), "char": draw(CHAR_BUCKETS, CHAR_DIM), "x": draw(x, 6 * HIDDEN, by=0.3), "bx": np.zeros(6 * HIDDEN, np.float32), "uf": draw(HIDDEN, 3 * HIDDEN, by=0.3), "ub": draw(HIDDEN, 3 * HIDDEN, by=0.3), "a": draw(2 * HIDDEN, ATTEND, by=0.3), "ba": np.zeros(ATTEND, np.float32), "v": draw(ATTEND, by=0.5), "o": draw(2 * HIDDEN, by=0.5), "bo": np.zeros(1, np.float32)}
 
-    def inputs(self, words: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        there = (chars > 0).astype(np.float32)
-        share = there / np.maximum(there.sum(1, keepdims=True), 1)
-        mean = np.einsum("nt,ntd->nd", share, self.p["char"][chars])
-        return np.concatenate([self.p["word"][words], mean], 1), share
+    def inputs(self, words: np.ndarray, chars: Trigrams) -> np.ndarray:
+        total = np.add.reduceat(self.p["char"][chars.flat], chars.start) if len(words) else np.zeros((0, CHAR_DIM), np.float32)
+        return np.concatenate([self.p["word"][words], total / chars.count[:, None].astype(np.float32)], 1)
 
-    def project(self, words: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    def project(self, words: np.ndarray, chars: Trigrams) -> np.ndarray:
         """Both directions' gate inputs of each word."""
-        return self.inputs(words, chars)[0] @ self.p["x"] + self.p["bx"]
+        return self.inputs(words, chars) @ self.p["x"] + self.p["bx"]
 
     def _run(self, g: np.ndarray, u: np.ndarray, keep: list | None) -> np.ndarray:
         """Hidden states by step, of gate inputs by step."""
@@ -156,9 +204,9 @@ class Network:
             self.p["o"][:], self.p["bo"][:] = 0, np.log(share / (1 - share))
             return
         vocabulary = Vocabulary()
-        each = [windows(np.fromiter(map(vocabulary.__getitem__, t.split()), np.int32)) for t in texts]
+        each = [windows(vocabulary.numbers(t)) for t in texts]
         words, chars = vocabulary.features()
-        words, chars = np.r_[0, words], np.r_[np.zeros((1, TRIGRAMS), np.int32), chars]
+        words, chars = np.r_[0, words], Trigrams(np.r_[0, chars.flat], np.r_[1, chars.count])
         ids, doc = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
         # The first word dimension starts at the log odds of its bucket among the documents.
         seen = np.zeros((2, WORD_BUCKETS))
@@ -188,7 +236,8 @@ class Network:
                 of = doc[pick[i : i + BATCH]]
                 used, local = np.unique(batch, return_inverse=True)
                 local = local.reshape(batch.shape)
-                x, share = self.inputs(words[used], chars[used])
+                tri = chars.of(used)
+                x = self.inputs(words[used], tri)
                 keep: dict = {}
                 # `forward` tells padding by number 0; `used` is sorted, so 0 stays 0 where it occurs
                 shift = 0 if used[0] == 0 else 1
@@ -204,7 +253,7 @@ class Network:
                 grad["x"], grad["bx"] = x.T @ dt, dt.sum(0)
                 grad["word"], grad["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
                 np.add.at(grad["word"], words[used], dx[:, :WORD_DIM])
-                np.add.at(grad["char"], chars[used], share[:, :, None] * dx[:, None, WORD_DIM:])
+                np.add.at(grad["char"], tri.flat, np.repeat(dx[:, WORD_DIM:] / tri.count[:, None].astype(np.float32), tri.count, axis=0))
                 step += 1
                 for k, g in grad.items():
                     m, v = moment[k]
@@ -231,13 +280,14 @@ class Scorer:
     def scores(self, texts: list[str]) -> np.ndarray:
         if len(self.words) > CACHE_MOST:
             self.reset()
-        each = [windows(np.fromiter(map(self.words.__getitem__, t.split()), np.int32)) for t in texts]
+        each = [windows(self.words.numbers(t)) for t in texts]
         words, chars = self.words.features()
         need = self.filled + len(words)
         if need > len(self.table):
             self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), 6 * HIDDEN), np.float32)])
         for i in range(0, len(words), 1 << 13):
-            self.table[self.filled + i : self.filled + min(i + (1 << 13), len(words))] = self.net.project(words[i : i + (1 << 13)], chars[i : i + (1 << 13)])
+            rows = np.arange(i, min(i + (1 << 13), len(words)))
+            self.table[self.filled + rows] = self.net.project(words[rows], chars.of(rows))
         self.filled = need
         ids = np.concatenate(each)
         logits = np.concatenate([self.net.forward(self.table, ids[i : i + 2048]) for i in range(0, len(ids), 2048)])

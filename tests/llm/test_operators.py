@@ -342,6 +342,33 @@ def test_toxicity(spark):
     assert all(got[i].held == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in rows)
 
 
+def test_toxicity_reads_words_of_any_length():
+    """Every byte of a long word, of words that are joined, and of a script without spaces counts."""
+    long = "".join(chr(97 + i * i * 7 % 26) for i in range(60))
+    assert len(toxicity.word_features(long)[1]) == 60
+    for x in (long, "-".join(["word"] * 50) + "/idiot_" + long, "今天天气很好" * 20, "ab今天", "ภาษาไทย" * 9, "é" * 70):
+        parts = toxicity.pieces(x)
+        assert all(len(p) <= toxicity.PIECE and toxicity.pieces(p) == [p] for p in parts)
+        assert set(x) - set("-/_") == set("".join(parts))
+        for i in range(len(long) - 11):
+            assert long not in x or any(long[i : i + 12] in p for p in parts)
+    assert toxicity.pieces("idiot,") == ["idiot,"] and toxicity.pieces("-" * 99) == ["-"]
+    r = random.Random(8)
+    hanzi = [chr(0x4E00 + i) for i in range(60)]
+    words = ["".join(r.choice("abcdefg") for _ in range(4)) for _ in range(200)]
+    texts, labels = [], []
+    for i in range(600):
+        w = [r.choice(hanzi) if i % 2 else r.choice(words) for _ in range(r.choice([20, 60]))]
+        for _ in range(2 * (i % 4 < 2)):
+            w.insert(r.randrange(8, len(w) - 8), "笨蛋" if i % 2 else "idiot")
+        texts.append(("" if i % 2 else "-").join(w))
+        labels.append(int(i % 4 < 2))
+    net = toxicity.Network()
+    net.train(texts[:450], np.array(labels[:450]))
+    got = toxicity.Scorer(net.p).scores(texts[450:])
+    assert np.mean((got >= 0.5) == np.array(labels[450:])) > 0.95
+
+
 def test_gradients_of_the_network():
     net = toxicity.Network(1)
     r = np.random.default_rng(0)
