@@ -89,3 +89,28 @@ def test_near_dup_jaccard_against_all_pairs_of_rows(spark, tmp_path):
     links = {(i, j): similarity(i, j) for i in of for j in of if i < j and similarity(i, j) is not None}
     assert links == pytest.approx(want, abs=1e-6)
     assert {x.id: x.links for x in got if x.kind == "member"} == dict.fromkeys(sets, 0) | Counter(i for p in want for i in p)
+
+
+def test_near_dup_ratio_against_all_pairs_of_rows(spark, tmp_path):
+    """Documents, not benchmark items; texts of one token set are compared one by one."""
+    import random
+    from difflib import SequenceMatcher
+
+    r = random.Random(7)
+    words = ["alpha", "beta", "gamma", "delta", "rho", "sigma", "kappa", "zeta", "eta", "theta", "iota", "chi"]
+    base = [r.sample(words, 8) for _ in range(6)]
+    texts = [" ".join(b) for b in base] + [" ".join(b[:7] + ["omega"]) for b in base] + [" ".join([b[1], b[0], *b[2:]]) for b in base] + [" ".join(b[::-1]) for b in base]
+    texts += [texts[0].upper() + "!", texts[-1] + " " + texts[-1].split()[0], texts[12], "", None]
+    docs = [(i * 3 + 2, x) for i, x in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    norm = {i: " ".join((x or "").lower().replace("!", " ").split()) for i, x in docs}
+    like = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split())) >= 0.75 and SequenceMatcher(None, a, b).ratio() >= 0.88
+    least = {n: min(i for i in norm if norm[i] == n) for n in norm.values()}
+    by = lambda i, j: (norm[i], norm[j]) if least[norm[i]] < least[norm[j]] else (norm[j], norm[i])
+    want = {(i, j) for i in norm for j in norm if i < j and (norm[i] == norm[j] or norm[i] and norm[j] and like(*by(i, j)))}
+    got = entry.queries()["near_dup_ratio"](spark, str(tmp_path)).collect()
+    of = {x.id: x.class_id for x in got if x.kind == "member"}
+    pairs = {(x.a, x.b) for x in got if x.kind == "pair"}
+    assert {(i, j) for i in of for j in of if i < j and (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in pairs)} == want
+    assert {x.id: x.links for x in got if x.kind == "member"} == {i: sum(i in p for p in want) for i in norm}
+    assert any(set(norm[a].split()) == set(norm[b].split()) for a, b in pairs) and len(want) > len(pairs)
