@@ -29,6 +29,7 @@ CLASSES = 1 + CLUSTERS + SUFFIXES  # class 0: the end
 SIGNS = 32  # the most frequent words, by which documents are told apart
 CODES, PAIRS = 1 << 13, 1 << 13  # words with a feature of their own; hashed pairs
 ROUNDS, RATE = 2, 0.25
+BATCH = 256  # tokens of a step, for inputs of any size
 END = "\n"  # a key that no word has
 CHUNK = 512  # rows of weights, or words, that are averaged together
 
@@ -230,12 +231,11 @@ class Model:
         self.table, self.w, self.bias = table, w.astype(np.float32), bias.astype(np.float32)
 
 
-def trained(texts: DataFrame, table: Table, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and biases after ROUNDS rounds, each over its share of all training documents."""
+def trained(texts: DataFrame, table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases after ROUNDS rounds, each over its share of all training documents: a document is in one."""
     spark = texts.sparkSession
     class_counts = np.bincount(table.classes, weights=table.counts, minlength=CLASSES) + 1.0
     w, bias = np.zeros((ROWS, CLASSES), np.float32), np.log(class_counts / class_counts.sum()).astype(np.float32)
-    batch = int(min(1 << 14, max(256, total // 2000)))
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((table, w, bias))  # of fixed size
 
@@ -250,8 +250,8 @@ def trained(texts: DataFrame, table: Table, total: int) -> tuple[np.ndarray, np.
                     ids, place, _, _ = _numbered(table, f["t"].iloc[i : i + 100].tolist())
                     code, y = table.code[ids], table.code_class[ids]
                     feats = features(code, place)
-                    for a in range(0, len(ids), batch):
-                        part = tuple(x[a : a + batch] for x in feats)
+                    for a in range(0, len(ids), BATCH):
+                        part = tuple(x[a : a + BATCH] for x in feats)
                         n = len(part[0])
                         g = np.exp(log_classes(w, b, part))
                         g[np.arange(n), y[a : a + n]] -= 1
@@ -307,7 +307,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     new = np.maximum((once + 0.5) / (mass + 1.0), 1e-9)
     new = np.minimum(new, np.where(mass > 0, 0.9, 1.0))
     mass += np.bincount(table.classes[:n], weights=table.counts[:n], minlength=CLASSES)
-    w, bias = trained(train, table, total)
+    w, bias = trained(train, table)
     known = np.log10(np.maximum(np.where(np.arange(CLASSES) > CLUSTERS, 1 - new, 1.0), 1e-12)) - np.log10(np.maximum(mass, 1.0))
     inside_word = np.r_[np.log10(np.maximum(table.counts, 1)) + known[table.classes], 0.0, np.zeros(SUFFIXES)] if len(table.words) else np.zeros(1 + SUFFIXES)
     ends = vocabulary.where(F.col("word") == END).first()

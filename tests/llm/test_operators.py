@@ -298,6 +298,12 @@ def test_lm_beats_base_on_held_out(spark):
     assert sum(g.score for g in got) > sum(g.base_score for g in got)
 
 
+def test_lm_steps_do_not_depend_on_the_size_of_the_input():
+    import inspect
+
+    assert list(inspect.signature(lm.trained).parameters) == ["texts", "table"] and isinstance(lm.BATCH, int)
+
+
 def test_sharding(docs, rows):
     got = {r.doc_id: r for r in sharding.shard(docs, 6).collect()}
     size = {r[0]: len((r[1] or "").encode()) + 8 for r in rows}
