@@ -1,7 +1,8 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
 P(word | history) = P(class | history) * P(word | class). The class is a log-linear model of hashed features of the
-history: the word before, the pair before (an n-gram), and the words two and three before (skips). It is trained by
+history: the word before, the pair before (an n-gram), and the words two and three before (skips); of words, only the
+CODES most frequent have features of their own there, others those of their class. It is trained by
 rounds of distributed gradient updates: workers make AdaGrad steps on their documents from shared weights, and the
 weights, a table of fixed size, are averaged in blocks by the executors. A word of the class has its share of the
 class's count in all training tokens. Frequent words, a table of bounded size, are in classes by the company they
