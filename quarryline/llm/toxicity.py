@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 Trained in numpy on the driver from a bounded sample of labelled documents, then sent to the workers (its size is set
-by the constants below), which score all overlapping windows of every text. A word's input is the embedding of its
+by the constants below), which score overlapping windows of every text. A word's input is the embedding of its
 hash and the mean of the embeddings of all its character trigrams' hashes; a document's score is that of its worst
 window. What white space leaves long or holds scripts without spaces is several inputs (`pieces`).
 """
@@ -107,7 +107,7 @@ class Vocabulary(dict):
 
 
 def windows(ids: np.ndarray) -> np.ndarray:
-    """All windows of a text's word numbers; a short or empty text has one, padded with 0."""
+    """Windows of a text's word numbers, STRIDE apart, and the last one; a short or empty text has one, padded with 0."""
     if len(ids) <= WINDOW:
         return np.pad(ids, (0, WINDOW - len(ids)))[None]
     starts = np.unique(np.r_[np.arange(0, len(ids) - WINDOW, STRIDE), len(ids) - WINDOW])
