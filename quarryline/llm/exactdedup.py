@@ -1,6 +1,7 @@
-"""Exact dedup: a tree merge of sorted digest runs, with DataFrame operations only.
+"""Exact dedup: a tree merge of digest runs by hash aggregations, with DataFrame operations only.
 
-Each input partition makes a run of digests; in each round, FAN_IN neighbouring runs meet and are merged by digest.
+Each input partition makes a run of digests; in each round, 2 ** FAN_BITS neighbouring runs meet and are aggregated by
+digest; rows are dealt by a hash of merged run and digest, and no run is sorted.
 An entry keeps the identifier that stays (the largest or the smallest), the number of rows behind it, and a second,
 independent digest and the length, whose smallest and largest values must agree at every level. A digest of a third
 of all rows is one row a run from the first level on, so no task sees its copies.
