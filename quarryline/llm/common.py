@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -30,9 +31,13 @@ def ready(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. In local mode, as in tests, one of our own where it is
+    unset; a cluster's executors and driver share no folder that this machine could make up, so there it must be set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
         folder = "file://" + tempfile.mkdtemp(prefix="quarryline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -87,6 +92,26 @@ def hash_block(h: Column, bits: int) -> Column:
     return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
 
 
+def spread_hash(df: DataFrame, seed: int, cols: list[str], most: int = 2048) -> DataFrame:
+    """Adds h, a hash of cols for shuffled orders and blocks. Rows of one hash that occurs more than `most` times, as
+    those without an id may, are told apart by the column row, so that no block of a hash holds them all."""
+    df = df.withColumn("h", F.xxhash64(F.lit(seed), *cols))
+    hot = df.groupBy("h").agg(F.ceil(F.count("*") / most).alias("_parts")).where("_parts > 1")
+    if hot.isEmpty():
+        return df
+    df = salted_join(df, hot, ["h"], "left", "row")
+    part = F.pmod(F.xxhash64("row"), F.col("_parts"))
+    return df.withColumn("h", F.when(F.col("_parts").isNull(), F.col("h")).otherwise(F.xxhash64("h", part))).drop("_parts")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that no column of taken has, whatever the case."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def exclusive_sum(df: DataFrame, part: list[str], block: str, order: list, value: str, out: str) -> DataFrame:
     """Adds out: the sum of value over all rows of the same part that come before, by block and then by order.
 

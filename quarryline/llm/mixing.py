@@ -2,22 +2,21 @@
 
 Slots 0, 1, 2 ... get the points of the golden-ratio sequence (or of van der Corput's), and a point falls into the
 part of [0, 1) that its source's share of the mix covers; so any run of slots holds every source about in proportion.
-Slots are ranked within their source, and the r-th slot of a source takes the r-th block of its shuffled documents:
-equal shares of the words that the mix takes of it, so that its target is met exactly whatever number of slots the
-schedule gave it. A source whose target exceeds its size is read round again.
+Slots are ranked within their source, and the r-th slot of a source takes the r-th block, of a fixed number of words,
+of its shuffled documents. So the schedule alone decides how many words a source gives: the slots that it was dealt, a
+block for each, which a low-discrepancy sequence keeps within a few blocks of the target at any length. A source whose
+slots go beyond its size is read round again.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_bits, exclusive_sum, hash_block, ready, source_key, written
+from .common import block_bits, exclusive_sum, free_name, hash_block, ready, source_key, spread_hash, written
 
-#: Words in a block, about; less for a small corpus, so that there are at least LEAST_SLOTS slots.
-BLOCK_WORDS, LEAST_SLOTS = 1024, 4096
+#: Words in a block: what a slot takes, at every size of the corpus.
+BLOCK_WORDS = 64
 #: Parts of [0, 1) by which slots find their source; a hot source covers many of them.
 CELLS = 4096
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -96,10 +95,14 @@ def schedule(shares: DataFrame, slots: int, sequence: str = "golden") -> DataFra
     return exclusive_sum(placed, ["source_key"], "block", ["slot"], "one", "slot_rank").select("slot", "source_key", "slot_rank")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, sequence: str = "golden", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, sequence: str = "golden", block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, sources, pieces): the measured documents; source_key, source_size, target; and the mix itself, as
     slot, source_key, round, row, doc_id, start, length, where the piece is words start to start + length of the
-    document in the round-th reading of its source. A source that no point falls on gets one slot after the others.
+    document in the round-th reading of its source.
+
+    A slot takes block_words words, so a source's words are its slots times that, and differ from its target by the
+    few blocks of the sequence's discrepancy. A source stops at `most` times its size, within a slot if need be. A
+    source with a target on which no point falls gets one slot after the others, of at most its target's words.
 
     Null and empty texts have no words and are never in the mix. Rows with equal ids are mixed one by one. Sources
     sort by code point with null last. Other columns are ignored. An empty table gives empty results.
@@ -109,44 +112,45 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     sources = written(targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, share, most), "sources")
     count = rows.count()
     total = sources.agg(F.coalesce(F.sum(F.floor("target")), F.lit(0))).first()[0]
-    block = max(1, min(BLOCK_WORDS, total // LEAST_SLOTS))
-    slots = max(1, total // block) if total else 0
+    slots = -(-total // block_words)
     drawn = written(schedule(sources, slots, sequence), "slots")
     per = drawn.groupBy("source_key").agg(F.count("*").alias("n_slots"))
-    per = sources.join(per, "source_key", "left").select("source_key", "source_size", F.floor("target").alias("take"), F.coalesce("n_slots", F.lit(1).cast("long")).alias("n_slots")).where("take > 0")
-    missing = per.join(drawn.select("source_key").distinct(), "source_key", "left_anti")
-    late = missing.select((F.lit(slots) + F.row_number().over(Window.orderBy("source_key")) - 1).cast("long").alias("slot"), "source_key", F.lit(0).cast("long").alias("slot_rank"))
+    per = sources.where("target >= 1").join(per, "source_key", "left")
+    most_words = F.when(F.col("n_slots").isNull(), F.floor("target")).otherwise(F.floor(F.lit(float(most)) * F.col("source_size")))
+    per = per.select("source_key", "source_size", "n_slots", F.least(F.coalesce("n_slots", F.lit(1).cast("long")) * block_words, most_words).alias("take"))
+    late = per.where("n_slots is null").select((F.lit(slots) + F.row_number().over(Window.orderBy("source_key")) - 1).cast("long").alias("slot"), "source_key", F.lit(0).cast("long").alias("slot_rank"))
     drawn = drawn.union(late)
 
-    h = F.xxhash64(F.lit(11), "doc_id", "size")
-    placed = exclusive_sum(rows.where("size > 0").withColumn("h", h).withColumn("block", hash_block(F.col("h"), block_bits(count))), ["source_key"], "block", ["h", "row"], "size", "begin")
-    readings = placed.join(per, "source_key").withColumn("round", F.explode(F.sequence(F.lit(0), F.floor((F.col("take") - 1) / F.col("source_size")).cast("int"))))
+    placed = spread_hash(rows.where("size > 0"), 11, ["doc_id", "size"]).withColumn("block", hash_block(F.col("h"), block_bits(count)))
+    placed = exclusive_sum(placed, ["source_key"], "block", ["h", "row"], "size", "begin")
+    readings = placed.join(per, "source_key").withColumn("round", F.explode(F.sequence(F.lit(0), F.expr("cast((take - 1) div source_size as int)"))))
     at = readings.withColumn("from", F.col("begin") + F.col("round") * F.col("source_size")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("take"))).where("from < to")
-    edge = lambda r: F.floor(r * F.col("take") / F.col("n_slots"))  # noqa: E731  block r starts here
-    rank = F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(F.col("from") * F.col("n_slots") / F.col("take")) - 1), F.least(F.col("n_slots") - 1, F.floor((F.col("to") - 1) * F.col("n_slots") / F.col("take")) + 1)))
-    cut = at.withColumn("slot_rank", rank)
-    cut = cut.withColumn("a", F.greatest(F.col("from"), edge(F.col("slot_rank")))).withColumn("b", F.least(F.col("to"), edge(F.col("slot_rank") + 1))).where("a < b")
+    cut = at.withColumn("slot_rank", F.explode(F.expr(f"sequence(`from` div {block_words}, (`to` - 1) div {block_words})")))
+    cut = cut.withColumn("a", F.greatest(F.col("from"), F.col("slot_rank") * block_words)).withColumn("b", F.least(F.col("to"), (F.col("slot_rank") + 1) * block_words))
     pieces = cut.join(drawn, ["source_key", "slot_rank"]).select("slot", "source_key", "round", "row", "doc_id", (F.col("a") - F.col("from")).alias("start"), (F.col("b") - F.col("a")).alias("length"))
     return rows, sources, pieces
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", n_col: str | None = "n_chars", **options) -> DataFrame:
-    """The mix as rows with the columns of docs: a row for each reading of a document, its text cut to the words taken
-    where the mix ends within it (n_col is then counted anew)."""
-    clash = {"row", "_start", "_length", "_size"}
-    names = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c in clash}
-    held = written(reduce(lambda d, c: d.withColumnRenamed(c, names[c]), names, docs).withColumn("row", F.monotonically_increasing_id()), "mixed")
-    new = lambda c: names.get(c, c)
-    size = F.coalesce(F.regexp_count(F.col(new(text_col)).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = held.select(F.col(new(id_col)).cast("long").alias("doc_id"), source_key(new(source_col)).alias("source_key"), size.alias("size"), "row")
+    """The mix as rows with the columns of docs: a row for each reading of a document, whole if all its words are taken.
+
+    Where the mix ends within a document its text is cut to the words taken, joined by one space (its line ends and
+    other white space go), and n_col is counted anew. Null and empty texts and texts of white space take no part.
+    Rows of equal ids are mixed one by one; columns of docs may have any names.
+    """
+    row, start, length, words = (free_name(n, docs.columns) for n in ("_row", "_start", "_length", "_words"))
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "mixed")
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = held.select(F.col(id_col).cast("long").alias("doc_id"), source_key(source_col).alias("source_key"), size.alias("size"), F.col(row).alias("row"))
     rows, _, pieces = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, rows=written(rows, "measured"), **options)
-    taken = pieces.groupBy("row", "round").agg(F.min("start").alias("_start"), F.sum("length").alias("_length")).join(rows.select("row", F.col("size").alias("_size")), "row").drop("round")
-    out = held.join(taken, "row")
-    words = F.array_join(F.slice(F.regexp_extract_all(F.col(new(text_col)), F.lit(f"({WORD})"), F.lit(1)), (F.col("_start") + 1).cast("int"), F.col("_length").cast("int")), " ")
-    out = out.withColumn(new(text_col), F.when(F.col("_length") == F.col("_size"), F.col(new(text_col))).otherwise(words))
+    taken = pieces.groupBy("row", "round").agg(F.min("start").alias(start), F.sum("length").alias(length))
+    taken = taken.join(rows.select("row", F.col("size").alias(words)), "row").select(F.col("row").alias(row), start, length, words)
+    out = held.join(taken, row)
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD})"), F.lit(1)), (F.col(start) + 1).cast("int"), F.col(length).cast("int")), " ")
+    out = out.withColumn(text_col, F.when(F.col(length) == F.col(words), F.col(text_col)).otherwise(cut))
     if n_col in docs.columns:
-        out = out.withColumn(new(n_col), F.length(new(text_col)).cast(docs.schema[n_col].dataType))
-    return out.select(*[F.col(new(c)).alias(c) for c in docs.columns])
+        out = out.withColumn(n_col, F.length(text_col).cast(docs.schema[n_col].dataType))
+    return out.select(*docs.columns)
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
