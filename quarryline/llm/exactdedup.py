@@ -1,18 +1,20 @@
-"""Exact dedup: a tree merge of digest runs by hash aggregations, with DataFrame operations only.
+"""Exact dedup: a tree merge of sorted digest runs, with DataFrame operations only.
 
-Each input partition makes a run of digests; in each round, 2 ** FAN_BITS neighbouring runs meet and are aggregated by
-digest; rows are dealt by a hash of merged run and digest, and no run is sorted.
+Each input partition makes a run of digests, sorted. In each round 2 ** FAN_BITS neighbouring runs are exchanged, part
+by part (a part holds the digests of one hash of run and digest, so a run is spread over tasks), and merged in the
+order of the digest by a sort aggregation: it reads each merged part once, in order, with one entry in memory.
 An entry keeps the identifier that stays (the largest or the smallest), the number of rows behind it, and a second,
 independent digest and the length, whose smallest and largest values must agree at every level. A digest of a third
-of all rows is one row a run from the first level on, so no task sees its copies.
+of all rows is one entry a run before the first exchange, so no task sees its copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from .common import ready, salted_join, written
+from .common import free_name, ready, salted_join, written
 
 #: Runs merged into one in each round (2 ** FAN_BITS).
 FAN_BITS = 3
@@ -36,30 +38,32 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def merged_runs(runs: DataFrame, n_runs: int, keep: str = "max") -> DataFrame:
-    """digest, keep_id, group_size: the one run that is left after the rounds."""
+def sorted_runs(entries: DataFrame) -> DataFrame:
+    return entries.sortWithinPartitions("run", "digest")
+
+
+def merged(runs: DataFrame, keep: str) -> DataFrame:
+    """The entries of sorted runs with one entry for each run and digest; in order within each task."""
     pick = F.max if keep == "max" else F.min
-    low = runs.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("size"), F.col("check").alias("lo"), F.col("check").alias("hi"), F.col("n").alias("n_lo"), F.col("n").alias("n_hi"), "run")
-    shift, top = 0, max(1, n_runs - 1).bit_length()
-    while True:
-        merged = (
-            low.groupBy("digest", F.shiftright("run", shift).alias("run") if shift else F.col("run"))
-            .agg(pick("keep_id").alias("keep_id"), F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"))
-        )
-        same = (F.col("lo") == F.col("hi")) & (F.col("n_lo") == F.col("n_hi"))
-        low = merged.withColumn("lo", F.when(same, F.col("lo")).otherwise(F.raise_error(F.lit("two texts with one SHA-256 digest")).cast("long")))
-        if top <= 0:
-            return low.select("digest", "keep_id", F.col("size").alias("group_size"))
-        top, shift = top - FAN_BITS, FAN_BITS
+    # Aggregates of structs are kept by sort aggregation only, before the exchange and after it.
+    out = runs.groupBy("run", "digest").agg(pick("keep_id").alias("keep_id"), F.sum("size").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    unlike = F.raise_error(F.lit("two texts with one SHA-256 digest"))
+    return out.withColumn("size", F.when(F.col("lo") == F.col("hi"), F.col("size")).otherwise(unlike.cast("long")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def merged_runs(rows: DataFrame, n_runs: int, keep: str = "max") -> DataFrame:
+    """digest, keep_id, group_size: the one run that is left after the rounds, of (doc_id, digest, check, n, run)."""
+    seen = F.struct("check", "n")
+    level = rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("size"), seen.alias("lo"), seen.alias("hi"), "run")
+    left = max(n_runs, 2)
+    while left > 1:
+        level = merged(sorted_runs(level.withColumn("run", F.shiftright("run", FAN_BITS))), keep)
+        left = -(-left // (1 << FAN_BITS))
+    return level.select("digest", "keep_id", F.col("size").alias("group_size"))
 
-    Null texts count as empty. Rows of one id and equal text are copies as well: of them one is kept, since only one
-    row of a group has kept = true. A null id stays only in a group without any other id (its keep_id is null).
-    Other columns are ignored. An empty table gives an empty result.
-    """
+
+def _marked(docs: DataFrame, id_col: str, text_col: str, keep: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of exact_dedup with digest, row and first; and, if any, the (doc_id, digest) that stay but repeat."""
     ready(docs.sparkSession)
     rows = written(digests(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "digests")
     n_runs = rows.agg(F.max("run")).first()[0]
@@ -77,19 +81,44 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     # Rows that repeat the id that stays: all but the first of them go. Only rows with kept meet here.
     again = out.where("kept and group_size > 1").groupBy("digest").agg(F.min("row").alias("first_row"), F.count("*").alias("n")).where("n > 1").select("digest", "first_row")
-    out = salted_join(out, again, ["digest"], "left", "row") if again.limit(1).count() else out.withColumn("first_row", F.lit(None).cast("long"))
-    return out.select("doc_id", "keep_id", "group_size", (F.col("kept") & (F.col("first_row").isNull() | (F.col("first_row") == F.col("row")))).alias("kept"), "text_sha256")
+    if again.isEmpty():
+        return out, None
+    again = written(again, "again")
+    out = salted_join(out, again, ["digest"], "left", "row")
+    return out.withColumn("kept", F.col("kept") & (F.col("first_row").isNull() | (F.col("first_row") == F.col("row")))).drop("first_row"), again
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Null texts count as empty. Rows of one id and equal text are copies as well: of them one is kept, since only one
+    row of a group has kept = true. A null id stays only in a group without any other id (its keep_id is null).
+    Other columns are ignored. An empty table gives an empty result.
+    """
+    return _marked(docs, id_col, text_col, keep)[0].drop("digest", "row")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Ids must be unique among rows of different texts."""
-    marks = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    """The rows of docs that stay, with all their columns, one of each group of equal texts.
+
+    Of rows that repeat the id that stays, the one stays whose columns (but maps) have the least hash, so reruns agree.
+    Null texts count as empty; a null id stays only in a group without any other id. Columns may have any names.
+    """
+    key, tie = free_name("_key", docs.columns), free_name("_tie", docs.columns)
+    out, again = _marked(docs, id_col, text_col, keep)
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
-    key = lambda i, h: F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit(" "), h)
-    rows = docs.withColumn("_key", key(F.col(id_col), sha))
-    out = rows.join(marks.select(key(F.col("_kept_id"), F.col("_kept_sha")).alias("_key")).distinct(), "_key", "left_semi")
-    # Repeated rows of one id and one text are told apart by their place only.
-    return out.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))).where("_nth = 1").drop("_key", "_nth")
+    of = lambda i, h: F.concat(F.coalesce(i.cast("string"), F.lit("null")), F.lit(" "), h)
+    rows = docs.withColumn(key, of(F.col(id_col), sha))
+    stay = out.where("kept").select(of(F.col("doc_id"), F.col("text_sha256")).alias(key))
+    if again is None:
+        return rows.join(stay, key, "left_semi").drop(key)
+    twice = out.where("kept").join(again.select("digest"), "digest", "left_semi").select(of(F.col("doc_id"), F.col("text_sha256")).alias(key))
+    once = rows.join(stay, key, "left_semi").join(twice, key, "left_anti").drop(key)
+    plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    many = rows.join(twice, key, "left_semi").withColumn(tie, F.xxhash64(*plain))
+    # min_by adds up before it shuffles, so no task sees the repeats of one id.
+    one = many.groupBy(key).agg(F.min_by(F.struct(*docs.columns), tie).alias(tie)).select(f"{tie}.*")
+    return once.union(one)
 
 
 SQL = """

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, salted_join, written
+from .common import free_name, ready, salted_join, written
 from .components import components
 
 WORDS, SEED, MAX_DIFF, BLOCKS = 4, 42, 4, 6
@@ -241,9 +241,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component: one document of each group stays."""
-    stay = near_duplicates(docs, id_col, text_col).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    """The rows of docs whose id names their component: one document of each group stays, with all its columns.
+
+    Null and empty texts are one group. Rows that repeat the id that stays all stay (they are one document); a null id
+    stays only in a component without any other. Columns may have any names; an empty table gives an empty result.
+    """
+    name = free_name("_stay", docs.columns)
+    stay = near_duplicates(docs, id_col, text_col).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stay, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

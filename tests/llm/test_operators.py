@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quarryline.llm import exactdedup, fingerprint, linededup, lm, mixing, packing, sharding, simhash, substring, toxicity
+from quarryline.llm import common, exactdedup, fingerprint, linededup, lm, mixing, packing, sharding, simhash, substring, toxicity
 from quarryline.llm.components import components
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,6 +79,56 @@ def test_exact_dedup_repeated_rows(spark):
     assert exactdedup.deduplicated(df).count() == 2
 
 
+def test_exact_dedup_merges_sorted_runs(spark):
+    """Every level is in the order of the digest in each task, has an eighth of the runs, and is made by sort aggregation."""
+    df = spark.range(3000).select("id", F.concat(F.lit("t"), F.col("id") % 700).alias("text")).repartition(70)
+    rows = exactdedup.digests(df, "id")
+    level = rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("size"), F.struct("check", "n").alias("lo"), F.struct("check", "n").alias("hi"), "run")
+    runs = [70]
+    while runs[-1] > 1:
+        level = exactdedup.merged(exactdedup.sorted_runs(level.withColumn("run", F.shiftright("run", exactdedup.FAN_BITS))), "max")
+        got = level.withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).collect()
+        runs.append(len({r.run for r in got}))
+        by_task = defaultdict(list)
+        for r in sorted(got, key=lambda r: r._at):
+            by_task[r._task].append((r.run, bytes(r.digest)))
+        assert all(x == sorted(x) and len(set(x)) == len(x) for x in by_task.values())
+    assert runs == [70, 9, 2, 1] and len(got) == 700 and sum(r.size for r in got) == 3000
+    assert {r.keep_id for r in got} == set(range(2300, 3000))
+    plan = level._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") >= 6 and "HashAggregate" not in plan
+    bad = rows.withColumn("n", F.when(F.col("doc_id") == 5, 0).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="two texts with one SHA-256 digest"):
+        exactdedup.merged_runs(bad, 70).collect()
+
+
+CLASHES = ["_key", "_nth", "_tie", "_stay", "_toxicity", "_row", "_start", "_length", "_words", "_w", "_h", "_d", "_full", "t", "row", "digest", "h", "block", "Block", "run"]
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    """The operators that return the columns of documents keep those that are named as their own."""
+    import corpus_pipeline as P
+
+    names = [c for i, c in enumerate(CLASHES) if c.lower() not in {x.lower() for x in CLASHES[:i]}]
+    rows = [(i, f"some text of {i % 9} words and {'more of it ' * (i % 9)}", "en", "a", 9, *range(len(names))) for i in range(30)] + [(None, None, None, None, None, *range(len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in names))
+    spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, df, str(tmp_path))
+        assert out.columns == df.columns, name
+        for r in out.collect():
+            assert list(r)[5:] == list(range(len(names))), name
+    for f in (exactdedup.exact_dedup, simhash.near_duplicates, fingerprint.fingerprints, linededup.line_dedup, substring.without_repeats, lm.lm_scores, sharding.shard):
+        assert f(df).count() == 31
+    assert packing.pack(df, PATH).agg(F.countDistinct("doc_id")).first()[0] == 30
+
+
+def test_rows_that_repeat_an_id_but_differ_elsewhere(spark):
+    rows = [(7, "same text", i) for i in range(40)] + [(3, "SAME text", 1), (4, "other", 2), (4, "other", 2)]
+    got = [sorted(map(tuple, exactdedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, x int").repartition(n)).collect())) for n in (2, 5)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [4, 7]
+
+
 def _fingerprint(t):
     w = (t or "").encode().lower().split()
     sh = [b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
@@ -174,8 +224,24 @@ def test_packing_keeps_the_mixture(spark):
         assert all(abs(per[s][k] / 2048 - every[k] / total) < 0.08 for k in every)
 
 
+@pytest.mark.parametrize("sources", [3, 40])
+def test_packing_keeps_the_mixture_of_long_documents(spark, sources):
+    """Documents of several windows, and one of many: every window but the last still holds every source's share."""
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.choice([50, 3000, 9000]))), f"s{min(sources - 1, r.randrange(2 * sources))}") for i in range(60 + sources)]
+    rows.append((1000, "a b " * 40000, "s1"))
+    source = {i: s for i, _, s in rows}
+    every, per = Counter(), defaultdict(Counter)
+    for p in packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), PATH).collect():
+        every[source[p.doc_id]] += p.length
+        per[p.sequence_id][source[p.doc_id]] += p.length
+    total = sum(every.values())
+    distance = [sum(abs(per[w][k] / 2048 - every[k] / total) for k in every) / 2 for w in range(len(per) - 1)]
+    assert len(distance) > 100 and max(distance) < 2 * sources / 2048 + 0.005
+
+
 def test_mixing(docs, rows):
-    measured, sources, pieces = mixing.mix(docs)
+    measured, sources, pieces = mixing.mix(docs, block_words=4)
     size = {r[0]: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows}
     by = defaultdict(int)
     for r in rows:
@@ -201,13 +267,31 @@ def test_mixing(docs, rows):
         assert 0 <= p.start and p.length > 0 and p.start + p.length <= size[p.doc_id]
         taken[p.source_key] += p.length
         at[p.doc_id] += p.length
-    assert all(abs(taken[k] - target[k]) < 1 for k in order)
+    # A source gives a block for each slot that it was dealt, and no more than twice its size.
+    slots = Counter(p.source_key for p in pieces.select("source_key", "slot").distinct().collect())
+    assert all(abs(taken[k] - target[k]) <= 4 * 4 for k in order)
+    assert all(taken[k] == min(4 * slots[k], 2 * by[k]) or slots[k] == 1 for k in order)
     assert all(at[i] <= 2 * size[i] for i in size)
-    again = mixing.mix(docs)[2]
+    again = mixing.mix(docs, block_words=4)[2]
     cols = ["slot", "source_key", "round", "doc_id", "start", "length"]
     assert sorted(map(tuple, again.select(*cols).collect())) == sorted(map(tuple, pieces.select(*cols).collect()))
 
 
+def test_mixing_follows_its_schedule(docs, monkeypatch):
+    """The slots that a schedule deals to a source decide its words: a schedule that is off changes them."""
+    words = lambda: {r.source_key: r.n for r in mixing.mix(docs, block_words=8)[2].groupBy("source_key").agg(F.sum("length").alias("n")).collect()}
+    right = words()
+    monkeypatch.setattr(mixing, "point", lambda slot, sequence="golden": F.pmod(slot, F.lit(2)) * (1 << 30))  # two points only
+    wrong = words()
+    assert sum(abs(right[k] - wrong.get(k, 0)) for k in right) > sum(right.values()) / 4
+
+
+def test_blocks_of_rows_with_one_id(spark):
+    df = spark.range(9000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit(1).alias("size"), F.col("id").alias("row"))
+    got = [r.n for r in common.spread_hash(df, 1, ["doc_id", "size"], 100).groupBy("h").agg(F.count("*").alias("n")).collect()]
+    assert sum(got) == 9000 and max(got) < 200
+
+
 def test_low_discrepancy_points(spark):
     for sequence in ("golden", "van_der_corput"):
         u = [r.u for r in spark.range(5000).select(mixing.point(F.col("id"), sequence).alias("u")).collect()]
