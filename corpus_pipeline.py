@@ -12,27 +12,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import exactdedup, mixing, packing, simhash, toxicity
-from quarryline.llm.common import ready, written
+from quarryline.llm.common import free_name, ready, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.5 and more go; the model is learnt from the labels of docs."""
+    """Documents with a score of 0.5 and more go; the model is learnt from the labels of docs. Null texts count as
+    empty; rows of one id are judged one by one; columns may have any names."""
     model = toxicity.train_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out="_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    name = free_name("_toxicity", docs.columns)
+    return toxicity.score(docs, model, out=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays, one of those that repeat it. Null texts count as empty."""
     return exactdedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near fingerprints the one with the smallest doc_id stays."""
+    """Of documents linked by near fingerprints the one with the smallest doc_id stays. Null and empty texts are one group."""
     return simhash.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, a row for each reading; the last of a source may be cut."""
+    """Documents as often as the mix takes them, a row for each reading; the last of a source may be cut, and has its
+    words joined by one space. Null and empty texts take no part; rows of one id are mixed one by one."""
     return mixing.mixed(docs)
 
 
