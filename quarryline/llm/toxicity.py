@@ -1,9 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 Trained in numpy on the driver from a bounded sample of labelled documents, then sent to the workers (its size is set
-by the constants below), which score overlapping windows of every text. A word's input is the embedding of its
-hash and the mean of the embeddings of all its character trigrams' hashes; a document's score is that of its worst
-window. What white space leaves long or holds scripts without spaces is several inputs (`pieces`).
+by the constants below), which score all windows of WINDOW words of every text, one at each word. A word's input is the
+embedding of its hash and the mean of the embeddings of all its character trigrams' hashes; a document's score is that
+of its worst window. What white space leaves long or holds scripts without spaces is several inputs (`pieces`).
 """
 
 from __future__ import annotations
@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 
 from .common import ready
 
-WINDOW, STRIDE = 32, 24
-WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 13, 1 << 12, 12, 8, 8, 8
+WINDOW = 16
+WORD_BUCKETS, CHAR_BUCKETS, WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 1 << 16, 1 << 12, 12, 8, 8, 8
 #: The training sample: so many labelled documents of each class at most, none of over MOST_CHARS.
 SAMPLE_EACH, MOST_CHARS = 2048, 1 << 14
-EPOCHS, STEPS, MOST_EPOCHS, BATCH, RATE, SEED = 8, 500, 60, 128, 4e-3, 7  # at least EPOCHS, or as many as make STEPS
+EPOCHS, STEPS, MOST_EPOCHS, BATCH, RATE, SEED = 5, 150, 60, 128, 4e-3, 7  # at least EPOCHS, or as many as make STEPS
+#: The worst windows are looked for again after LOOK epochs. Weights shrink by DECAY times the rate in each step, a share
+#: HIDE of the words of a window in training has no input, and words of fewer than LEAST_TEXTS texts have their
+#: characters alone, so that no document is learnt by its rare words.
+LOOK, DECAY, HIDE, LEAST_TEXTS = 3, 2.0, 0.2, 8
 #: A word of more bytes than LONG is cut at punctuation, what is left of more characters than PIECE into overlapping
 #: pieces: a word of up to PIECE // 2 characters in it is whole in one of them.
 LONG, PIECE = 14, 24
@@ -106,12 +110,35 @@ class Vocabulary(dict):
         return words, Trigrams(np.array(flat, np.int32), count)
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
-    """Windows of a text's word numbers, STRIDE apart, and the last one; a short or empty text has one, padded with 0."""
-    if len(ids) <= WINDOW:
-        return np.pad(ids, (0, WINDOW - len(ids)))[None]
-    starts = np.unique(np.r_[np.arange(0, len(ids) - WINDOW, STRIDE), len(ids) - WINDOW])
-    return ids[starts[:, None] + np.arange(WINDOW)]
+class Stream:
+    """The word numbers of texts, one after another; a text shorter than a window, or empty, is padded with 0.
+
+    A text of n words has max(1, n - WINDOW + 1) windows, one at each word; starts: where they begin, by text."""
+
+    def __init__(self, each: list[np.ndarray]) -> None:
+        self.ids = np.concatenate([np.pad(x, (0, max(0, WINDOW - len(x)))) for x in each])
+        size = np.array([max(WINDOW, len(x)) for x in each], np.int64)
+        self.count = size - WINDOW + 1
+        self.first = np.cumsum(self.count) - self.count
+        self.starts = np.arange(self.count.sum()) + np.repeat(np.cumsum(size) - size - self.first, self.count)
+        self.short = np.array([len(x) < WINDOW for x in each])
+
+    def windows(self, which: np.ndarray) -> np.ndarray:
+        return self.ids[self.starts[which][:, None] + np.arange(WINDOW)]
+
+    def logits(self, net: Network, table: np.ndarray) -> np.ndarray:
+        """Of all windows, in order. Padded texts have one each; those of the others are read along the stream."""
+        out = np.empty(len(self.starts), np.float32)
+        padded = self.first[self.short]
+        for i in range(0, len(padded), 2048):
+            out[padded[i : i + 2048]] = net.forward(table, self.windows(padded[i : i + 2048]))
+        whole = np.flatnonzero(np.repeat(~self.short, self.count))
+        if len(whole):
+            at = self.starts[whole]
+            reach = np.cumsum(np.bincount(at, minlength=len(self.ids) + 1) - np.bincount(at + WINDOW, minlength=len(self.ids) + 1))[:-1] > 0
+            place = np.cumsum(reach) - 1  # without padded texts
+            out[whole] = net.slide(table, self.ids[reach])[place[at]]
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -169,6 +196,49 @@ class Network:
             keep |= {"f": kf, "b": kb, "h": h, "u": u, "a": a, "pooled": pooled}
         return pooled @ self.p["o"] + self.p["bo"]
 
+    def slide(self, table: np.ndarray, ids: np.ndarray, chunk: int = 2048) -> np.ndarray:
+        """Logits of the windows at every place of a run of word numbers without 0, as forward() gives them. A step of
+        all windows reads one slice of the run, and has a row for each unit, so numpy works along windows."""
+        half = np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(np.float32)  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+        both = []
+        for side, k in (("uf", 0), ("ub", 1)):
+            part = slice(k * HIDDEN, (k + 1) * HIDDEN)
+            both.append(np.ascontiguousarray(np.concatenate([self.p[side] * half, self.p["a"][part], self.p["o"][part, None]], 1).T))
+        scale = np.r_[half, half]
+        n, gates = len(ids) - WINDOW + 1, 2 * HIDDEN
+        logits = np.empty(max(n, 0), np.float32)
+        for at in range(0, n, chunk):
+            m = min(chunk, n - at)
+            g = np.ascontiguousarray((table[ids[at : at + m + WINDOW - 1]] * scale).T)
+            seen, score = np.empty((WINDOW, ATTEND + 1, m), np.float32), np.empty((WINDOW, m), np.float32)
+            for k, order in ((0, range(WINDOW)), (1, range(WINDOW - 1, -1, -1))):
+                x, h = g[3 * HIDDEN * k : 3 * HIDDEN * (k + 1)], np.zeros((HIDDEN, m), np.float32)
+                y = np.zeros((len(both[k]), m), np.float32)
+                for t in order:
+                    zr = x[:gates, t : t + m] + y[:gates]
+                    np.tanh(zr, out=zr)
+                    zr *= np.float32(0.5)
+                    zr += np.float32(0.5)
+                    new = zr[HIDDEN:]
+                    new *= y[gates : 3 * HIDDEN]
+                    new += x[gates:, t : t + m]
+                    np.tanh(new, out=new)
+                    h -= new
+                    h *= zr[:HIDDEN]
+                    h += new
+                    y = both[k] @ h
+                    if k == 0:
+                        seen[t] = y[3 * HIDDEN :]
+                        continue
+                    seen[t] += y[3 * HIDDEN :]
+                    u = seen[t, :ATTEND]
+                    u += self.p["ba"][:, None]
+                    score[t] = self.p["v"] @ np.tanh(u, out=u)
+            score -= score.max(0)
+            np.exp(score, out=score)
+            logits[at : at + m] = (score * seen[:, ATTEND]).sum(0) / score.sum(0) + self.p["bo"]
+        return logits
+
     def backward(self, d: np.ndarray, k: dict) -> tuple[dict, np.ndarray]:
         """Gradients of the parameters, and those of the gate inputs by step and window; d: of the logits."""
         grad = {"o": k["pooled"].T @ d, "bo": d.sum(keepdims=True)}
@@ -204,36 +274,40 @@ class Network:
             self.p["o"][:], self.p["bo"][:] = 0, np.log(share / (1 - share))
             return
         vocabulary = Vocabulary()
-        each = [windows(vocabulary.numbers(t)) for t in texts]
+        stream = Stream([vocabulary.numbers(t) for t in texts])
         words, chars = vocabulary.features()
         words, chars = np.r_[0, words], Trigrams(np.r_[0, chars.flat], np.r_[1, chars.count])
-        ids, doc = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+        doc = np.repeat(np.arange(len(texts)), stream.count)
         # The first word dimension starts at the log odds of its bucket among the documents.
         seen = np.zeros((2, WORD_BUCKETS))
-        for x, y in zip(each, labels, strict=True):
+        of_text = np.split(stream.ids, np.cumsum(stream.count + WINDOW - 1)[:-1])
+        for x, y in zip(of_text, labels, strict=True):
             seen[y, np.unique(words[x])] += 1
         odds = np.log((seen[1] + 0.5) / (labels.sum() + 1)) - np.log((seen[0] + 0.5) / ((1 - labels).sum() + 1))
-        odds[seen.sum(0) < 3] = 0
+        rare = seen.sum(0) < LEAST_TEXTS
+        odds[rare] = 0
+        self.p["word"][rare] = 0  # and stay so: texts are not to be learnt by words of their own
         self.p["word"][:, 0] = np.clip(odds, -2, 6) / 2
         self.p["word"][0], self.p["char"][0] = 0, 0
-        score = self.p["word"][words[ids], 0].max(1)
+        first = self.p["word"][words[stream.ids], 0]
+        score = np.lib.stride_tricks.sliding_window_view(first, WINDOW).max(1)[stream.starts]
         r = np.random.default_rng(SEED)
         moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         step = 0
-        ends = np.cumsum([len(x) for x in each])
+        ends = stream.first + stream.count
         weight = np.where(labels == 1, np.sqrt((1 - labels).sum() / labels.sum()), 1.0).astype(np.float32)
-        a_round = -(-(len(each) + int((labels == 0).sum())) // BATCH)
+        a_round = -(-(len(texts) + int((labels == 0).sum())) // BATCH)
         for epoch in range(max(EPOCHS, min(MOST_EPOCHS, -(-STEPS // a_round)))):
-            if epoch:
-                table = self.project(words, chars)
-                score = np.concatenate([self.forward(table, ids[i : i + 4096]) for i in range(0, len(ids), 4096)])
-            worst = np.array([e - len(x) + int(score[e - len(x) : e].argmax()) for x, e in zip(each, ends, strict=True)])
+            if epoch % LOOK == 1:
+                score = stream.logits(self, self.project(words, chars))
+            worst = np.array([a + int(score[a:e].argmax()) for a, e in zip(stream.first, ends, strict=True)])
             clean = np.flatnonzero(labels == 0)
-            other = np.array([ends[i] - 1 - r.integers(len(each[i])) for i in clean])
+            other = np.array([ends[i] - 1 - r.integers(stream.count[i]) for i in clean])
             pick = r.permutation(np.concatenate([worst, other]))
             for i in range(0, len(pick), BATCH):
-                batch = ids[pick[i : i + BATCH]]
+                batch = stream.windows(pick[i : i + BATCH])
                 of = doc[pick[i : i + BATCH]]
+                batch = np.where((r.random(batch.shape) < HIDE) & (np.arange(WINDOW) > 0), 0, batch)
                 used, local = np.unique(batch, return_inverse=True)
                 local = local.reshape(batch.shape)
                 tri = chars.of(used)
@@ -253,12 +327,18 @@ class Network:
                 grad["x"], grad["bx"] = x.T @ dt, dt.sum(0)
                 grad["word"], grad["char"] = np.zeros_like(self.p["word"]), np.zeros_like(self.p["char"])
                 np.add.at(grad["word"], words[used], dx[:, :WORD_DIM])
+                grad["word"][rare] = 0
                 np.add.at(grad["char"], tri.flat, np.repeat(dx[:, WORD_DIM:] / tri.count[:, None].astype(np.float32), tri.count, axis=0))
                 step += 1
                 for k, g in grad.items():
                     m, v = moment[k]
                     m += 0.1 * (g - m)
                     v += 0.001 * (g * g - v)
+                    if k not in ("bx", "ba", "bo"):
+                        held = self.p[k][:, 0].copy() if k == "word" else None
+                        self.p[k] *= np.float32(1 - RATE * DECAY)
+                        if held is not None:
+                            self.p[k][:, 0] = held
                     self.p[k] -= (RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
                 self.p["word"][0], self.p["char"][0] = 0, 0
 
@@ -280,7 +360,7 @@ class Scorer:
     def scores(self, texts: list[str]) -> np.ndarray:
         if len(self.words) > CACHE_MOST:
             self.reset()
-        each = [windows(self.words.numbers(t)) for t in texts]
+        stream = Stream([self.words.numbers(t) for t in texts])
         words, chars = self.words.features()
         need = self.filled + len(words)
         if need > len(self.table):
@@ -289,17 +369,14 @@ class Scorer:
             rows = np.arange(i, min(i + (1 << 13), len(words)))
             self.table[self.filled + rows] = self.net.project(words[rows], chars.of(rows))
         self.filled = need
-        ids = np.concatenate(each)
-        logits = np.concatenate([self.net.forward(self.table, ids[i : i + 2048]) for i in range(0, len(ids), 2048)])
-        starts = np.cumsum([0] + [len(x) for x in each[:-1]])
-        return _sigmoid(np.maximum.reduceat(logits, starts).astype(np.float64))
+        return _sigmoid(np.maximum.reduceat(stream.logits(self.net, self.table), stream.first).astype(np.float64))
 
 
 def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """The network's parameters, learnt from labelled rows whose crc32 of the id as text is not divisible by 5.
 
     The sample holds at most SAMPLE_EACH ids of either class, in the order of a hash; it is all that the driver gets.
-    Labels of one id that differ count as 1; null labels and ids, and texts that are null or over MOST_CHARS, are not
+    Labels of one id that differ count as 1, and of its texts the least is learnt from; null labels and ids, and texts that are null or over MOST_CHARS, are not
     learnt from. With labels of one class only, or none, the score is one number for all texts.
     """
     mine = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -308,7 +385,8 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     picked = [mine.where(f"_y = {y}").orderBy(*order).limit(SAMPLE_EACH) for y in (0, 1)]
     ids = docs.sparkSession.createDataFrame([tuple(r) for p in picked for r in p.collect()], mine.schema)  # bounded
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t")).where(F.length("_t") <= MOST_CHARS)
-    rows = sorted(texts.join(F.broadcast(ids), "_id").select("_id", "_t", "_y").collect())
+    one = texts.join(F.broadcast(ids), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t"))  # of an id that repeats
+    rows = sorted(one.select("_id", "_t", "_y").collect())
     net = Network()
     net.train([r[1] for r in rows], np.array([r[2] for r in rows], np.int64)) if rows else net.p["o"].fill(0)
     return net.p
@@ -322,7 +400,7 @@ def score(docs: DataFrame, parameters: dict, text_col: str = "text", out: str =
     """Adds out, 0 to 1, from the texts alone: higher, likelier toxic. Null texts are empty; empty ones have a score
     of their own. Equal texts have equal scores. Whole texts are scored. All columns of docs stay."""
     ready(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(parameters)  # under 1 MB, by the constants above
+    shared = docs.sparkSession.sparkContext.broadcast(parameters)  # about 3 MB, by the constants above
 
     @F.pandas_udf("double")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -459,6 +459,23 @@ def test_toxicity_reads_words_of_any_length():
     assert np.mean((got >= 0.5) == np.array(labels[450:])) > 0.95
 
 
+def test_toxicity_reads_the_window_at_every_word():
+    """Along a stream of texts, short, empty and long, windows have the logits that each has by itself."""
+    r = np.random.default_rng(3)
+    net = toxicity.Network(2)
+    table = r.standard_normal((50, 6 * toxicity.HIDDEN)).astype(np.float32)
+    each = [r.integers(1, 50, n).astype(np.int32) for n in (0, 40, 3, toxicity.WINDOW, toxicity.WINDOW + 1, 5000, 1)]
+    stream = toxicity.Stream(each)
+    assert stream.count.tolist() == [max(1, len(x) - toxicity.WINDOW + 1) for x in each]
+    want = []
+    for x in each:
+        padded = np.pad(x, (0, max(0, toxicity.WINDOW - len(x))))
+        alone = np.array([padded[i : i + toxicity.WINDOW] for i in range(len(padded) - toxicity.WINDOW + 1)])
+        assert (stream.windows(stream.first[len(want)] + np.arange(len(alone))) == alone).all()
+        want.append(net.forward(table, alone))
+    assert np.abs(stream.logits(net, table) - np.concatenate(want)).max() < 1e-5
+
+
 def test_gradients_of_the_network():
     net = toxicity.Network(1)
     r = np.random.default_rng(0)
