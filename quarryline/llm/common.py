@@ -142,3 +142,11 @@ def salted_join(large: DataFrame, small: DataFrame, keys: list[str], how: str, s
     a = large.withColumn("_salt", F.pmod(F.xxhash64(F.col(salt_by)), F.lit(salts)).cast("int"))
     b = small.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
+
+
+def with_sources(rows: DataFrame, per_source: DataFrame, most: int = 10_000) -> DataFrame:
+    """rows, with a column row, joined with a table that has a row for each source: sent to all tasks if it has at most
+    `most` rows, salted otherwise, as a source may hold a third of all rows."""
+    if per_source.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(per_source), "source_key")
+    return salted_join(rows, per_source, ["source_key"], "inner", "row")

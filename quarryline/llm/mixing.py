@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_bits, exclusive_sum, free_name, hash_block, ready, source_key, spread_hash, written
+from .common import block_bits, exclusive_sum, free_name, hash_block, ready, source_key, spread_hash, with_sources, written
 
 #: Words in a block: what a slot takes, at every size of the corpus.
 BLOCK_WORDS = 64
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
 
     placed = spread_hash(rows.where("size > 0"), 11, ["doc_id", "size"]).withColumn("block", hash_block(F.col("h"), block_bits(count)))
     placed = exclusive_sum(placed, ["source_key"], "block", ["h", "row"], "size", "begin")
-    readings = placed.join(per, "source_key").withColumn("round", F.explode(F.sequence(F.lit(0), F.expr("cast((take - 1) div source_size as int)"))))
+    readings = with_sources(placed, per).withColumn("round", F.explode(F.sequence(F.lit(0), F.expr("cast((take - 1) div source_size as int)"))))
     at = readings.withColumn("from", F.col("begin") + F.col("round") * F.col("source_size")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("take"))).where("from < to")
     cut = at.withColumn("slot_rank", F.explode(F.expr(f"sequence(`from` div {block_words}, (`to` - 1) div {block_words})")))
     cut = cut.withColumn("a", F.greatest(F.col("from"), F.col("slot_rank") * block_words)).withColumn("b", F.least(F.col("to"), (F.col("slot_rank") + 1) * block_words))
@@ -157,5 +157,5 @@ def op4_mixing(spark, sf_dir: str) -> DataFrame:
     """op4: weights 5, 2, 1 repeating, 150 % of all sizes, at most twice each source's size."""
     rows, sources, pieces = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     taken = pieces.groupBy("row").agg(F.sum("length").alias("taken"))
-    out = rows.join(taken, "row", "left").join(sources, "source_key")
+    out = with_sources(rows.join(taken, "row", "left"), sources)
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_bits, exclusive_sum, hash_block, ready, source_key, spread_hash, written
+from .common import block_bits, exclusive_sum, hash_block, ready, source_key, spread_hash, with_sources, written
 
 WINDOW, END_ID = 2048, 1
 #: Rounds in one block of the prefix sum over the whole stream: at most as many windows' tokens meet in it.
@@ -86,7 +86,7 @@ def scheduled(lengths: DataFrame, rows: int, window: int = WINDOW, weights: dict
     """
     queued = spread_hash(lengths, 7, ["doc_id", "n"]).withColumn("block", hash_block(F.col("h"), block_bits(rows)))
     queued = exclusive_sum(queued, ["source_key"], "block", ["h", "row"], "n", "before")
-    served = queued.join(quanta(lengths, window, weights), "source_key").withColumn("end", F.col("before") + F.col("n"))
+    served = with_sources(queued, quanta(lengths, window, weights)).withColumn("end", F.col("before") + F.col("n"))
     # Token x leaves in the round r with floor(r * quantum) <= x < floor((r + 1) * quantum). Of a quantum under one
     # token a round, the tokens are told one by one, as most rounds have none; else the rounds are.
     whole = F.col("quantum") >= 1
