@@ -1,13 +1,19 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The class is a log-linear model of hashed features of the
-history: the word before, the pair before (an n-gram), and the words two and three before (skips); of words, only the
-CODES most frequent have features of their own there, others those of their class. It is trained by
-rounds of distributed gradient updates: workers make AdaGrad steps on their documents from shared weights, and the
-weights, a table of fixed size, are averaged in blocks by the executors. A word of the class has its share of the
-class's count in all training tokens. Frequent words, a table of bounded size, are in classes by the company they
-keep; every other word is in a class by its last two bytes, where a part of the mass, by Good and Turing, is left to
-words that training has not seen. Counts of words beyond the bounded table are joined, not sent to workers.
+P(word | history) = P(class | history) * P(word | class, history), and both factors are softmaxes of log-linear models.
+The class has hashed features of the history: the word before, the pair before (an n-gram), and the words two and three
+before (skips). The CODES most frequent words have features of their own, all others share EXTRA buckets by hash. It is
+trained by rounds of distributed gradient updates: workers make AdaGrad steps on their documents from shared weights,
+and the weights, a table of fixed size, are averaged by the executors in a tree. The word within its class has the
+log of its share of the class's count as its own feature, and features of the n-gram with the word before, one for each
+pair of the FOCUS most frequent words (other words before a word go by their class). As the other words of a class have
+no such features, the softmax over all words of the class is normalised by a sum over at most FOCUS of them, so scoring
+looks up the normaliser by class and word before. Workers gather how often pairs occur, and gradient steps on these sums
+find the weights.
+
+Frequent words, a table of bounded size, are in classes by the company they keep; every other word is in a class by its
+last two bytes, where a part of the mass, by Good and Turing, is left to words that training has not seen. Counts of
+words beyond the bounded table are joined, not sent to workers.
 """
 
 from __future__ import annotations
@@ -28,9 +34,11 @@ TABLE, COMPANY = 1 << 17, 1 << 14
 CLUSTERS, SUFFIXES = 16, 6
 CLASSES = 1 + CLUSTERS + SUFFIXES  # class 0: the end
 SIGNS = 32  # the most frequent words, by which documents are told apart
-CODES, PAIRS = 1 << 13, 1 << 13  # words with a feature of their own; hashed pairs
+CODES, EXTRA, PAIRS = 1 << 13, 1 << 12, 1 << 13  # words with a feature of their own; buckets of other words; of pairs
+FOCUS, STEPS, PENALTY = 512, 40, 1.0  # words with n-gram features within their class; gradient steps for these
 ROUNDS, RATE = 2, 0.25
 BATCH = 256  # tokens of a step, for inputs of any size
+FAN_IN = 32  # matrices that one task adds up
 END = "\n"  # a key that no word has
 CHUNK = 512  # rows of weights, or words, that are averaged together
 
@@ -100,29 +108,41 @@ class Table:
         self.words = [w for w, _ in words]
         self.counts = np.array([c for _, c in words], np.int64)
         self.classes = np.array([suffix_class(w.encode()) for w in self.words], np.int32)
+        self.class_counts = np.zeros(CLASSES)  # of all training tokens
 
     def prepare(self) -> None:
         self.ids = _Ids((w.encode(), i) for i, w in enumerate(self.words))
-        n = len(self.words)
-        self.ids.base = n
-        # numbers from n on: the end, then unknown words by suffix class
-        self.code_class = np.r_[self.classes, 0, np.arange(1 + CLUSTERS, CLASSES)].astype(np.int32)
-        own = np.arange(n + 1 + SUFFIXES)
-        self.code = np.where((own < CODES) & (own < n), own, CODES + self.code_class).astype(np.int64)
+        self.ids.base = len(self.words)
+        self.number()
+
+    def number(self) -> None:
+        """Class and feature code by number. Numbers from n on: the end, then other words by bucket and suffix class."""
+        n, other = len(self.words), np.arange(EXTRA * SUFFIXES)
+        self.code_class = np.r_[self.classes, 0, 1 + CLUSTERS + other % SUFFIXES].astype(np.int32)
+        own = np.array([i if i < CODES else CODES + bucket(w.encode()) for i, w in enumerate(self.words)], np.int64)
+        self.code = np.r_[own, CODES + EXTRA, CODES + other // SUFFIXES].astype(np.int64)
+        # what a word is as the word before another within the classes
+        before = np.arange(len(self.code))
+        self.before = np.where((before < FOCUS) & (before < n), before, FOCUS + self.code_class).astype(np.int64)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
 
 
+def bucket(word: bytes) -> int:
+    return zlib.crc32(word) % EXTRA
+
+
 class _Ids(dict):
     base = 0
 
     def __missing__(self, word: bytes) -> int:
-        return self.base + 1 + zlib.crc32(word[-2:]) % SUFFIXES
+        return self.base + 1 + bucket(word) * SUFFIXES + zlib.crc32(word[-2:]) % SUFFIXES
 
 
-START = CODES + CLASSES
+START = CODES + EXTRA + 1
 N_CODES = START + 1
+BEFORE = FOCUS + CLASSES + 1  # the last: nothing is before
 
 
 def features(code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -150,59 +170,85 @@ def log_classes(w: np.ndarray, bias: np.ndarray, feats: tuple[np.ndarray, ...])
     return x
 
 
-def _numbered(table: Table, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Token numbers of all texts with their ends, each token's place, each text's length, the words."""
-    words = [tokens(t) for t in texts]
-    n = np.array([len(x) + 1 for x in words], np.int64)
-    end = table.ids.base
-    ids = np.concatenate([np.append(table.numbers(x), np.int32(end)) for x in words])
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-    return ids, place, n, words
+def numbered(docs: DataFrame, shared) -> DataFrame:
+    """row, doc_id, held_out, ids (numbers of the tokens with the end, 32 bits each), rare (the words beyond the table)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table: Table = shared.value
+        table.prepare()
+        end = np.int32(table.ids.base)
+        for f in frames:
+            ids, rare = [], []
+            for t in f["t"]:
+                words = tokens(t)
+                n = table.numbers(words)
+                ids.append(np.append(n, end).tobytes())
+                rare.append([words[i].decode() for i in np.flatnonzero(n > end).tolist()])
+            yield pd.DataFrame({"row": f["row"], "doc_id": f["doc_id"].astype("Int64"), "held_out": f["held_out"], "ids": ids, "rare": rare})
+
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("held_out", held_out(F.col("doc_id")))
+    return rows.mapInPandas(run, "row long, doc_id long, held_out boolean, ids binary, rare array<string>")
+
+
+def _batch(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token numbers of documents, each token's place in its document, each document's length."""
+    n = np.array([len(b) // 4 for b in ids], np.int64)
+    return np.frombuffer(b"".join(ids), np.int32), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), n
 
 
-def _chunks(m: np.ndarray, weight: float) -> pd.DataFrame:
+def previous(before: np.ndarray, place: np.ndarray) -> np.ndarray:
+    out = np.full(len(before), BEFORE - 1, np.int64)
+    out[1:] = before[:-1]
+    out[place == 0] = BEFORE - 1
+    return out
+
+
+def _chunks(kind: str, m: np.ndarray, weight: float) -> pd.DataFrame:
     m = m.astype(np.float32)
     at = range(0, len(m), CHUNK)
-    return pd.DataFrame({"chunk": list(at), "weight": weight, "part": [m[i : i + CHUNK].tobytes() for i in at]})
+    return pd.DataFrame({"kind": kind, "chunk": list(at), "weight": weight, "part": [m[i : i + CHUNK].tobytes() for i in at]})
+
 
+_KINDS = "kind string, chunk long, weight double, part binary"
 
-def _summed(parts: DataFrame, width: int, rows: int) -> tuple[np.ndarray, float]:
-    """The sum of matrices sent as weighted chunks, added up by the executors; and of the weights."""
+
+def _summed(parts: DataFrame, shapes: dict[str, tuple[int, int]]) -> tuple[dict[str, np.ndarray], float]:
+    """The sums of matrices, by kind, that tasks sent as weighted chunks; and of the weights. Executors add them up in a
+    tree, FAN_IN at a time, however many tasks there are."""
 
     def add(f: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(p, np.float32).astype(np.float64) for p in f["part"])
-        return pd.DataFrame({"chunk": f["chunk"].iloc[:1], "weight": [f["weight"].sum()], "part": [total.astype(np.float32).tobytes()]})
-
-    # Two steps, so that a task adds up a bounded number of parts.
-    kinds = "chunk long, weight double, part binary"
-    dealt = parts.withColumn("_k", F.pmod(F.xxhash64("part"), F.lit(16)))
-    some = dealt.groupBy("chunk", "_k").applyInPandas(lambda f: add(f), kinds)
-    got = some.groupBy("chunk").applyInPandas(add, kinds).collect()
-    out, weight = np.zeros((rows, width)), 0.0
-    for r in got:
-        m = np.frombuffer(r["part"], np.float32).reshape(-1, width)
-        out[r["chunk"] : r["chunk"] + len(m)] = m
+        total = np.zeros(len(f["part"].iloc[0]) // 4)
+        for p in f["part"]:
+            total += np.frombuffer(p, np.float32)
+        return pd.DataFrame({"kind": f["kind"].iloc[:1], "chunk": f["chunk"].iloc[:1], "weight": [f["weight"].sum()], "part": [total.astype(np.float32).tobytes()], "_k": f["_k"].iloc[:1]})
+
+    left, level = parts.rdd.getNumPartitions(), parts.withColumn("_k", F.spark_partition_id())
+    while left > 1:
+        level = level.withColumn("_k", F.expr(f"_k div {FAN_IN}").cast("int")).groupBy("kind", "chunk", "_k").applyInPandas(add, _KINDS + ", _k int")
+        left = -(-left // FAN_IN)
+    out, weight = {k: np.zeros(s) for k, s in shapes.items()}, 0.0
+    for r in level.collect():  # matrices of fixed size
+        m = np.frombuffer(r["part"], np.float32).reshape(-1, shapes[r["kind"]][1])
+        out[r["kind"]][r["chunk"] : r["chunk"] + len(m)] = m
         weight = r["weight"]
     return out, weight
 
 
-def company(texts: DataFrame, shared, n: int) -> np.ndarray:
+def company(texts: DataFrame, n: int) -> np.ndarray:
     """For each of the n words in classes by company, the mean signature of the documents that it is in."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table: Table = shared.value
-        table.prepare()
         m = np.zeros((n, SIGNS), np.float64)
         for f in frames:
-            for t in f["t"]:
-                ids = table.numbers(tokens(t))
+            for b in f["ids"]:
+                ids = np.frombuffer(b, np.int32)
+                ids = ids[ids < n]
                 sign = np.bincount(ids[ids < SIGNS], minlength=SIGNS).astype(np.float64)
                 if sign.any():
-                    ids = ids[ids < n]
                     m[np.unique(ids)] += sign / sign.sum()
-        yield _chunks(m, 1.0)
+        yield _chunks("m", m, 1.0)
 
-    return _summed(texts.mapInPandas(run, "chunk long, weight double, part binary"), SIGNS, n)[0]
+    return _summed(texts.select("ids").mapInPandas(run, _KINDS), {"m": (n, SIGNS)})[0]["m"]
 
 
 def clusters(m: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -226,30 +272,74 @@ def clusters(m: np.ndarray, seed: int = 5) -> np.ndarray:
 
 
 class Model:
-    """The bounded table, the weights, and the classes' totals."""
+    """The bounded table; the class's weights; share: the log share of each table word in its class; the weights of
+    n-grams within classes, with their normalisers by word before and class."""
 
-    def __init__(self, table: Table, w: np.ndarray, bias: np.ndarray) -> None:
+    def __init__(self, table: Table, w: np.ndarray, bias: np.ndarray, share: np.ndarray, pair: np.ndarray) -> None:
         self.table, self.w, self.bias = table, w.astype(np.float32), bias.astype(np.float32)
-
-
-def trained(texts: DataFrame, table: Table) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and biases after ROUNDS rounds, each over its share of all training documents: a document is in one."""
+        self.share, self.pair = share, pair
+        self.norm = np.log(normaliser(share, table.code_class, pair))
+
+    def log_probabilities(self, ids: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of each token; of a word beyond the table, without its share in its class."""
+        t = self.table
+        feats, k = features(t.code[ids], place), t.code_class[ids]
+        out = np.concatenate([log_classes(self.w, self.bias, tuple(x[a : a + 16384] for x in feats))[np.arange(min(16384, len(ids) - a)), k[a : a + 16384]] for a in range(0, len(ids), 16384)]).astype(np.float64)
+        before = previous(t.before[ids], place)
+        out += self.share[ids] - self.norm[before, k]
+        at = np.flatnonzero(ids < self.pair.shape[1])
+        out[at] += self.pair[before[at], ids[at]]
+        return out
+
+
+def normaliser(share: np.ndarray, classes: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """By word before and class: the sum of share * exp(weight) over all words of the class, of which only the first few
+    have weights."""
+    n = pair.shape[1]
+    extra = np.exp(share[:n]) * np.expm1(pair)
+    out = np.ones((len(pair), CLASSES))
+    for k in range(CLASSES):
+        out[:, k] += extra[:, classes[:n] == k].sum(1)
+    return np.maximum(out, 1e-9)
+
+
+def pair_weights(share: np.ndarray, classes: np.ndarray, pairs: np.ndarray, of_class: np.ndarray) -> np.ndarray:
+    """Weights of n-grams within classes, by damped gradient steps on the penalised likelihood of all pairs."""
+    n = pairs.shape[1]
+    w, k = np.zeros(pairs.shape), classes[:n]
+    for _ in range(STEPS if n else 0):
+        expected = of_class[:, k] * np.exp(share[:n] + w) / normaliser(share, classes, w)[:, k]
+        w += np.clip((pairs - expected - PENALTY * w) / (expected + PENALTY), -0.5, 0.5)
+    return w
+
+
+def trained(texts: DataFrame, table: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and biases of the classes after ROUNDS rounds, each over its share of all training documents (a document
+    is in one); how often words of the focus, and classes, follow what is before them."""
     spark = texts.sparkSession
-    class_counts = np.bincount(table.classes, weights=table.counts, minlength=CLASSES) + 1.0
-    w, bias = np.zeros((ROWS, CLASSES), np.float32), np.log(class_counts / class_counts.sum()).astype(np.float32)
+    even = table.class_counts + 1.0
+    w, bias = np.zeros((ROWS, CLASSES), np.float32), np.log(even / even.sum()).astype(np.float32)
+    focus = min(FOCUS, len(table.words))
+    follow = np.zeros((BEFORE, focus + CLASSES))
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((table, w, bias))  # of fixed size
+        shared = spark.sparkContext.broadcast((table.code, table.code_class, table.before, w, bias))  # of fixed size
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            table, w0, b0 = shared.value
-            table.prepare()
+            codes, code_class, before, w0, b0 = shared.value
             w, b = w0.copy(), b0.copy()
             gw, gb = np.full((ROWS, CLASSES), 1e-2, np.float32), np.full(CLASSES, 1e-2, np.float32)
-            seen = 0
+            seen, width = 0, focus + CLASSES
+            pairs, held = np.zeros(BEFORE * width), []
             for f in frames:
                 for i in range(0, len(f), 100):
-                    ids, place, _, _ = _numbered(table, f["t"].iloc[i : i + 100].tolist())
-                    code, y = table.code[ids], table.code_class[ids]
+                    ids, place, _ = _batch(f["ids"].iloc[i : i + 100].tolist())
+                    code, y = codes[ids], code_class[ids]
+                    prev = previous(before[ids], place) * width
+                    inside = ids < focus
+                    held += [prev[inside] + ids[inside], prev + focus + y]
+                    if sum(map(len, held)) > 1 << 20:
+                        pairs += np.bincount(np.concatenate(held), minlength=len(pairs))
+                        held = []
                     feats = features(code, place)
                     for a in range(0, len(ids), BATCH):
                         part = tuple(x[a : a + BATCH] for x in feats)
@@ -270,14 +360,18 @@ def trained(texts: DataFrame, table: Table) -> tuple[np.ndarray, np.ndarray]:
                         b -= RATE * d / np.sqrt(gb)
                     seen += len(ids)
             if seen:
-                yield _chunks(np.concatenate([w, b[None]]) * seen, float(seen))
+                if held:
+                    pairs += np.bincount(np.concatenate(held), minlength=len(pairs))
+                yield _chunks("w", np.concatenate([w, b[None]]) * seen, float(seen))
+                yield _chunks("pairs", pairs.reshape(BEFORE, width), float(seen))
 
-        share = texts.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(ROUNDS)) == turn)
-        got, weight = _summed(share.mapInPandas(run, "chunk long, weight double, part binary"), CLASSES, ROWS + 1)
+        share = texts.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(ROUNDS)) == turn).select("ids")
+        got, weight = _summed(share.mapInPandas(run, _KINDS), {"w": (ROWS + 1, CLASSES), "pairs": follow.shape})
         if weight:
-            w, bias = (got[:-1] / weight).astype(np.float32), (got[-1] / weight).astype(np.float32)
+            w, bias = (got["w"][:-1] / weight).astype(np.float32), (got["w"][-1] / weight).astype(np.float32)
+            follow += got["pairs"]
         shared.destroy()
-    return w, bias
+    return w, bias, follow[:, :focus], follow[:, focus:]
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,20 +379,25 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Null texts are empty: a document of its end alone. Rows of one id are scored one by one. Training takes all rows
     whose crc32 of the id as text is not 2 modulo 7 (rows without an id too). Without training rows, scores are those of
-    an even model. Other columns are ignored; an empty table gives no rows.
+    an even model. A word that training has not seen has the mass of all such words of its class. Of the words of the
+    history, the CODES most frequent have features of their own and all others share EXTRA buckets; within classes only
+    pairs of the FOCUS most frequent words have features; no other number is a limit. Other columns are ignored; an
+    empty table gives no rows.
     """
     spark = docs.sparkSession
     ready(spark)
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    train = every.where(~held_out(F.col("doc_id")))
-    vocabulary = written(counted(train), "vocabulary")
+    vocabulary = written(counted(every.where(~held_out(F.col("doc_id")))), "vocabulary")
     words, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     table = Table(frequent(vocabulary, TABLE))
+    shared = spark.sparkContext.broadcast(table)
+    held = written(numbered(every, shared), "numbered")
+    shared.destroy()
+    train = held.where("not held_out")
     n = min(COMPANY, len(table.words))
     if n:
-        shared = spark.sparkContext.broadcast(table)
-        table.classes[:n] = clusters(company(train, shared, n))
-        shared.destroy()
+        table.classes[:n] = clusters(company(train, n))
+    table.number()
     by_suffix = vocabulary.where(F.col("word") != END).groupBy(suffix_column(F.col("word")).alias("k")).agg(F.sum("c").alias("c"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect()
     mass, once = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_suffix:
@@ -308,50 +407,46 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     new = np.maximum((once + 0.5) / (mass + 1.0), 1e-9)
     new = np.minimum(new, np.where(mass > 0, 0.9, 1.0))
     mass += np.bincount(table.classes[:n], weights=table.counts[:n], minlength=CLASSES)
-    w, bias = trained(train, table)
-    known = np.log10(np.maximum(np.where(np.arange(CLASSES) > CLUSTERS, 1 - new, 1.0), 1e-12)) - np.log10(np.maximum(mass, 1.0))
-    inside_word = np.r_[np.log10(np.maximum(table.counts, 1)) + known[table.classes], 0.0, np.zeros(SUFFIXES)] if len(table.words) else np.zeros(1 + SUFFIXES)
+    known = np.log(np.maximum(np.where(np.arange(CLASSES) > CLUSTERS, 1 - new, 1.0), 1e-12)) - np.log(np.maximum(mass, 1.0))
+    none = np.zeros(EXTRA * SUFFIXES)
+    share = np.r_[np.log(np.maximum(table.counts, 1)) + known[table.classes], 0.0, none]
     ends = vocabulary.where(F.col("word") == END).first()
     ends = ends["c"] if ends else 0
-    base_word = np.r_[np.log10(table.counts + 1.0), np.log10(ends + 1.0), np.zeros(SUFFIXES)]
-    shared = spark.sparkContext.broadcast((Model(table, w, bias), inside_word, base_word))
+    table.class_counts = np.r_[ends, mass[1:]]
+    w, bias, pairs, of_class = trained(train, table)
+    model = Model(table, w, bias, share, pair_weights(share, table.code_class, pairs, of_class))
+    base_word = np.r_[np.log10(table.counts + 1.0), np.log10(ends + 1.0), none]
+    end, least = len(table.words), int(table.counts[-1]) if len(table.words) else None
+    table.words = []  # numbers are all that is needed from here on
+    shared = spark.sparkContext.broadcast((model, base_word))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, inside_word, base_word = shared.value
-        t = model.table
-        t.prepare()
-        end = t.ids.base
+        model, base_word = shared.value
         for f in frames:
             for i in range(0, len(f), 100):
                 part = f.iloc[i : i + 100]
-                ids, place, n, words = _numbered(t, part["t"].tolist())
-                feats = features(t.code[ids], place)
-                k = t.code_class[ids]
-                logp = np.concatenate([log_classes(model.w, model.bias, tuple(x[a : a + 16384] for x in feats))[np.arange(min(16384, len(ids) - a)), k[a : a + 16384]] for a in range(0, len(ids), 16384)]) / np.log(10)
+                ids, place, n = _batch(part["ids"].tolist())
                 starts = np.cumsum(n) - n
-                score = np.add.reduceat(logp + inside_word[ids], starts)
-                base = np.add.reduceat(base_word[ids], starts)
-                have = np.add.reduceat((ids < end).astype(np.int64), starts) + bool(ends)
-                row = part["row"].to_numpy(np.int64)
-                rare = np.flatnonzero(ids > end)
-                flat = [w for x in words for w in (*x, b"")]
-                none = [None] * len(rare)
-                made = pd.DataFrame({"row": np.concatenate([row, np.repeat(row, n)[rare]])})
-                made["doc_id"] = pd.array([*(None if d is None or d != d else int(d) for d in part["doc_id"]), *none], "Int64")
-                made["word"] = pd.Series([*[None] * len(row), *(flat[i].decode() for i in rare.tolist())], dtype=object)
-                made["score"], made["base"] = np.r_[score, np.zeros(len(rare))], np.r_[base, np.zeros(len(rare))]
-                made["n"], made["known"] = np.r_[n, np.zeros(len(rare), np.int64)], np.r_[have, np.zeros(len(rare), np.int64)]
-                yield made
-
-    held = every.withColumn("row", F.monotonically_increasing_id())
-    parts = written(held.mapInPandas(run, "row long, doc_id long, word string, score double, base double, n long, known long"), "scored")
+                yield pd.DataFrame(
+                    {
+                        "row": part["row"],
+                        "doc_id": part["doc_id"].astype("Int64"),
+                        "score": np.add.reduceat(model.log_probabilities(ids, place), starts) / np.log(10),
+                        "base": np.add.reduceat(base_word[ids], starts),
+                        "n": n,
+                        "known": np.add.reduceat((ids < end).astype(np.int64), starts) + bool(ends),
+                    }
+                )
+
+    kinds = "row long, doc_id long, score double, base double, n long, known long"
+    parts = held.select("row", "doc_id", "ids").mapInPandas(run, kinds)
     log_new = F.array(*[F.lit(float(x)) for x in np.log10(new)])
-    log_known = F.array(*[F.lit(float(x)) for x in known])
+    log_known = F.array(*[F.lit(float(x)) for x in known / np.log(10)])
     k = suffix_column(F.col("word")) + 1
-    counts = vocabulary.where(F.col("c") <= int(table.counts[-1]) if len(table.words) else F.lit(True))  # words of the table need no join
-    rare = parts.where("word is not null").select("row", "word").join(counts, "word", "left")
+    counts = vocabulary.where(F.col("c") <= least if least is not None else F.lit(True))  # words of the table need no join
+    rare = held.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
     rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), (F.when(F.col("c").isNull(), F.element_at(log_new, k)).otherwise(F.log10("c") + F.element_at(log_known, k))).alias("score"), (F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"), F.lit(0).cast("long").alias("n"), F.when(F.col("c").isNotNull(), 1).otherwise(0).cast("long").alias("known"))
-    sums = parts.where("word is null").select("row", "doc_id", "score", "base", "n", "known").union(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"))
+    sums = parts.union(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"))
     return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * float(np.log10(total + words + 1))).alias("base_score"), "score")
 
 

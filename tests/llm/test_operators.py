@@ -374,6 +374,69 @@ def test_lm_counts_and_distribution(docs, rows):
         assert -1e9 < r.score < 0
 
 
+def _model(n_words: int, seed: int = 3) -> lm.Model:
+    r = np.random.default_rng(seed)
+    table = lm.Table([(f"w{i}", int(c)) for i, c in enumerate(sorted(r.integers(1, 500, n_words), reverse=True))])
+    table.classes[: n_words // 2] = 1 + r.integers(0, lm.CLUSTERS, n_words // 2)
+    table.prepare()
+    mass = np.bincount(table.classes, weights=table.counts, minlength=lm.CLASSES)
+    share = np.r_[np.log(table.counts / mass[table.classes]), np.zeros(1 + lm.EXTRA * lm.SUFFIXES)]
+    w, bias = r.standard_normal((lm.ROWS, lm.CLASSES)), np.where(np.r_[True, mass[1:] > 0], r.standard_normal(lm.CLASSES), -1e9)
+    return lm.Model(table, w, bias, share, r.standard_normal((lm.BEFORE, min(lm.FOCUS, n_words))))
+
+
+@pytest.mark.parametrize("n_words", [40, 700])
+def test_lm_probabilities_add_up_to_one(n_words):
+    """Over all words and the end, after any history; both factors depend on the history."""
+    model = _model(n_words)
+    every = np.arange(n_words + 1, dtype=np.int32)  # the words and the end
+    seen = []
+    for history in ([], [0], [5, 0], [n_words - 1, 7], [3, 9, n_words - 2], [n_words + 5, 2, 2, 4]):
+        ids = np.array([[*history, x] for x in every], np.int32).ravel()
+        place = np.tile(np.arange(len(history) + 1), len(every))
+        p = np.exp(model.log_probabilities(ids, place).reshape(len(every), -1)[:, -1])
+        assert abs(p.sum() - 1) < 1e-4
+        seen.append(p)
+    within = [p[:20] / np.array([p[:n_words][model.table.classes == k].sum() for k in model.table.classes[:20]]) for p in seen]
+    assert np.abs(within[1] - within[3]).max() > 1e-3
+
+
+def test_lm_weights_of_pairs_fit_their_counts():
+    """After the gradient steps a pair that occurs often in a class has about its share of what follows the word before."""
+    n, classes = 6, np.array([1, 1, 1, 1, 2, 2])
+    share = np.log(np.array([0.25, 0.25, 0.25, 0.25, 0.5, 0.5]))
+    pairs, of_class = np.zeros((lm.BEFORE, n)), np.zeros((lm.BEFORE, lm.CLASSES))
+    pairs[3] = [7000, 1000, 1000, 1000, 300, 700]
+    of_class[3, 1], of_class[3, 2] = 10000, 1000
+    w = lm.pair_weights(share, classes, pairs, of_class)
+    got = np.exp(share + w) / lm.normaliser(share, classes, w)[:, classes]
+    assert np.abs(got[3] - [0.7, 0.1, 0.1, 0.1, 0.3, 0.7]).max() < 0.01
+    assert np.abs(got[0] - np.exp(share)).max() < 1e-9
+
+
+def test_lm_scores_against_the_model_by_hand(spark, monkeypatch):
+    """Words beyond the table are scored by a join; the table's size changes no count, and scores stay those of a model."""
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choice("abcdefghij") * r.randint(1, 3) for _ in range(30))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    whole = {x.doc_id: x for x in lm.lm_scores(df).collect()}
+    monkeypatch.setattr(lm, "TABLE", 9)
+    cut = {x.doc_id: x for x in lm.lm_scores(df).collect()}
+    assert all(abs(whole[i].base_score - cut[i].base_score) < 1e-6 and whole[i].n_known == cut[i].n_known for i in whole)
+    mean = [sum(x.score for x in got.values()) / sum(x.n_tokens for x in got.values()) for got in (whole, cut)]
+    assert abs(mean[0] - mean[1]) < 0.25 and mean[0] > -1.7
+
+
+def test_lm_matrices_are_added_up_in_a_tree(spark):
+    def run(frames):
+        n = sum(len(f) for f in frames)
+        yield lm._chunks("m", np.full((lm.CHUNK + 3, 2), n), float(n))
+
+    parts = spark.range(0, 500, 1, 70).mapInPandas(run, lm._KINDS)
+    got, weight = lm._summed(parts, {"m": (lm.CHUNK + 3, 2)})
+    assert (got["m"] == 500).all() and weight == 500
+
+
 def test_lm_beats_base_on_held_out(spark):
     r = random.Random(9)
     tongues = [["".join(r.choice(a) for _ in range(3)) for _ in range(80)] for a in ("abcd", "efgh", "ijkl")]
