@@ -104,6 +104,30 @@ def spread_hash(df: DataFrame, seed: int, cols: list[str], most: int = 2048) ->
     return df.withColumn("h", F.when(F.col("_parts").isNull(), F.col("h")).otherwise(F.xxhash64("h", part))).drop("_parts")
 
 
+#: Equal parts into which ids are cut: cut points of this number go to the tasks, whatever the number of rows.
+SEGMENTS, FIRST_CUTS = 4096, 64
+
+
+def id_blocks(rows: DataFrame, count: int, per_block: int, id_col: str = "doc_id") -> Column:
+    """A block of about per_block rows for each id, in the order of ids: ids are cut at quantiles, so that no outlying id
+    or gap puts most rows in one block, and evenly between neighbouring cut points. A null id has block -1."""
+    n = min(SEGMENTS, max(1, count // per_block))
+    ends = rows.agg(F.min(id_col), F.max(id_col), F.percentile_approx(id_col, [i / n for i in range(n)], 16 * n)).first()
+    if ends[0] is None:
+        return F.lit(-1).cast("long")
+    cuts = sorted({ends[0], *ends[2]})
+    tops = [*cuts[1:], ends[1] + 1]
+    inner = max(1, count // (len(cuts) * per_block))
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    id_, of = F.col(id_col), range(0, len(cuts), FIRST_CUTS)
+    upto = lambda xs: F.size(F.filter(xs, lambda c: c <= id_))
+    first = upto(longs(cuts[i] for i in of)) - 1
+    at = first * FIRST_CUTS + upto(F.get(F.array(*[longs(cuts[i : i + FIRST_CUTS]) for i in of]), first)) - 1
+    low, high = F.get(longs(cuts), at), F.get(longs(tops), at)
+    within = F.floor((id_ - low.cast("double")) / (high - low.cast("double")) * inner)
+    return F.when(id_.isNull(), F.lit(-1).cast("long")).otherwise(at.cast("long") * inner + F.least(within, F.lit(inner - 1)))
+
+
 def free_name(name: str, taken: list[str]) -> str:
     """A column name that no column of taken has, whatever the case."""
     low = {c.lower() for c in taken}

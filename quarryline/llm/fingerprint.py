@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FAN, ready, written
+from .common import FAN, id_blocks, ready, written
 
 WORDS, BIN_BITS, BITS = 5, 8, 4
 BINS = 1 << BIN_BITS
@@ -32,8 +32,6 @@ def _probe(b: int, t: int) -> int:
     return (x ^ x >> 16) % BINS
 
 
-
-
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds out: BINS hex digits, all zero for a text without words.
 
@@ -77,53 +75,60 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint of each row of docs. Null texts are empty; texts without words have a fingerprint of zeros,
-    equal texts equal ones. Other columns are ignored; an empty table gives an empty result."""
+    equal texts equal ones. Null ids and repeated rows have a row each, as any other. Other columns are ignored; an empty
+    table gives an empty result."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     return with_fingerprint(rows, "t", "fingerprint").drop("t")
 
 
-def with_next(rows: DataFrame, count: int, low: int, high: int, cols: list[str]) -> DataFrame:
-    """Adds next_<col>: of the row after it in the order of (doc_id, n, crc), after the last of the first.
+def with_next(rows: DataFrame, count: int, cols: list[str]) -> DataFrame:
+    """Adds next_<col>: of the row after it in the order of (doc_id, n, crc), after the last of the first. Rows without
+    an id come first; rows equal in all three are in any order; a row alone is followed by itself.
 
     Rows meet in blocks of BLOCK neighbouring ids, about; the last of a block gets the next block's first row by a join.
     """
-    width = max(1, (high - low + 1) * BLOCK // max(count, 1))
-    rows = rows.withColumn("block", F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(-1).cast("long")))
+    rows = rows.withColumn("block", id_blocks(rows, count, BLOCK))
     order = ["doc_id", "n", "crc"]
     w = Window.partitionBy("block").orderBy(*order)
-    here = rows.withColumn("_at", F.row_number().over(w))
+    here = rows
     for c in cols:
         here = here.withColumn(f"next_{c}", F.lead(c).over(w))
     here = here.withColumn("_last", F.lead(F.lit(True)).over(w).isNull())
-    heads = rows.select("block", F.struct(*order, *cols).alias("head")).groupBy("block").agg(F.min("head").alias("head"))
-    blocks = written(rows.groupBy("block").agg(F.min(F.struct(*order)).alias("first")).withColumn("super", F.floor(F.col("block") / FAN)), "blocks")
+    # Of the blocks' first rows only their numbers are found over all rows; the rest is read for these alone.
+    blocks = written(rows.groupBy("block").agg(F.min(F.struct(*order, "row")).alias("first")).withColumn("super", F.floor(F.col("block") / FAN)), "blocks")
     supers = blocks.groupBy("super").agg(F.min("block").alias("b0")).withColumn("after", F.lead("b0").over(Window.orderBy("super")))
     first = blocks.agg(F.min("block")).first()[0]
     follow = blocks.withColumn("follows", F.lead("block").over(Window.partitionBy("super").orderBy("block"))).join(supers, "super")
-    follow = follow.select(F.col("block").alias("prev"), F.coalesce("follows", "after", F.lit(first)).alias("block"), F.lit(True).alias("_last"))
-    ends = heads.join(follow, "block").select(F.col("prev").alias("block"), "_last", "head")
+    follow = follow.select(F.col("block").alias("prev"), F.coalesce("follows", "after", F.lit(first)).alias("block"))
+    heads = rows.select("row", *cols).join(blocks.select("block", F.col("first.row").alias("row")), "row")
+    ends = heads.join(follow, "block").select(F.col("prev").alias("block"), F.lit(True).alias("_last"), F.struct(*cols).alias("head"))
     out = here.join(ends, ["block", "_last"], "left")
     for c in cols:
         out = out.withColumn(f"next_{c}", F.when(F.col("_last"), F.col(f"head.{c}")).otherwise(F.col(f"next_{c}")))
-    return out.drop("_at", "_last", "head", "block")
+    return out.drop("_last", "head", "block")
 
 
-def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """op5: whole texts and their edited forms."""
-    ready(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    count, low, high = docs.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    rows = with_fingerprint(docs, "t", "fp").withColumn("n", F.length("t").cast("long")).withColumn("crc", F.crc32(F.encode("t", "UTF-8")))
-    out = with_next(rows, count, low or 0, high or 0, ["t", "fp"])
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_chars, edited, fingerprint, edited_fingerprint, next_fingerprint for each row of docs.
+
+    The edited text is the text with its last floor(n_chars / 4) code points replaced by the first as many, or all, of
+    the next document's, in the order of doc_id, after the last the first. Null texts are empty; `with_next` says what
+    repeated and null ids do. Other columns are ignored; an empty table gives an empty result.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = with_fingerprint(texts, "t", "fp").withColumn("n", F.length("t").cast("long")).withColumn("crc", F.crc32(F.encode("t", "UTF-8")))
+    # Written, as hashing the shingles is what costs and two plans read the rows.
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    out = with_next(rows, rows.count(), ["t", "fp"])
     cut = F.floor(F.col("n") / 4).cast("int")
     out = out.withColumn("edited", F.concat(F.substring(F.col("t"), F.lit(1), (F.col("n") - cut).cast("int")), F.substring(F.col("next_t"), F.lit(1), cut)))
     out = with_fingerprint(out.drop("t", "next_t"), "edited", "edited_fp")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("fp").alias("fingerprint"),
-        F.col("edited_fp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-    )
+    return out.select("doc_id", F.col("n").alias("n_chars"), "edited", F.col("fp").alias("fingerprint"), F.col("edited_fp").alias("edited_fingerprint"), F.col("next_fp").alias("next_fingerprint"))
+
+
+def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """op5: whole texts and their edited forms."""
+    ready(spark)
+    out = edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    near = lambda c: likeness(F.col("fingerprint"), F.col(c))
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", near("edited_fingerprint").alias("near_edited"), near("next_fingerprint").alias("near_next"))

@@ -26,18 +26,16 @@ def line_keys(text: str, least_chars: int = LEAST_CHARS) -> list[tuple[int, byte
     return out
 
 
-def repeated_lines(docs: DataFrame, id_col: str, text_col: str, least_chars: int, least_docs: int) -> tuple[DataFrame, DataFrame]:
-    """(lines, repeated): doc_id, pos, hash of long lines; and hash, keeper of those in enough documents."""
+def repeated_lines(docs: DataFrame, least_chars: int, least_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(lines, repeated) of docs(doc_id, t, of): doc_id, of, pos, hash of long lines; and hash, keeper of those in enough
+    documents."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(d, i, h) for d, t in zip(f["doc_id"], f["t"], strict=True) for i, h in line_keys(t or "", least_chars)]
-            out = pd.DataFrame(rows, columns=["doc_id", "pos", "hash"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            rows = [(d, x, i, h) for d, t, x in zip(f["doc_id"], f["t"], f["of"], strict=True) for i, h in line_keys(t, least_chars)]
+            yield pd.DataFrame(rows, columns=["doc_id", "of", "pos", "hash"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    lines = written(source.mapInPandas(run, "doc_id long, pos int, hash binary"), "lines")
+    lines = written(docs.where("doc_id is not null").mapInPandas(run, "doc_id long, of long, pos int, hash binary"), "lines")
     # A document counts once for a hash; both steps add up before they shuffle.
     per_doc = lines.groupBy("hash", "doc_id").agg(F.lit(1).alias("one"))
     repeated = per_doc.groupBy("hash").agg(F.count("*").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= least_docs)
@@ -49,17 +47,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Lines whose key (stripped, A-Z lower-cased) has at least least_chars code points and is in at least least_docs
     documents go everywhere but in the document with the largest id that holds it, where all of them stay. Null and
-    empty texts are one empty line. Rows of one id are one document in the counts and share what is dropped only where
-    their lines agree in position. Other columns are ignored; an empty table gives an empty result.
+    empty texts are one empty line. Rows of one id count as one document, and each loses the lines of its own text. Rows
+    without an id count for no line and keep theirs. Other columns are ignored; an empty table gives an empty result.
     """
     ready(docs.sparkSession)
-    lines, repeated = repeated_lines(docs, id_col, text_col, least_chars, least_docs)
+    # Rows are known by id and text, so rows of one id with different texts have positions of their own.
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).withColumn("of", F.xxhash64("t"))
+    lines, repeated = repeated_lines(rows, least_chars, least_docs)
     repeated = written(repeated, "repeated")
-    gone = salted_join(lines, repeated, ["hash"], "inner", "doc_id").where("doc_id <> keeper or doc_id is null")
-    gone = gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone"))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    out = out.join(gone, "doc_id", "left").withColumn("l", F.split("t", "\n", -1))
-    kept = F.filter("l", lambda _, i: ~F.array_contains("gone", i))
+    gone = salted_join(lines, repeated, ["hash"], "inner", "doc_id").where("doc_id <> keeper")
+    gone = gone.groupBy("doc_id", "of").agg(F.collect_set("pos").alias("gone"))
+    out = rows.join(gone, ["doc_id", "of"], "left").withColumn("l", F.split("t", "\n", -1))
+    # array_except looks positions up by hash, so a long text costs its lines, not lines times dropped ones.
+    stay = F.array_except(F.sequence(F.lit(0), F.size("l") - 1), "gone")
+    kept = F.transform(stay, lambda i: F.get("l", i))
     out = out.select("doc_id", F.size("l").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.col("l")).otherwise(kept).alias("k"), "t", "gone")
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("k")).alias("n_dropped"), F.when(F.col("gone").isNull(), F.col("t")).otherwise(F.array_join("k", "\n")).alias("kept_text"))
 

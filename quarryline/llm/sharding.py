@@ -1,5 +1,5 @@
 """Sharding by a K-d tree: nodes are split at distributed weighted medians along their widest metadata dimension until
-each leaf has its share of the bytes.
+each leaf has its share of the bytes. What leaves are over their share then goes, in small groups, to those under it.
 
 The points are groups of equal texts, which stay together: their metadata are a function of the group (text length,
 least doc_id, first source), their weight is all bytes of the group. A median is found by counting weights in
@@ -9,23 +9,26 @@ these and one for each node, never a row for a document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_bits, exclusive_sum, hash_block, ready, salted_join, source_key, written
+from .common import block_bits, exclusive_sum, hash_block, ready, salted_join, source_key, with_sources, written
 
 SHARDS, OVERHEAD = 24, 8
 #: Bins of a histogram round, as bits; a key has 60 bits: a dimension's 28, and 32 of the text's hash, which break ties.
 BIN_BITS, DIM_BITS, TIE_BITS = 12, 28, 32
 #: Of equally wide ones the first is split; length comes last, as nodes of long texts are hard to balance.
+#: Shards that differ by less than this part of the share are even; rounds in which others are levelled, at most.
+EVEN, ROUNDS = 0.02, 4
 DIMS = ("d_id", "d_source", "d_length")
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
     """One row for each distinct text, with its weight and dimensions, scaled to 0 .. 2^28 - 1."""
-    g = rows.groupBy("key").agg(F.sum("size").alias("weight"), F.min("n").alias("n"), F.min("doc_id").alias("id"), F.min("source_key").alias("src"))
-    first = F.conv(F.rpad(F.hex(F.substring(F.encode(F.translate("src", "\x00", ""), "UTF-8"), 2, 6)), 12, "0"), 16, 10).cast("double")
-    raw = g.select("key", "weight", F.log2(F.col("n") + 2.0).alias("d_length"), F.coalesce(F.col("id").cast("double"), F.lit(0.0)).alias("d_id"), F.coalesce(first, F.lit(0.0)).alias("d_source"))
+    g = rows.groupBy("key").agg(F.sum("size").alias("weight"), F.min("n").alias("n"), F.min("doc_id").alias("id"), F.min("source_key").alias("source_key"), F.min("row").alias("row"))
+    # A source is its place among all, a row for each, so that sources whose names begin alike are apart.
+    places = written(rows.groupBy("source_key").agg(F.lit(1).alias("one")).select("source_key", F.row_number().over(Window.orderBy("source_key")).cast("double").alias("d_source")), "sources")
+    raw = with_sources(g, places).select("key", "weight", F.log2(F.col("n") + 2.0).alias("d_length"), F.coalesce(F.col("id").cast("double"), F.lit(0.0)).alias("d_id"), "d_source")
     raw = written(raw, "groups")
     ends = raw.agg(*[f(c).alias(f"{n}_{c}") for c in DIMS for n, f in (("lo", F.min), ("hi", F.max))]).first()
     top = (1 << DIM_BITS) - 1
@@ -70,6 +73,32 @@ def split_level(points: DataFrame, nodes: dict[int, tuple[int, int]]) -> tuple[D
     return keyed.withColumn("node", moved).drop("k"), after
 
 
+def levelled(points: DataFrame, shards: int, groups: int, level: float) -> DataFrame:
+    """Points (key, weight, tie, shard) with shards levelled: leaves are over or under the share by up to half a group at
+    each cut above them, so leaves over `level` times it give small groups, as many as are over, to those under it."""
+    have = {r["shard"]: r["w"] for r in points.groupBy("shard").agg(F.sum("weight").alias("w")).collect()}
+    share = sum(have.values()) // shards
+    goal = int(share * level)
+    over = {s: w - goal for s, w in have.items() if w > goal}
+    under = [(s, goal - have.get(s, 0)) for s in range(shards) if have.get(s, 0) < goal]
+    if not over or not under or max(have.values()) - min(have.get(s, 0) for s in range(shards)) <= EVEN * share:
+        return points
+    look = lambda values: F.coalesce(*[F.when(F.col("shard") == s, F.lit(v)) for s, v in values.items()])
+    least = min(max(v for _, v in under), max(over.values())) / 2  # a larger one would only change places
+    spare = points.withColumn("over", look(over)).where((F.col("weight") <= F.lit(least)) & (F.col("weight") <= F.col("over")))
+    spare = spare.withColumn("block", F.shiftrightunsigned("tie", TIE_BITS - min(TIE_BITS, block_bits(groups))))
+    spare = exclusive_sum(spare, ["shard"], "block", ["tie", "key"], "weight", "before").where(F.col("before") + F.col("weight") <= F.col("over"))
+    spare = written(spare.select("key", "weight", "block", "tie"), "spare")
+    queue = exclusive_sum(spare, [], "block", ["tie", "key"], "weight", "at")
+    to, end = F.lit(None).cast("int"), 0
+    for s, room in under:
+        end += room
+        middle = F.col("at") + F.floor(F.col("weight") / 2)
+        to = F.coalesce(to, F.when(middle < end, F.lit(s)))
+    moved = queue.select("key", to.alias("to")).where("`to` is not null")
+    return points.join(moved, "key", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to")
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, text_crc32, shard, slot for each row of docs: shards of nearly equal bytes, equal texts together.
 
@@ -87,7 +116,14 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         points, nodes = split_level(points, nodes)
         points = written(points, "points")
     of = F.coalesce(*[F.when(F.col("node") == k, F.lit(first)) for k, (first, _) in nodes.items()])
-    placed = salted_join(rows, points.select("key", of.alias("shard")), ["key"], "inner", "row")
+    points = written(points.select("key", "weight", "tie", of.alias("shard")), "leaves")
+    groups = points.count()
+    for turn in range(ROUNDS):
+        now = levelled(points, shards, groups, 1.0 if turn == 0 else 1 - EVEN / 2)  # then those at the share give as well
+        if now is points:
+            break
+        points = written(now, "leaves")
+    placed = salted_join(rows, points.select("key", "shard"), ["key"], "inner", "row")
     h = F.xxhash64(F.lit(13), "doc_id", "row")
     blocks = placed.withColumn("h", h).withColumn("one", F.lit(1).cast("long")).withColumn("block", hash_block(F.col("h"), block_bits(rows.count())))
     return exclusive_sum(blocks, ["shard"], "block", ["h", "row"], "one", "slot").select("doc_id", "size", "text_crc32", "shard", "slot")

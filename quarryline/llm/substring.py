@@ -4,11 +4,13 @@ Index: every document's words are cut into blocks of BLOCK words that do not ove
 BLOCK words at every place of every document. A passage of at least 2 * BLOCK - 1 words that occurs twice holds a whole
 indexed block of either occurrence, so both are found. Index and probes meet by hash range, packed by document; a
 task keeps the index of its range in memory and lets the probes pass. Hits are then extended: of the windows around
-them, those whose whole word sequence starts earlier elsewhere run on into maximal exact repeats, which are removed.
+them, those whose key starts earlier elsewhere, in both places word by word, run on into maximal repeats. The words of
+each maximal repeat are held against those at its first place, by SHA-256 of both, before they are removed.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ready, release, written
+from .common import discard, exclusive_sum, id_blocks, ready, release, salted_join, written
 
 WINDOW = 20
 #: Words whose windows meet in one hash range, about; ranges are a power of two.
 WORDS_PER_RANGE = 1 << 23
 _MUL = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _KNOWN_MOST = 1 << 18
+#: Anchors that a task holds before it drops their repeats.
+HELD_MOST = 1 << 22
 
 
 class _Words(dict):
@@ -58,7 +62,15 @@ def rolling(h: np.ndarray, size: int, mul: int) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    """id, t, doc_id: a number of the document in the order of ids, which is the id itself if no id has two texts. Else
+    documents of one id are numbered in the order of a hash of their texts; a null id has no number."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    of = rows.select("id", F.xxhash64("t").alias("of")).where("id is not null")
+    if of.groupBy("id").agg((F.min("of") != F.max("of")).alias("two")).where("two").isEmpty():
+        return rows.withColumn("doc_id", F.col("id"))
+    of = written(of.distinct().withColumn("one", F.lit(1).cast("long")), "ids")
+    ranked = exclusive_sum(of.withColumn("block", id_blocks(of, of.count(), 4096, "id")), [], "block", ["id", "of"], "one", "doc_id")
+    return rows.withColumn("of", F.xxhash64("t")).join(written(ranked.select("id", "of", "doc_id"), "numbers"), ["id", "of"], "left").select("id", "t", "doc_id")
 
 
 def by_range(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +84,7 @@ def by_range(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _sliced(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
     b, n = values.tobytes(), values.itemsize
-    ends = [*cut[1:].tolist(), len(values)]
+    ends = [*cut[1:].tolist(), len(values)][: len(cut)]
     return [b[n * x : n * y] for x, y in zip(cut.tolist(), ends, strict=True)]
 
 
@@ -127,6 +139,7 @@ def hits(texts: DataFrame, block: int, bits: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, ...]] = []
         state: dict = {}
+        size = 0
 
         def rows(k: np.ndarray, d: np.ndarray, n: np.ndarray) -> pd.DataFrame:
             r = k >> 32
@@ -135,12 +148,18 @@ def hits(texts: DataFrame, block: int, bits: int) -> DataFrame:
             cut = np.flatnonzero(np.r_[True, (d[1:] != d[:-1]) | (r[1:] != r[:-1])])[: len(d)]
             return pd.DataFrame({"doc_id": d[cut], "range": r[cut], "nth": _sliced(n, cut)})
 
+        def once() -> tuple[np.ndarray, ...]:
+            """What is held, one entry for each key: however often a passage occurs, its repeats are not kept."""
+            k, d, n, many = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, first, of, times = np.unique(k, return_index=True, return_inverse=True, return_counts=True)
+            held[:] = [(key, d[first], n[first], (times > 1) | (np.bincount(of, weights=many, minlength=len(key)) > 0))]
+            return held[0]
+
         def probe(k: np.ndarray, d: np.ndarray, n: np.ndarray) -> pd.DataFrame | None:
             if not state:
-                a, b, c = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (k[:0], d[:0], n[:0])
+                key, doc, nth, many = once() if held else (k[:0], d[:0], n[:0], np.zeros(0, bool))
                 held.clear()
-                key, first, times = np.unique(a, return_index=True, return_counts=True)
-                state.update(key=key, doc=b[first], nth=c[first], many=times > 1, hit=np.zeros(len(key), bool))
+                state.update(key=key, doc=doc, nth=nth, many=many, hit=np.zeros(len(key), bool))
             key, many = state["key"], state["many"]
             if not len(key):
                 return None
@@ -159,7 +178,11 @@ def hits(texts: DataFrame, block: int, bits: int) -> DataFrame:
                     r, d, n = _docs_of(part)
                     k = r << 32 | np.frombuffer(b"".join(part["v0"]), np.uint32)
                     if is_anchor:
-                        held.append((k, d, np.frombuffer(b"".join(part["v1"]), np.int32)))
+                        held.append((k, d, np.frombuffer(b"".join(part["v1"]), np.int32), np.zeros(len(k), bool)))
+                        size += len(k)
+                        if size > HELD_MOST + 2 * len(held[0][0]):
+                            once()
+                            size = len(held[0][0])
                         continue
                     out = probe(k, d, n)
                     if out is not None:
@@ -206,8 +229,9 @@ def _around(texts: DataFrame, found: DataFrame, window: int, block: int, bits: i
 
 
 def later_windows(packed: DataFrame, bits: int, chunk: int = 1 << 19) -> DataFrame:
-    """doc_id, starts (packed): windows whose key has an earlier place. A range's task keeps the first place of each
-    key so far, however often it occurs; a place that turns out later than another, or that another replaces, goes out."""
+    """doc_id, starts, first_docs, first_starts (packed): windows whose key has an earlier place, and that place. A range's
+    task keeps the first place of each key so far, however often it occurs; a place that turns out later than another, or
+    that another replaces, goes out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, tuple[np.ndarray, ...]] = {}
@@ -221,11 +245,11 @@ def later_windows(packed: DataFrame, bits: int, chunk: int = 1 << 19) -> DataFra
             of = np.repeat(first, np.diff(np.r_[first, len(k)]))
             late = (d != d[of]) | (s != s[of])
             seen[r] = (k[first], d[first], s[first])
-            d, s = d[late], s[late]
+            d, s, fd, fs = d[late], s[late], d[of][late], s[of][late]
             order = np.lexsort((s, d))
-            d, s = d[order], s[order]
+            d = d[order]
             cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])[: len(d)]
-            return pd.DataFrame({"doc_id": d[cut], "starts": _sliced(s, cut)})
+            return pd.DataFrame({"doc_id": d[cut], "starts": _sliced(s[order], cut), "first_docs": _sliced(fd[order], cut), "first_starts": _sliced(fs[order], cut)})
 
         held: dict[int, list[tuple[np.ndarray, ...]]] = {}
         size: dict[int, int] = {}
@@ -240,20 +264,64 @@ def later_windows(packed: DataFrame, bits: int, chunk: int = 1 << 19) -> DataFra
         for r, parts in held.items():
             yield take(r, parts)
 
-    return packed.repartition(1 << bits, "range").mapInPandas(run, "doc_id long, starts binary")
+    return packed.repartition(1 << bits, "range").mapInPandas(run, "doc_id long, starts binary, first_docs binary, first_starts binary")
+
+
+def maximal(later: DataFrame) -> DataFrame:
+    """doc_id, start, first_doc, first_start, n: runs of n windows that go on, one by one, in both places."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out: list[tuple[np.ndarray, ...]] = []
+            for doc, parts in zip(f["doc_id"], f["parts"], strict=True):
+                s, d, p = (np.concatenate([np.frombuffer(x[c], t) for x in parts]) for c, t in (("starts", np.int32), ("first_docs", np.int64), ("first_starts", np.int32)))
+                order = np.lexsort((p, d, s))
+                s, d, p = s[order], d[order], p[order]
+                new = np.r_[True, s[1:] != s[:-1]]  # of rows that repeat a document, the least first place
+                s, d, p = s[new], d[new], p[new]
+                cut = np.flatnonzero(np.r_[True, (s[1:] != s[:-1] + 1) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)])
+                out.append((np.full(len(cut), doc, np.int64), s[cut], d[cut], p[cut], np.diff(np.r_[cut, len(s)]).astype(np.int32)))
+            if out:
+                yield pd.DataFrame(dict(zip(("doc_id", "start", "first_doc", "first_start", "n"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+
+    per_doc = later.groupBy("doc_id").agg(F.collect_list(F.struct("starts", "first_docs", "first_starts")).alias("parts"))
+    return per_doc.mapInPandas(run, "doc_id long, start int, first_doc long, first_start int, n int")
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
+def with_first_words(texts: DataFrame, runs: DataFrame, window: int) -> DataFrame:
+    """Adds digest, of the words at the first place. A first place that many runs have is read once."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for doc, t, asked in zip(f["doc_id"], f["t"], f["asked"], strict=True):
+                words = t.encode().split()
+                rows += [(doc, x["first_start"], x["n"], _digest(words[x["first_start"] : x["first_start"] + x["n"] + window - 1])) for x in asked]
+            yield pd.DataFrame(rows, columns=["first_doc", "first_start", "n", "digest"])
+
+    asked = runs.select("first_doc", "first_start", "n").distinct().groupBy(F.col("first_doc").alias("doc_id")).agg(F.collect_list(F.struct("first_start", "n")).alias("asked"))
+    found = texts.join(written(asked, "asked"), "doc_id").mapInPandas(run, "first_doc long, first_start int, n int, digest binary").distinct()
+    return salted_join(runs, found, ["first_doc", "first_start", "n"], "inner", "doc_id")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, starts (packed): the windows of each document whose word sequence also starts earlier."""
-    texts = _texts(docs, id_col, text_col).where("doc_id is not null")
+def repeats(texts: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, start, n, digest of texts(doc_id, t): runs of n windows of each document whose word sequence also starts
+    earlier, and the digest of the words there."""
+    texts = texts.where("doc_id is not null").select("doc_id", "t")
     block = (window + 1) // 2
     words = texts.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0] / 6
     bits = max(4, min(24, int(words / WORDS_PER_RANGE).bit_length()))
     found = written(hits(texts, block, bits), "hits")
-    release(docs.sparkSession)
+    release(texts.sparkSession)
     later = written(later_windows(_around(texts, found, window, block, bits), bits), "later")
     discard(found)
-    return later.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    runs = written(maximal(later), "runs")
+    discard(later)
+    return with_first_words(texts, runs, window).select("doc_id", "start", "n", "digest")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,26 +329,29 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
 
     A word goes if a window of `window` consecutive words of its document covers it whose word sequence also starts
     earlier: in a smaller doc_id, or in the same document before. Windows are judged on the input. Null and empty texts
-    have no words; rows without an id are left as they are. Rows of one id and one text count as one
-    document repeated (neither row's windows remove the other's); ids must be unique among different texts. Other columns are ignored; an empty table gives no rows.
+    have no words; rows without an id are left as they are. Rows of one id and one text count as one document repeated
+    (neither row's windows remove the other's); of one id with different texts, which is the earlier is by a hash of
+    the texts. Windows are found by 64 bits and more of their words; if two with other words had the same, the job fails
+    rather than remove words that do not repeat. Other columns are ignored; an empty table gives no rows.
     """
     ready(docs.sparkSession)
-    starts = repeats(docs, window, id_col, text_col)
+    texts = _texts(docs, id_col, text_col)
+    runs = repeats(texts, window).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "digest")).alias("runs"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out = []
-            for doc, t, s in zip(f["doc_id"], f["t"], f["starts"], strict=True):
+            for doc, t, found in zip(f["id"], f["t"], f["runs"], strict=True):
                 words = t.encode().split()
                 spans: list[list[int]] = []
-                if s is not None:
-                    for x in np.unique(np.concatenate([np.frombuffer(x, np.int32) for x in s])).tolist():
-                        if x + window > len(words):
-                            continue
-                        if spans and x <= spans[-1][1]:
-                            spans[-1][1] = x + window
-                        else:
-                            spans.append([x, x + window])
+                for x in sorted(found, key=lambda x: x["start"]) if found is not None else ():
+                    a, b = x["start"], x["start"] + x["n"] + window - 1
+                    if _digest(words[a:b]) != x["digest"]:
+                        raise ValueError("two windows of other words with one key")
+                    if spans and a < spans[-1][1]:
+                        spans[-1][1] = max(spans[-1][1], b)
+                    else:
+                        spans.append([a, b])
                 kept, at = [], 0
                 for a, b in spans:
                     kept.extend(words[at:a])
@@ -291,7 +362,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
 
-    joined = _texts(docs, id_col, text_col).join(starts, "doc_id", "left")
+    joined = texts.join(runs, "doc_id", "left").select("id", "t", "runs")
     return joined.mapInPandas(run, "doc_id long, n_words long, n_removed long, spans array<array<int>>, kept_text string")
 
 

@@ -327,6 +327,100 @@ def test_fingerprints(docs, rows):
     assert len(got[0].fingerprint) == 256 and got[1000].fingerprint == got[1001].fingerprint == "0" * 256
 
 
+def _likeness(a, b):
+    same = sum(x == y for x, y in zip(a, b, strict=True)) / len(a)
+    return min(1.0, max(0.0, (same - 1 / 16) / (1 - 1 / 16)))
+
+
+@pytest.mark.parametrize("per_block", [256, 7])
+def test_edited_fingerprints(docs, rows, spark, monkeypatch, per_block):
+    """The next document is found over borders of blocks, over gaps and an outlying id, and from the last to the first."""
+    monkeypatch.setattr(fingerprint, "BLOCK", per_block)
+    far = (1 << 60, "the last of all " * 9, "en", "a", 9, "k", 5, 6, 7, 8)
+    every = spark.createDataFrame([*rows, far], SCHEMA).repartition(4)
+    order = sorted([*rows, far])
+    texts = {r[0]: r[1] or "" for r in order}
+    fp = {r.doc_id: r.fingerprint for r in fingerprint.fingerprints(every).collect()}
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(every).collect()}
+    assert len(got) == len(order)
+    edited = {}
+    for r, after in zip(order, [*order[1:], order[0]], strict=True):
+        t, n = texts[r[0]], len(texts[r[0]]) // 4
+        edited[r[0]] = t[: len(t) - n] + texts[after[0]][:n]
+        x = got[r[0]]
+        assert (x.n_chars, x.edited, x.fingerprint, x.next_fingerprint) == (len(t), edited[r[0]], fp[r[0]], fp[after[0]])
+    of = fingerprint.fingerprints(spark.createDataFrame(list(edited.items()), "doc_id long, text string"))
+    assert {r.doc_id: r.fingerprint for r in of.collect()} == {i: r.edited_fingerprint for i, r in got.items()}
+
+
+def test_blocks_of_ids(spark):
+    """In the order of ids and of nearly equal size, whatever the gaps between ids."""
+    ids = [*range(3000), *range(10**9, 10**9 + 3000), 1 << 61, -(1 << 61), None]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    got = sorted((r.doc_id, r.block) for r in df.withColumn("block", common.id_blocks(df, len(ids), 20)).collect() if r.doc_id is not None)
+    assert [b for _, b in got] == sorted(b for _, b in got)
+    assert max(Counter(b for _, b in got).values()) <= 60
+
+
+def test_queries_of_the_operators(spark, docs, rows, tmp_path):
+    """The registered queries: one row a document (a piece for packing), with the contract's columns."""
+    from quarryline.llm import queries as Q
+
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(r[0], i % 2) for i, r in enumerate(rows)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = {k: f(spark, str(tmp_path)).collect() for k, f in Q.QUERIES.items()}
+    for k, got in out.items():
+        assert sorted({r.doc_id for r in got}) == sorted(r[0] for r in rows) and (k == "op2_packing" or len(got) == len(rows)), k
+    text = {r[0]: r[1] or "" for r in rows}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for r in out["op1_toxicity"]:
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1
+    assert {r.doc_id: r.fingerprint for r in out["op3_simhash"]} == {i: f"{_fingerprint(t):016x}" for i, t in text.items()}
+    for r in out["op4_mixing"]:
+        assert r["size"] == len(re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id])) and 0 <= r.taken <= 2 * r["size"] and r.target <= 2 * r.source_size
+    fp = {r.doc_id: r for r in out["op5_fingerprints"]}
+    order = sorted(fp)
+    for i, after in zip(order, [*order[1:], order[0]], strict=True):
+        n = len(text[i]) // 4
+        assert fp[i].edited_sha256 == sha(text[i][: len(text[i]) - n] + text[after][:n])
+        assert abs(fp[i].near_edited - _likeness(fp[i].fingerprint, fp[i].edited_fingerprint)) < 1e-9
+        assert abs(fp[i].near_next - _likeness(fp[i].fingerprint, fp[after].fingerprint)) < 1e-9
+    whole = lambda t: t.encode().decode()
+    assert all(r.kept_sha256 == sha(whole(text[r.doc_id])) for r in out["op6_line_dedup"] if r.n_dropped == 0)
+    words = {i: t.encode().split() for i, t in text.items()}
+    assert all(r.kept_sha256 == hashlib.sha256(b" ".join(words[r.doc_id])).hexdigest() for r in out["op7_substring_dedup"] if r.n_removed == 0)
+    assert all(r.law == "bytes" and 0 <= r.shard < 24 and r.grown_shard is None and r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) for r in out["op9_sharding"])
+    assert sum(p.length for p in out["op2_packing"]) == sum({p.doc_id: p.doc_tokens for p in out["op2_packing"]}.values())
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    """Each row loses what repeats in its own text."""
+    line = "a line of more than forty characters, found in many documents"
+    rows = [(0, f"other first\nsecond {line}"), (0, f"{line}\nkept"), *[(i, line) for i in range(1, 7)], (None, line)]
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = sorted(r.kept_text for r in got if r.doc_id == 0)
+    assert kept == ["kept", f"other first\nsecond {line}"]
+    assert [r.kept_text for r in got if r.doc_id is None] == [line] and [r.n_dropped for r in got if r.doc_id == 6] == [0]
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, "a b c " + passage), (5, "another text " + passage), (7, passage + " end"), (9, "x " * 4), (None, passage)]
+    got = substring.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.n_removed for r in got if r.doc_id == 5) == [0, 30]
+    assert [r.kept_text for r in got if r.doc_id == 7] == ["end"] and [r.n_removed for r in got if r.doc_id is None] == [0]
+
+
+def test_windows_with_one_key_and_other_words_are_not_removed(spark, monkeypatch):
+    """The words of a repeat are held against those of its first place."""
+    passage = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, passage), (2, "y " + passage)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring.without_repeats(df).collect()} == {1: 0, 2: 40}
+    runs = df.select(F.lit(2).cast("long").alias("doc_id"), F.lit(0).alias("start"), F.lit(1).cast("long").alias("first_doc"), F.lit(0).alias("first_start"), F.lit(2).alias("n")).distinct()
+    texts = df.withColumnRenamed("text", "t")
+    wrong = substring.with_first_words(texts, runs, 20).select("doc_id", "start", "n", "digest")
+    monkeypatch.setattr(substring, "repeats", lambda *_: wrong)
+    with pytest.raises(Exception, match="other words"):
+        substring.without_repeats(df).collect()
+
+
 def test_line_dedup(docs, rows):
     holders = defaultdict(set)
     key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate(UPPER)
@@ -473,6 +567,17 @@ def test_sharding_is_even(spark):
     assert len(size) == 24 and max(size) < 1.03 * min(size)
 
 
+def test_sharding_of_uneven_groups(spark):
+    """Groups of up to a tenth of a shard, and sources whose names begin alike: shards still differ by little."""
+    r = random.Random(7)
+    rows = [(i, "x" * int(min(9000, r.lognormvariate(6.5, 1.2))) + str(i), f"https://example.org/{i % 5}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = [x.b for x in sharding.shard(df).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(size) == 24 and max(size) < 1.05 * min(size) and sum(size) == sum(len(t) + 8 for _, t, _ in rows)
+    points = sharding.groups_of(df.select("doc_id", F.col("source").alias("source_key"), F.length("text").alias("n"), F.length("text").cast("long").alias("size"), F.md5("text").alias("key"), F.col("doc_id").alias("row")))
+    assert points.select("d_source").distinct().count() == 5
+
+
 def test_toxicity(spark):
     r = random.Random(6)
     words = ["".join(r.choice("abcdefg") for _ in range(4)) for _ in range(300)]
