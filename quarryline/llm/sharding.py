@@ -19,7 +19,7 @@ SHARDS, OVERHEAD = 24, 8
 BIN_BITS, DIM_BITS, TIE_BITS = 12, 28, 32
 #: Of equally wide ones the first is split; length comes last, as nodes of long texts are hard to balance.
 #: Shards that differ by less than this part of the share are even; rounds in which others are levelled, at most.
-EVEN, ROUNDS = 0.02, 4
+EVEN, ROUNDS = 0.02, 6
 DIMS = ("d_id", "d_source", "d_length")
 
 
@@ -84,7 +84,7 @@ def levelled(points: DataFrame, shards: int, groups: int, level: float) -> DataF
     if not over or not under or max(have.values()) - min(have.get(s, 0) for s in range(shards)) <= EVEN * share:
         return points
     look = lambda values: F.coalesce(*[F.when(F.col("shard") == s, F.lit(v)) for s, v in values.items()])
-    least = min(max(v for _, v in under), max(over.values())) / 2  # a larger one would only change places
+    least = min(max(v for _, v in under), max(over.values()))
     spare = points.withColumn("over", look(over)).where((F.col("weight") <= F.lit(least)) & (F.col("weight") <= F.col("over")))
     spare = spare.withColumn("block", F.shiftrightunsigned("tie", TIE_BITS - min(TIE_BITS, block_bits(groups))))
     spare = exclusive_sum(spare, ["shard"], "block", ["tie", "key"], "weight", "before").where(F.col("before") + F.col("weight") <= F.col("over"))
@@ -119,7 +119,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     points = written(points.select("key", "weight", "tie", of.alias("shard")), "leaves")
     groups = points.count()
     for turn in range(ROUNDS):
-        now = levelled(points, shards, groups, 1.0 if turn == 0 else 1 - EVEN / 2)  # then those at the share give as well
+        # At the share, then a little above it, so that those at the share take too, and below it, so that they give too.
+        now = levelled(points, shards, groups, 1 + (0, EVEN / 2, -EVEN / 2)[turn % 3])
         if now is points:
             break
         points = written(now, "leaves")
