@@ -160,16 +160,28 @@ def features(code: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
 ROWS = 3 * N_CODES + PAIRS
 
 
-def log_classes(w: np.ndarray, bias: np.ndarray, feats: tuple[np.ndarray, ...]) -> np.ndarray:
-    x = w[feats[0]]
+def _logits(w: np.ndarray, bias: np.ndarray, feats: tuple[np.ndarray, ...]) -> np.ndarray:
+    x = w.take(feats[0], axis=0)  # take is much faster than indexing by arrays
     for f in feats[1:]:
-        x += w[f]
+        x += w.take(f, axis=0)
     x += bias
     x -= x.max(1, keepdims=True)
+    return x
+
+
+def log_classes(w: np.ndarray, bias: np.ndarray, feats: tuple[np.ndarray, ...]) -> np.ndarray:
+    x = _logits(w, bias, feats)
     x -= np.log(np.exp(x).sum(1, keepdims=True))
     return x
 
 
+def classes(w: np.ndarray, bias: np.ndarray, feats: tuple[np.ndarray, ...]) -> np.ndarray:
+    x = _logits(w, bias, feats)
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
 def numbered(docs: DataFrame, shared) -> DataFrame:
     """row, doc_id, held_out, ids (numbers of the tokens with the end, 32 bits each), rare (the words beyond the table)."""
 
@@ -344,17 +356,23 @@ def trained(texts: DataFrame, table: Table) -> tuple[np.ndarray, np.ndarray, np.
                     for a in range(0, len(ids), BATCH):
                         part = tuple(x[a : a + BATCH] for x in feats)
                         n = len(part[0])
-                        g = np.exp(log_classes(w, b, part))
+                        g = classes(w, b, part)
                         g[np.arange(n), y[a : a + n]] -= 1
-                        for x in part:
-                            order = np.argsort(x)
-                            s = x[order]
-                            cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-                            d = np.add.reduceat(g[order], cut, axis=0) / n
-                            at = s[cut]
-                            h = gw[at] + d * d
-                            gw[at] = h
-                            w[at] -= RATE * d / np.sqrt(h)
+                        # The kinds of features have rows of their own, so one sort serves all of them.
+                        x = np.concatenate(part)
+                        order = np.argsort(x)
+                        s = x[order]
+                        cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+                        d = np.add.reduceat(g.take(order % n, axis=0), cut, axis=0)
+                        d /= n
+                        at = s[cut]
+                        h = gw.take(at, axis=0)
+                        h += d * d
+                        gw[at] = h
+                        np.sqrt(h, out=h)
+                        d /= h
+                        d *= np.float32(RATE)
+                        w[at] = w.take(at, axis=0) - d
                         d = g.mean(0)
                         gb += d * d
                         b -= RATE * d / np.sqrt(gb)
