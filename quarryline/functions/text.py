@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -10,17 +9,21 @@ from pyspark.sql import functions as F
 
 
 def _folding() -> tuple[str, str]:
-    """Letters whose decomposition is one letter and marks, and that letter; from the Unicode database."""
-    src, dst = [], []
-    for i in range(0x80, min(sys.maxunicode, 0x2FFF)):
+    """Letters whose decomposition is one letter and marks, and that letter, then the marks, which have no letter and so
+    are deleted; from the Unicode database."""
+    src, dst, marks = [], [], []
+    for i in range(0x80, 0xFFFF):
         c = chr(i)
-        if c.lower() != c:
+        if unicodedata.category(c) == "Mn":
+            marks.append(c)
+            continue
+        if not unicodedata.decomposition(c) or c.lower() != c:
             continue
         base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
         if base != c and len(base) == 1:
             src.append(c)
             dst.append(base)
-    return "".join(src) + "đ", "".join(dst) + "d"
+    return "".join(src) + "đ" + "".join(marks), "".join(dst) + "d"
 
 
 _SRC, _DST = _folding()
