@@ -23,7 +23,7 @@ FACETS = {
 }
 COMPARED_BY_DEFAULT = "bối cảnh mục tiêu tính chất lực lượng hình thức đấu tranh kết quả hệ quả ý nghĩa lịch sử"
 COMPARE_LEAD = "(?i)^\\s*(hãy\\s+|hay\\s+)?(so\\s+sánh|so sanh|đối\\s+chiếu|doi chieu)\\s+"
-COMPARE_TAIL = "(?i)(\\s+(khác nhau|giong nhau|giống nhau))?(\\s+(như thế nào|ra sao))?\\??\\s*\\z"
+COMPARE_TAIL = "(?i)(\\s+(khác nhau|giong nhau|giống nhau)\\s+(như thế nào|ra sao)?|\\s+(như thế nào|ra sao))\\??\\s*\\z"
 CONJUNCTION = "(?i)\\s+(?:và|va|với|voi)\\s+|[,;/]+"
 EDGES = "^[ .?!:;]+|[ .?!:;]+\\z"
 OOD_MARGIN, UNSURE_MARGIN = -0.06, 0.02

@@ -12,10 +12,19 @@ from ..functions.text import dot, terms
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> tuple[DataFrame, DataFrame]:
-    """(postings: term, row_id, tf; lengths: row_id, dl)."""
-    t = docs.select(F.col(id_col).alias("row_id"), F.explode(terms(text)).alias("term"))
-    p = t.groupBy("term", "row_id").agg(F.count("*").alias("tf"))
-    return p, p.groupBy("row_id").agg(F.sum("tf").alias("dl"))
+    """(postings: term, row_id, dl, tf; lengths: row_id, dl, of documents with a term). A document's length goes with its
+    terms, so neither a shuffle of all postings nor a join is needed for it."""
+    t = docs.select(F.col(id_col).alias("row_id"), terms(text).alias("_t"))
+    each = t.select("row_id", F.size("_t").alias("dl"), F.explode("_t").alias("term"))
+    return each.groupBy("term", "row_id", "dl").agg(F.count("*").alias("tf")), t.select("row_id", F.size("_t").alias("dl")).where("dl > 0")
+
+
+def indexed(docs: DataFrame, id_col: str, text: Column, path: str) -> None:
+    """Writes the postings (sorted by term within files of a range of terms, so that a query reads the row groups of its
+    terms alone) and the lengths below path, once for any number of queries."""
+    post, lengths = postings(docs, id_col, text)
+    post.repartitionByRange("term", "row_id").sortWithinPartitions("term", "row_id").write.parquet(f"{path}/postings")
+    lengths.write.parquet(f"{path}/lengths")
 
 
 def bm25(queries: DataFrame, post: DataFrame, lengths: DataFrame, n_docs: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -27,7 +36,7 @@ def bm25(queries: DataFrame, post: DataFrame, lengths: DataFrame, n_docs: DataFr
     hit = post.join(mine, "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     stats = n_docs.crossJoin(lengths.agg(F.avg("dl").alias("avgdl")))  # one row each
-    w = hit.join(df, "term").join(lengths, "row_id").crossJoin(F.broadcast(stats))
+    w = hit.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     w = w.select("term", "row_id", (idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
     s = queries.join(w, "term").groupBy("query_id", "row_id").agg(F.round(F.sum(F.col("w") * F.col("qtf")), 6).alias("score"))
@@ -39,11 +48,12 @@ def top(df: DataFrame, by: list[str], order: list, k: int, name: str = "rank") -
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
-def dense_top(queries: DataFrame, corpus: DataFrame, k: int, blocks: int = 16, places: int = 6) -> DataFrame:
+def dense_top(queries: DataFrame, corpus: DataFrame, k: int, per_block: int = 65536, places: int = 6) -> DataFrame:
     """query_id, row_id, score, rank: exact inner products of a stated query set against all rows, in blocks.
 
-    The corpus is dealt over blocks and each block meets every query, of which there are few; each block keeps its k
-    best for each query before the last selection."""
+    The corpus is dealt over blocks of about per_block rows, at least 16, and each block meets every query, of which there
+    are few; each block keeps its k best for each query before the last selection."""
+    blocks = max(16, -(-corpus.count() // per_block))
     q = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     c = corpus.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int"))
     s = q.join(c, "block").select("query_id", "row_id", "block", F.round(dot(F.col("q"), F.col("v")), places).alias("score"))
@@ -81,8 +91,8 @@ def capped_bonus(parts: list[tuple[Column, float]], most: float = 0.18) -> Colum
 
 
 def diverse(candidates: DataFrame, k: int, title_cap: int = 2) -> DataFrame:
-    """Per query: one candidate for each requested facet, then by rank with at most title_cap of a title, then any; in
-    the order of the score. Candidates (query_id, row_id, title_key, facets, wanted, score) are at most some tens for a
+    """Per query: one candidate for each requested facet (but general, compare and time) of a title below title_cap, then
+    by rank with at most title_cap of a title, then any; in the order of the score. Candidates (query_id, row_id, title_key, facets, wanted, score) are at most some tens for a
     query, and each choice depends on those before, so it is a function of a query's group."""
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
@@ -94,8 +104,9 @@ def diverse(candidates: DataFrame, k: int, title_cap: int = 2) -> DataFrame:
             taken.append(i)
             titles[f.title_key[i]] = titles.get(f.title_key[i], 0) + 1
 
-        for facet in list(f.wanted[0]) if len(f) else []:
-            i = next((i for i in f.index if i not in taken and facet in list(f.facets[i])), None)
+        asked = [x for x in f.wanted[0] if x not in ("general", "compare", "time")] if len(f) else []
+        for facet in asked:
+            i = next((i for i in f.index if i not in taken and facet in list(f.facets[i]) and titles.get(f.title_key[i], 0) < title_cap), None)
             if i is not None and len(taken) < k:
                 take(i)
         for cap in (title_cap, math.inf):

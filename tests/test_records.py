@@ -56,3 +56,32 @@ def test_temporary_corpus_without_rerank_scores(spark):
 def test_differing_vectors(spark):
     r = spark.createDataFrame([([1.0, 2.0], [1.0, 2.5]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert [x.d for x in r.select(K.max_difference(F.col("a"), F.col("b")).alias("d")).collect()] == [0.5, None]
+
+
+def test_gold_of_short_and_long_items(spark):
+    from quarryline.plans.catalogue import _gold
+
+    docs = spark.createDataFrame([(1, "the red fox jumps over it and runs far away"), (2, "nothing"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "red fox jumps"), (2, "he red fox jumps over it an"), (3, "blue fox"), (4, "x")], "item_id long, text string")
+    got = {r.query_id: r["items"] for r in _gold(lambda n: docs if n == "documents" else items).collect()}
+    assert got == {1: [1], 2: [1], 3: None, 4: [1]}
+
+
+def test_index_once_and_query(spark, tmp_path):
+    from quarryline.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox"), (3, "")], "doc_id long, text string")
+    q = spark.createDataFrame([(9, "red", 1), (9, "fox", 1)], "query_id long, term string, qtf long")
+    n = docs.agg(F.count("*").alias("n_docs"))
+    direct = R.bm25(q, *R.postings(docs, "doc_id", F.col("text")), n, 5).collect()
+    R.indexed(docs, "doc_id", F.col("text"), f"{tmp_path}/index")
+    again = R.bm25(q, spark.read.parquet(f"{tmp_path}/index/postings"), spark.read.parquet(f"{tmp_path}/index/lengths"), n, 5).collect()
+    assert direct == again and [r.row_id for r in direct] == [1, 2]
+
+
+def test_diverse_keeps_the_title_cap_for_facets(spark):
+    from quarryline.operators import retrieval as R
+
+    rows = [(1, i, "a", ["cause"] if i == 2 else ["other"], ["time", "other", "cause"], 1.0 - i / 10) for i in range(3)] + [(1, 5, "b", ["cause"], ["x"], 0.1)]
+    df = spark.createDataFrame(rows, "query_id long, row_id long, title_key string, facets array<string>, wanted array<string>, score double")
+    assert [r.row_id for r in R.diverse(df, 2, 1).orderBy("rank").collect()] == [0, 5]
