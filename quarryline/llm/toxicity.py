@@ -32,6 +32,7 @@ LOOK, DECAY, HIDE, LEAST_TEXTS = 3, 2.0, 0.2, 8
 #: pieces: a word of up to PIECE // 2 characters in it is whole in one of them.
 LONG, PIECE = 14, 24
 CACHE_MOST = 1 << 18
+CHUNK = 1 << 10  # windows that numpy takes at once: few enough that its products stay on one thread, as others would only spin
 _PUNCTUATION = "\"'`.,;:!?()[]{}<>*%$&#@+=|/\\~^_-"
 
 
@@ -196,47 +197,65 @@ class Network:
             keep |= {"f": kf, "b": kb, "h": h, "u": u, "a": a, "pooled": pooled}
         return pooled @ self.p["o"] + self.p["bo"]
 
-    def slide(self, table: np.ndarray, ids: np.ndarray, chunk: int = 2048) -> np.ndarray:
+    def slide(self, table: np.ndarray, ids: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         """Logits of the windows at every place of a run of word numbers without 0, as forward() gives them. A step of
-        all windows reads one slice of the run, and has a row for each unit, so numpy works along windows."""
-        half = np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(np.float32)  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+        all windows reads one slice of the run, and has a row for each unit, so numpy works along windows.
+
+        numpy's exp is several times as fast as its tanh, so states are kept as (1 - h) / 2 = s + z * (state - s) with
+        s = 1 / (1 + exp(2 * x)) in place of tanh(x); the factors are in the weights, and a state's last row is 1 for
+        what does not depend on it."""
+        flip = np.r_[np.full(2 * HIDDEN, -1), np.full(HIDDEN, 2)].astype(np.float32)  # z, r: exp(-x); candidate: exp(2 * x)
         both = []
         for side, k in (("uf", 0), ("ub", 1)):
             part = slice(k * HIDDEN, (k + 1) * HIDDEN)
-            both.append(np.ascontiguousarray(np.concatenate([self.p[side] * half, self.p["a"][part], self.p["o"][part, None]], 1).T))
-        scale = np.r_[half, half]
+            w = np.concatenate([self.p[side] * flip, 2 * self.p["a"][part], self.p["o"][part, None]], 1)
+            rest = w.sum(0)
+            if k == 0:
+                rest[3 * HIDDEN : -1] += 2 * self.p["ba"]
+            both.append(np.ascontiguousarray(np.concatenate([-2 * w, rest[None]]).T))
+        scale = np.r_[flip, flip]
         n, gates = len(ids) - WINDOW + 1, 2 * HIDDEN
         logits = np.empty(max(n, 0), np.float32)
+        old = np.seterr(over="ignore")  # exp may reach infinity, whose inverse is 0 as it should be
         for at in range(0, n, chunk):
             m = min(chunk, n - at)
             g = np.ascontiguousarray((table[ids[at : at + m + WINDOW - 1]] * scale).T)
             seen, score = np.empty((WINDOW, ATTEND + 1, m), np.float32), np.empty((WINDOW, m), np.float32)
+            zr = np.empty((gates, m), np.float32)
             for k, order in ((0, range(WINDOW)), (1, range(WINDOW - 1, -1, -1))):
-                x, h = g[3 * HIDDEN * k : 3 * HIDDEN * (k + 1)], np.zeros((HIDDEN, m), np.float32)
-                y = np.zeros((len(both[k]), m), np.float32)
+                x = g[3 * HIDDEN * k : 3 * HIDDEN * (k + 1)]
+                state = np.full((HIDDEN + 1, m), 0.5, np.float32)
+                state[-1] = 1
+                h = state[:-1]
+                y = both[k] @ state
                 for t in order:
-                    zr = x[:gates, t : t + m] + y[:gates]
-                    np.tanh(zr, out=zr)
-                    zr *= np.float32(0.5)
-                    zr += np.float32(0.5)
+                    np.add(x[:gates, t : t + m], y[:gates], out=zr)
+                    np.exp(zr, out=zr)
+                    zr += np.float32(1)
+                    np.divide(np.float32(1), zr, out=zr)
                     new = zr[HIDDEN:]
                     new *= y[gates : 3 * HIDDEN]
                     new += x[gates:, t : t + m]
-                    np.tanh(new, out=new)
+                    np.exp(new, out=new)
+                    new += np.float32(1)
+                    np.divide(np.float32(1), new, out=new)
                     h -= new
                     h *= zr[:HIDDEN]
                     h += new
-                    y = both[k] @ h
+                    np.matmul(both[k], state, out=y)
                     if k == 0:
                         seen[t] = y[3 * HIDDEN :]
                         continue
                     seen[t] += y[3 * HIDDEN :]
                     u = seen[t, :ATTEND]
-                    u += self.p["ba"][:, None]
-                    score[t] = self.p["v"] @ np.tanh(u, out=u)
+                    np.exp(u, out=u)
+                    u += np.float32(1)
+                    np.divide(np.float32(1), u, out=u)
+                    score[t] = (-2 * self.p["v"]) @ u  # but for a number that is the same at all steps
             score -= score.max(0)
             np.exp(score, out=score)
             logits[at : at + m] = (score * seen[:, ATTEND]).sum(0) / score.sum(0) + self.p["bo"]
+        np.seterr(**old)
         return logits
 
     def backward(self, d: np.ndarray, k: dict) -> tuple[dict, np.ndarray]:
