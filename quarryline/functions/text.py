@@ -167,3 +167,24 @@ def only_known_citations(text: Column, known: Column) -> Column:
 def has_secret(c: Column) -> Column:
     """Whether secrets_masked would mask anything."""
     return F.coalesce(c.rlike("(?i)\\b(sk|pk|api|key|token)[-_][a-z0-9_-]{8,}") | c.rlike("[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"), F.lit(False))
+
+
+# The patterns by which years are read in different places; they are not the same on purpose.
+YEAR_PATTERNS = {
+    "history": r"(?iu)(?<!\d)[1-9]\d{2,3}(?!\d)|\b(?:thế kỷ|thế kỉ|TCN|SCN)\b",
+    "metadata": r"\b(1[0-9]{3}|20[0-9]{2})\b",
+    "question": r"(?<!\d)(\d{3,4})(?!\d)",
+    "explicit": r"(?<!\d)(9[0-9]{2}|1[0-9]{3}|20[0-9]{2})(?!\d)",
+    "answer": r"(?<!\d)(?:[5-9]\d{2}|1\d{3}|20\d{2})(?!\d)",
+    "citation": r"^\d{3,4}$",
+}
+
+
+def year_signs(c: Column, kind: str) -> Column:
+    """What a text has that one kind of pattern takes for a year, in order, each once."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(YEAR_PATTERNS[kind]), F.lit(0)))
+
+
+def clipped(c: Column, most: int) -> Column:
+    """A text of at most `most` characters; what is cut ends in an ellipsis."""
+    return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most - 1), F.lit("…"))).otherwise(c)

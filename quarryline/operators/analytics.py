@@ -77,3 +77,39 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 def snapshot(cells: DataFrame, key: str, who: str, value: str, names: list[str]) -> DataFrame:
     """A row a key with a column for each named experiment; null where it has no cell."""
     return cells.groupBy(key).pivot(who, names).agg(F.first(value))
+
+
+def paired_metrics(cells: DataFrame, key: str, who: str, metrics: dict[str, bool]) -> DataFrame:
+    """metric, a, b, wins, ties, losses, n, mean_delta for every metric and pair of experiments over the keys where both
+    have it; metrics: whether higher is better, so that a win of a lower latency counts as one. One join for all."""
+    side = lambda n, v: cells.unpivot([key, who], list(metrics), "metric", v).where(F.col(v).isNotNull()).withColumnRenamed(who, n)
+    sign = F.create_map(*[F.lit(x) for m, up in metrics.items() for x in (m, 1 if up else -1)])[F.col("metric")]
+    p = side("a", "x").join(side("b", "y"), [key, "metric"]).where("a < b").withColumn("_d", (F.col("y") - F.col("x")) * sign)
+    return p.groupBy("metric", "a", "b").agg(
+        F.count_if(F.col("_d") > 0).alias("wins"), F.count_if(F.col("_d") == 0).alias("ties"), F.count_if(F.col("_d") < 0).alias("losses"),
+        F.count("*").alias("n"), F.round(F.avg(F.col("y") - F.col("x")), 6).alias("mean_delta"),
+    )
+
+
+def phase_rates(df: DataFrame, phase: str, ok: Column, tokens: str, seconds: dict[str, float | None]) -> DataFrame:
+    """phase, n, succeeded, success_rate, error_rate, requests_per_second and tokens_per_second of each of the phases named
+    in seconds (wall time, or None), also of those without a row; tokens only where every success has them."""
+    d = df.withColumn("_ok", F.coalesce(ok, F.lit(False)))
+    good = F.when(F.col("_ok"), F.col(tokens))
+    g = d.groupBy(phase).agg(F.count("*").alias("n"), F.count_if("_ok").alias("succeeded"), F.sum(good).alias("_t"), F.count(good).alias("_known"))
+    fixed = df.sparkSession.createDataFrame(list(seconds.items()), f"{phase} string, _s double")
+    j = fixed.join(F.broadcast(g.where(F.col(phase).isin(list(seconds)))), phase, "left").fillna(0, ["n", "succeeded", "_known"])  # a row a phase
+    share = lambda c: F.when(F.col("n") > 0, F.round(c / F.col("n"), 6))
+    rate = lambda c: F.when(F.col("_s") > 0, F.round(c / F.col("_s"), 6))
+    known = F.when(F.col("_known") == F.col("succeeded"), F.coalesce("_t", F.lit(0)))
+    return j.select(
+        phase, "n", "succeeded", share(F.col("succeeded")).alias("success_rate"), share(F.col("n") - F.col("succeeded")).alias("error_rate"),
+        rate(F.col("succeeded")).alias("requests_per_second"), rate(known).alias("tokens_per_second"),
+    )
+
+
+def histogram(df: DataFrame, by: str, value: str, width: float, buckets: int) -> DataFrame:
+    """by, bucket, n: values in buckets of a width, the last one open; every bucket of a group has a row."""
+    b = F.least(F.lit(buckets - 1), F.greatest(F.lit(0), F.floor(F.col(value) / width)))
+    n = df.where(F.col(value).isNotNull()).groupBy(by).agg(*[F.count_if(b == i).alias(str(i)) for i in range(buckets)])
+    return n.unpivot([by], [str(i) for i in range(buckets)], "bucket", "n").withColumn("bucket", F.col("bucket").cast("int"))
