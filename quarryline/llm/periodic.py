@@ -199,22 +199,21 @@ def with_runs(docs: DataFrame, text_col: str = "text", words: str = "n_words", r
 
     A run is a stretch with smallest period q and at least max(LEAST, TIMES * q) words that no neighbouring word extends
     keeping q. Of a run its first q words stay; a word that another run drops goes nevertheless. Null texts have no
-    words. All rows and columns of docs stay; names that are added must not be among them.
+    words and no runs. All rows stay, and all columns but those with the names of new ones, which are replaced.
     """
     ready(docs.sparkSession)
-    names = docs.columns
-    clash = [c for c in (words, runs, kept) if c.lower() in {x.lower() for x in names}]
-    if clash:
-        raise ValueError(f"columns {clash} are there already; pass other names")
-    at = names.index(text_col)
+    at, new = docs.columns.index(text_col), {words.lower(), runs.lower(), kept.lower()}
+    old = [i for i, c in enumerate(docs.columns) if c.lower() not in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, found, left = _found(b.column(at).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, n, found, left], [*b.schema.names, words, runs, kept])
+            found = _found(b.column(at).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in old], *found], [f.name for f in fields])
 
-    added = [T.StructField(words, T.LongType()), T.StructField(runs, RUNS), T.StructField(kept, T.StringType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    kinds = [*[docs.schema.fields[i].dataType for i in old], T.LongType(), RUNS, T.StringType()]
+    fields = [T.StructField(f"c{i}", t) for i, t in enumerate(kinds)]  # mapInArrow can't take names with dots
+    out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, T.StructType(fields))
+    return out.toDF(*[docs.columns[i] for i in old], words, runs, kept)
 
 
 def highest(runs: Column) -> Column:

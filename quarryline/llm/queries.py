@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exactdedup, fingerprint, linededup, lm, mixing, packing, periodic, resampling, sharding, simhash, substring, toxicity
+from . import exactdedup, fingerprint, htmlextract, linededup, lm, mixing, packing, periodic, resampling, sharding, simhash, substring, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_lm_scoring": lm.op8_lm_scoring,
     "op9_sharding": sharding.op9_sharding,
     "op10_exact_dedup": exactdedup.op10_exact_dedup,
+    "op11_html_extraction": htmlextract.op11_html_extraction,
     "op12_resampling": resampling.op12_resampling,
     "op13_periodic_runs": periodic.op13_periodic_runs,
 }
