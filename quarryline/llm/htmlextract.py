@@ -156,7 +156,9 @@ def self_labelled(pages: DataFrame, html_col: str = "html") -> list[str]:
     main text, and the rest as not. Half of them are given plain elements and no names."""
     html = F.col(f"`{html_col}`").cast("string")
     one = pages.select(html.alias("h")).where((F.length("h") <= MOST_CHARS) & (F.size(F.split(F.lower("h"), "<article[\\s>]")) == 2) & F.lower("h").contains("<body"))
-    rows = one.orderBy(F.xxhash64(F.lit(5), "h"), "h").limit(SAMPLE).collect()  # bounded by SAMPLE * MOST_CHARS
+    one = one.withColumn("key", F.xxhash64("h"))
+    keys = [r[0] for r in one.select("key").distinct().orderBy("key").limit(SAMPLE).collect()]  # so tasks send no pages to choose from
+    rows = sorted(one.where(F.col("key").isin(keys)).groupBy("key").agg(F.min("h").alias("h")).collect())  # SAMPLE pages at most
     out = []
     for k, r in enumerate(rows):
         low = r.h.lower()
