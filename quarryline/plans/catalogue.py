@@ -11,7 +11,9 @@ from ..functions import text as X
 from ..operators import analytics as A
 from ..operators import corpus as C
 from ..operators import evaluation as E
+from ..operators import lexical as L
 from ..operators import retrieval as R
+from ..sources import scratch as S
 from ..streaming import telemetry as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,8 @@ def query(sql: str | None = None):
             return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
         run.__doc__ = f.__doc__
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there are two queries named {f.__name__}")
         QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
@@ -186,11 +190,15 @@ def chunk_token_budget(t):
 _TERMS = f"d as (select doc_id, list_filter(string_split({NORM}, ' '), lambda x: length(x) >= 2) as ts from documents), p as (select term, doc_id as row_id, count(*) as tf from (select doc_id, unnest(ts) as term from d) group by all), l as (select row_id, sum(tf) as dl from p group by 1), s as (select (select count(*) from documents) as n_docs, (select avg(dl) from l) as avgdl), f as (select term, count(*) as df from p group by 1), q as (select item_id as query_id, term, count(*) as qtf from (select item_id, unnest(list_filter(string_split({NORM}, ' '), lambda x: length(x) >= 2)) as term from benchmark) group by all), b0 as (select query_id, p.row_id, round(sum(qtf * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join p using (term) join f using (term) join l on l.row_id = p.row_id cross join s group by all), b as (select *, row_number() over (partition by query_id order by score desc, row_id) as rank from b0 qualify rank <= 20)"
 
 
+def _asked(t, terms=X.terms):
+    q = t("benchmark").select(F.col("item_id").alias("query_id"), F.explode(terms(F.col("text"))).alias("term"))
+    return q.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
 def _bm25(t, k=20):
+    """By an index of the documents that the session writes once for all queries that search it."""
     d = t("documents")
-    post, lengths = R.postings(d, "doc_id", F.col("text"))
-    q = t("benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    return R.bm25(q, post, lengths, d.agg(F.count("*").alias("n_docs")), k)
+    return L.search(d.sparkSession, S.once(d, "bm25", lambda path: L.build(d, "doc_id", F.col("text"), path)), _asked(t), k)
 
 
 @query(f"with {_TERMS} select * from b")
@@ -388,7 +396,7 @@ def group_hash_split(t):
 
 
 @query(f"with {_SPLIT}, p as (select h, list_sort(list(distinct split)) as ss from s group by 1 having count(distinct split) > 1) select array_to_string(ss, '+') as splits, count(*) as texts from p group by 1")
-def split_leakage(t):
+def hash_split_leakage(t):
     p = _split(t).groupBy("h").agg(F.array_join(F.array_sort(F.collect_set("split")), "+").alias("splits"), F.size(F.collect_set("split")).alias("k")).where("k > 1")
     return p.groupBy("splits").agg(F.count("*").alias("texts"))
 
