@@ -12,8 +12,10 @@ looks up the normaliser by class and word before. Workers gather how often pairs
 find the weights.
 
 Frequent words, a table of bounded size, are in classes by the company they keep; every other word is in a class by its
-last two bytes, where a part of the mass, by Good and Turing, is left to words that training has not seen. Counts of
-words beyond the bounded table are joined, not sent to workers.
+last two bytes, where a part of the mass, by Good and Turing, is left to words that training has not seen. Of that part
+LISTED is for as many words as, by Chao, have not been seen yet, an even share for each; the rest is for spellings: a word's
+bytes, from its end, by a hashed model of what follows two bytes in the distinct words of training, divided by the mass of
+all spellings of the class. Counts of words beyond the bounded table are joined, not sent to workers.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ ROUNDS, RATE = 2, 0.25
 BATCH = 256  # tokens of a step, for inputs of any size
 FAN_IN = 32  # matrices that one task adds up
 END = "\n"  # a key that no word has
+STOP, CONTEXTS, BACK_OFF = 256, 1 << 12, 4.0  # the byte before a word; buckets of two bytes; what a shorter context counts for
+LISTED = 0.25
 CHUNK = 512  # rows of weights, or words, that are averaged together
 
 
@@ -392,12 +396,81 @@ def trained(texts: DataFrame, table: Table) -> tuple[np.ndarray, np.ndarray, np.
     return w, bias, follow[:, :focus], follow[:, focus:]
 
 
+def _spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of words from their ends, with a STOP after each; the byte before (STOP: the word ends here), and the bucket
+    of the two before."""
+    n = np.array([len(w) for w in words], np.int64) + 1
+    stop = np.cumsum(n) - 1
+    x = np.full(n.sum(), STOP, np.int64)
+    at = np.ones(len(x), bool)
+    at[stop] = False
+    x[at] = np.frombuffer(b"".join(w[::-1] for w in words), np.uint8)
+    first = np.zeros(len(x), bool)
+    first[stop + 1 - n] = True
+    one = np.where(first, STOP, np.r_[STOP, x[:-1]])
+    two = np.where(first | np.r_[True, first[:-1]], STOP, np.r_[STOP, STOP, x[:-2]])
+    return x, one, context(one, two)
+
+
+def context(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return ((one * (STOP + 1) + two) * 0x9E3779B1 & 0xFFFFFFFF) >> 20  # CONTEXTS buckets
+
+
+class Spelling:
+    """How likely words are spelt as they are, by counts of bytes after two, one and no bytes, from their ends."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        two, one = counts[:CONTEXTS], counts[CONTEXTS:]
+        none = (one.sum(0) + 1.0) / (one.sum() + STOP + 1)
+        short = (one + BACK_OFF * none) / (one.sum(1, keepdims=True) + BACK_OFF)
+        self.two, self.whole, self.short = two.astype(np.float32), two.sum(1), short
+        # a class depends on the last two bytes alone, so the mass of its spellings is a sum over these
+        last = np.arange(STOP)
+        p0 = self.chance(last, np.full(STOP, STOP), np.full(STOP, STOP))
+        self.mass = np.zeros(CLASSES)
+        for b in last:
+            p1 = p0[b] * self.chance(np.arange(STOP + 1), np.full(STOP + 1, b), np.full(STOP + 1, STOP))
+            for a in range(STOP + 1):
+                self.mass[suffix_class(bytes([a, b]) if a < STOP else bytes([b]))] += p1[a]
+
+    def chance(self, x: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return self._chance(x, one, context(one, two))
+
+    def _chance(self, x: np.ndarray, one: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        return (self.two[bucket, x] + BACK_OFF * self.short[one, x]) / (self.whole[bucket] + BACK_OFF)
+
+    def logs(self, words: list[bytes], unseen: np.ndarray) -> np.ndarray:
+        """log10 of each word's chance among the words that training hasn't seen; unseen: how many a class has."""
+        if not words:
+            return np.zeros(0)
+        n, k = np.array([len(w) for w in words], np.int64) + 1, [suffix_class(w) for w in words]
+        each = np.add.reduceat(np.log(self._chance(*_spelt(words))), np.cumsum(n) - n) - np.log(self.mass[k])
+        return np.log10((1 - LISTED) * np.exp(each) + LISTED / unseen[k])
+
+
+def spelling(vocabulary: DataFrame) -> Spelling:
+    """From the distinct words of training; tasks send tables of fixed size."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = np.zeros((CONTEXTS + STOP + 1) * (STOP + 1))
+        for f in frames:
+            words = [w.encode() for w in f["word"]]
+            if words:
+                x, one, bucket = _spelt(words)
+                for row in (bucket, CONTEXTS + one):
+                    m += np.bincount(row * (STOP + 1) + x, minlength=len(m))
+        yield _chunks("m", m.reshape(-1, STOP + 1), 1.0)
+
+    words = vocabulary.where(F.col("word") != END).select("word")
+    return Spelling(_summed(words.mapInPandas(run, _KINDS), {"m": (CONTEXTS + STOP + 1, STOP + 1)})[0]["m"])
+
+
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Null texts are empty: a document of its end alone. Rows of one id are scored one by one. Training takes all rows
     whose crc32 of the id as text is not 2 modulo 7 (rows without an id too). Without training rows, scores are those of
-    an even model. A word that training has not seen has the mass of all such words of its class. Of the words of the
+    an even model. A word that training has not seen has a share of the mass of all such words of its class. Scores depend on how rows are dealt over tasks, whose weights are averaged. Of the words of the
     history, the CODES most frequent have features of their own and all others share EXTRA buckets; within classes only
     pairs of the FOCUS most frequent words have features; no other number is a limit. Other columns are ignored; an
     empty table gives no rows.
@@ -416,10 +489,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     if n:
         table.classes[:n] = clusters(company(train, n))
     table.number()
-    by_suffix = vocabulary.where(F.col("word") != END).groupBy(suffix_column(F.col("word")).alias("k")).agg(F.sum("c").alias("c"), F.sum((F.col("c") == 1).cast("long")).alias("once")).collect()
-    mass, once = np.zeros(CLASSES), np.zeros(CLASSES)
+    by_suffix = vocabulary.where(F.col("word") != END).groupBy(suffix_column(F.col("word")).alias("k")).agg(F.sum("c").alias("c"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.sum((F.col("c") == 2).cast("long")).alias("twice")).collect()
+    mass, once, twice = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_suffix:
-        mass[r["k"]], once[r["k"]] = r["c"], r["once"]
+        mass[r["k"]], once[r["k"]], twice[r["k"]] = r["c"], r["once"], r["twice"]
+    unseen = np.maximum(once * (once - 1) / (2 * (twice + 1)), 1.0)
     inside = np.array([suffix_class(w.encode()) for w in table.words[:n]], int)
     mass -= np.bincount(inside, weights=table.counts[:n], minlength=CLASSES)  # these have other classes
     new = np.maximum((once + 0.5) / (mass + 1.0), 1e-9)
@@ -463,7 +537,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     k = suffix_column(F.col("word")) + 1
     counts = vocabulary.where(F.col("c") <= least if least is not None else F.lit(True))  # words of the table need no join
     rare = held.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
-    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), (F.when(F.col("c").isNull(), F.element_at(log_new, k)).otherwise(F.log10("c") + F.element_at(log_known, k))).alias("score"), (F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"), F.lit(0).cast("long").alias("n"), F.when(F.col("c").isNotNull(), 1).otherwise(0).cast("long").alias("known"))
+    spelt = spark.sparkContext.broadcast(spelling(vocabulary))  # of fixed size, about 5 MB
+
+    @F.pandas_udf("double")
+    def chance(words: pd.Series) -> pd.Series:
+        out, new = np.zeros(len(words)), np.flatnonzero(words.notna())
+        out[new] = spelt.value.logs([words.iloc[i].encode() for i in new], unseen)
+        return pd.Series(out)
+
+    rare = rare.withColumn("spelt", chance(F.when(F.col("c").isNull(), F.col("word"))))
+    rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), (F.when(F.col("c").isNull(), F.element_at(log_new, k) + F.col("spelt")).otherwise(F.log10("c") + F.element_at(log_known, k))).alias("score"), (F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"), F.lit(0).cast("long").alias("n"), F.when(F.col("c").isNotNull(), 1).otherwise(0).cast("long").alias("known"))
     sums = parts.union(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"))
     return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * float(np.log10(total + words + 1))).alias("base_score"), "score")
 
