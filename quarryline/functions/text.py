@@ -29,6 +29,41 @@ def _folding() -> tuple[str, str]:
 _SRC, _DST = _folding()
 
 
+def _compatible() -> tuple[str, str, dict[str, str]]:
+    """Letters and signs whose compatibility form, case folded and without marks, is one other sign, and that; and of those
+    with several, all that are folded to a-z alone."""
+    src, dst, longer = [], [], {}
+    for i in (*range(0x80, 0x2E80), *range(0xF900, 0xFFFF), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F1AD)):
+        c = chr(i)
+        if unicodedata.category(c) in ("Cs", "Cn", "Co", "Mn"):
+            continue
+        form = "".join(x for x in unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", c).casefold()) if unicodedata.category(x) != "Mn")
+        if len(form) == 1 and form != c:
+            src.append(c)
+            dst.append(form)
+        elif len(form) > 1 and form.isascii() and form.isalpha():
+            longer[c] = form
+    return "".join(src), "".join(dst), longer
+
+
+_COMPATIBLE, _PLAIN, _LONGER = _compatible()
+#: Signs that show nothing and may stand between letters.
+_UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+
+
+def folded(c: Column) -> Column:
+    """Case folded, in compatibility form and without accents: full-width, mathematical and other letters that look like
+    a-z become them, ligatures their letters, and signs that show nothing go. Letters without such a form stay."""
+    plain = F.translate(F.translate(F.lower(c), _SRC + _UNSEEN, _DST), _COMPATIBLE, _PLAIN)
+    return F.when(plain.rlike(f"[{''.join(_LONGER)}]"), _spread(plain)).otherwise(plain)
+
+
+def _spread(c: Column) -> Column:
+    for sign, letters in _LONGER.items():
+        c = F.replace(c, F.lit(sign), F.lit(letters))
+    return c
+
+
 def clean_text(c: Column) -> Column:
     """Null as '', line ends as LF, runs of blanks as one, at most one empty line, trimmed."""
     c = F.regexp_replace(F.coalesce(c, F.lit("")), "\r\n?", "\n")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import match_norm, stable_id, strip_accents, years
+from ..functions.text import folded, match_norm, stable_id, strip_accents, years
 
 # What an injected instruction looks like in folded text, and what an id of evidence may look like.
 INJECTION = (
@@ -43,7 +43,7 @@ def fold(c: Column) -> Column:
 
 def suspicious(c: Column) -> Column:
     """Whether the text tries to change instructions or to obtain secrets."""
-    return strip_accents(F.coalesce(c, F.lit(""))).rlike("(?i)" + INJECTION)
+    return folded(F.coalesce(c, F.lit(""))).rlike("(?i)" + INJECTION)
 
 
 def safe_evidence(id_: Column, text: Column, title: Column) -> Column:
@@ -53,8 +53,8 @@ def safe_evidence(id_: Column, text: Column, title: Column) -> Column:
 
 def question_domain(c: Column) -> Column:
     """vietnamese, external, mixed or unspecified, by explicit signs alone."""
-    folded = strip_accents(F.coalesce(c, F.lit("")))
-    home, abroad = folded.rlike(HOME), folded.rlike(ABROAD)
+    plain = strip_accents(F.coalesce(c, F.lit("")))
+    home, abroad = plain.rlike(HOME), plain.rlike(ABROAD)
     return F.when(home & abroad, "mixed").when(home, "vietnamese").when(abroad, "external").otherwise("unspecified")
 
 
@@ -237,10 +237,17 @@ def evaluation_summary(df: DataFrame, metrics: list[str], by: list[str]) -> Data
     return df.groupingSets([[], *[[b] for b in by]], *by).agg(*out).select(*by, "n", "success_rate", *[c for m in metrics for c in (f"mean_{m}", f"n_{m}")])
 
 
-def aliases(sources: Column) -> Column:
+def aliases(sources: Column, cited_by: str | None = None) -> Column:
     """(alias, source) of sources, an array of (source_id, chunk_id, display_index): the ids, S and the index, and the
-    index; of equal aliases the first counts."""
-    each = lambda s: F.array(*[F.struct(a.alias("alias"), F.coalesce(s["source_id"], s["chunk_id"]).alias("source")) for a in (s["source_id"], s["chunk_id"], F.concat(F.lit("S"), s["display_index"].cast("string")), s["display_index"].cast("string"))])
+    index; a source without an index, or with 0, has its place, from 1. cited_by: a field with one more alias. Of equal
+    aliases the first counts; an empty id is none."""
+
+    def each(s: Column, i: Column) -> Column:
+        shown = F.coalesce(F.nullif(s["display_index"].cast("long"), F.lit(0)), i + 1).cast("string")
+        source = F.coalesce(F.nullif(s["source_id"], F.lit("")), F.nullif(s["chunk_id"], F.lit("")))
+        names = [s["source_id"], s["chunk_id"], *([s[cited_by]] if cited_by else []), F.concat(F.lit("S"), shown), shown]
+        return F.array(*[F.struct(a.cast("string").alias("alias"), source.alias("source")) for a in names])
+
     return F.filter(F.flatten(F.transform(sources, each)), lambda x: x["alias"].isNotNull() & x["source"].isNotNull())
 
 
