@@ -187,23 +187,29 @@ def classes(w: np.ndarray, bias: np.ndarray, feats: tuple[np.ndarray, ...]) -> n
 
 
 def numbered(docs: DataFrame, shared) -> DataFrame:
-    """row, doc_id, held_out, ids (numbers of the tokens with the end, 32 bits each), rare (the words beyond the table)."""
+    """row, doc_id, held_out, ids (numbers of the tokens with the end, 32 bits each), rare (the words beyond the table), spelt
+    (for held-out rows, as only these have words that training hasn't seen, log10 of the chances of these spellings)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table: Table = shared.value
+        table, spelling, unseen = shared.value
         table.prepare()
         end = np.int32(table.ids.base)
         for f in frames:
+            if not len(f):
+                continue
             ids, rare = [], []
             for t in f["t"]:
                 words = tokens(t)
                 n = table.numbers(words)
                 ids.append(np.append(n, end).tobytes())
-                rare.append([words[i].decode() for i in np.flatnonzero(n > end).tolist()])
-            yield pd.DataFrame({"row": f["row"], "doc_id": f["doc_id"].astype("Int64"), "held_out": f["held_out"], "ids": ids, "rare": rare})
+                rare.append([words[i] for i in np.flatnonzero(n > end).tolist()])
+            held = [r if h else [] for r, h in zip(rare, f["held_out"], strict=True)]
+            chances = np.split(spelling.logs([w for r in held for w in r], unseen), np.cumsum([len(r) for r in held])[:-1])
+            rare = [[w.decode() for w in r] for r in rare]
+            yield pd.DataFrame({"row": f["row"], "doc_id": f["doc_id"].astype("Int64"), "held_out": f["held_out"], "ids": ids, "rare": rare, "spelt": [c.tolist() for c in chances]})
 
     rows = docs.withColumn("row", F.monotonically_increasing_id()).withColumn("held_out", held_out(F.col("doc_id")))
-    return rows.mapInPandas(run, "row long, doc_id long, held_out boolean, ids binary, rare array<string>")
+    return rows.mapInPandas(run, "row long, doc_id long, held_out boolean, ids binary, rare array<string>, spelt array<double>")
 
 
 def _batch(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -481,7 +487,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     vocabulary = written(counted(every.where(~held_out(F.col("doc_id")))), "vocabulary")
     words, total = vocabulary.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     table = Table(frequent(vocabulary, TABLE))
-    shared = spark.sparkContext.broadcast(table)
+    by_suffix = vocabulary.where(F.col("word") != END).groupBy(suffix_column(F.col("word")).alias("k"))
+    mass, once, twice = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
+    times = lambda n: F.sum((F.col("c") == n).cast("long"))
+    for r in by_suffix.agg(F.sum("c").alias("c"), times(1).alias("once"), times(2).alias("twice")).collect():
+        mass[r["k"]], once[r["k"]], twice[r["k"]] = r["c"], r["once"], r["twice"]
+    unseen = np.maximum(once * (once - 1) / (2 * (twice + 1)), 1.0)
+    shared = spark.sparkContext.broadcast((table, spelling(vocabulary), unseen))
     held = written(numbered(every, shared), "numbered")
     shared.destroy()
     train = held.where("not held_out")
@@ -489,11 +501,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     if n:
         table.classes[:n] = clusters(company(train, n))
     table.number()
-    by_suffix = vocabulary.where(F.col("word") != END).groupBy(suffix_column(F.col("word")).alias("k")).agg(F.sum("c").alias("c"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.sum((F.col("c") == 2).cast("long")).alias("twice")).collect()
-    mass, once, twice = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_suffix:
-        mass[r["k"]], once[r["k"]], twice[r["k"]] = r["c"], r["once"], r["twice"]
-    unseen = np.maximum(once * (once - 1) / (2 * (twice + 1)), 1.0)
     inside = np.array([suffix_class(w.encode()) for w in table.words[:n]], int)
     mass -= np.bincount(inside, weights=table.counts[:n], minlength=CLASSES)  # these have other classes
     new = np.maximum((once + 0.5) / (mass + 1.0), 1e-9)
@@ -536,16 +543,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     log_known = F.array(*[F.lit(float(x)) for x in known / np.log(10)])
     k = suffix_column(F.col("word")) + 1
     counts = vocabulary.where(F.col("c") <= least if least is not None else F.lit(True))  # words of the table need no join
-    rare = held.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
-    spelt = spark.sparkContext.broadcast(spelling(vocabulary))  # of fixed size, about 5 MB
-
-    @F.pandas_udf("double")
-    def chance(words: pd.Series) -> pd.Series:
-        out, new = np.zeros(len(words)), np.flatnonzero(words.notna())
-        out[new] = spelt.value.logs([words.iloc[i].encode() for i in new], unseen)
-        return pd.Series(out)
-
-    rare = rare.withColumn("spelt", chance(F.when(F.col("c").isNull(), F.col("word"))))
+    rare = held.select("row", F.explode(F.arrays_zip("rare", "spelt")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.spelt").alias("spelt")).join(counts, "word", "left")
     rare = rare.select("row", F.lit(None).cast("long").alias("doc_id"), (F.when(F.col("c").isNull(), F.element_at(log_new, k) + F.col("spelt")).otherwise(F.log10("c") + F.element_at(log_known, k))).alias("score"), (F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("base"), F.lit(0).cast("long").alias("n"), F.when(F.col("c").isNotNull(), 1).otherwise(0).cast("long").alias("known"))
     sums = parts.union(rare).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("n").alias("n_tokens"), F.sum("known").alias("n_known"))
     return sums.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * float(np.log10(total + words + 1))).alias("base_score"), "score")
