@@ -30,6 +30,30 @@ def ranked_metrics(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     )
 
 
+def metrics_by_level(ranked: DataFrame, gold: DataFrame, levels: list[str], ks: list[int]) -> DataFrame:
+    """query_id, level, k, hit, recall, precision, mrr, ndcg: for each level, a column of ranked (query_id, rank, ...) that
+    names what is found and of gold (query_id, ...) an array of what is right, and for each k. Of items that repeat the
+    first counts, and those after it move up; a null item is none. Null and empty gold as in ranked_metrics.
+
+    All levels and numbers are told from one ranking: rows meet gold once for each k that they are within."""
+    each = lambda df, also: df.select("query_id", *also, F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(x).cast("array<string>" if not also else "string").alias("v")) for x in levels])).alias("_l")).select("query_id", *also, "_l.*")
+    seen = each(ranked, ["rank"]).where("v is not null").groupBy("query_id", "level", "v").agg(F.min("rank").alias("rank"))
+    seen = seen.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "level").orderBy("rank", "v"))).where(F.col("rank") <= max(ks))
+    seen = seen.groupBy("query_id", "level").agg(F.array_sort(F.collect_list(F.struct("rank", "v"))).alias("top"))  # max(ks) at most
+    j = each(gold, []).join(seen, ["query_id", "level"], "left").withColumn("right", F.array_distinct("v"))
+    hits = F.filter(F.transform(F.coalesce("top", F.array().cast("array<struct<rank:int,v:string>>")), lambda x: F.when(F.array_contains("right", x["v"]), x["rank"])), lambda r: r.isNotNull())
+    j = j.select("query_id", "level", F.when(F.col("right").isNotNull(), F.size("right")).alias("n"), hits.alias("at"), F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    j = j.withColumn("at", F.filter("at", lambda r: r <= F.col("k")))
+    gain = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    known, some, found = F.col("n") >= 0, F.col("n") > 0, F.size("at")
+    ideal = gain(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least("n", "k"))))
+    measures = {
+        "hit": F.when(known, (found > 0).cast("double")), "recall": F.when(some, F.round(found / F.col("n"), 6)), "precision": F.when(known, F.round(found / F.col("k").cast("double"), 6)),
+        "mrr": F.when(some, F.round(F.coalesce(1.0 / F.get("at", F.lit(0)), F.lit(0.0)), 6)), "ndcg": F.when(some, F.round(gain(F.col("at")) / ideal, 6)),
+    }
+    return j.select("query_id", "level", "k", *[c.alias(m) for m, c in measures.items()])
+
+
 def token_overlap(df: DataFrame, id_col: str, predicted: Column, gold: Column) -> DataFrame:
     """id, precision, recall, f1 over multisets of tokens; null gold tokens give null, two empty ones 1, one 0."""
     side = lambda c, n: df.select(id_col, F.explode_outer(c).alias("t")).where("t is not null").groupBy(id_col, "t").agg(F.count("*").alias(n))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import evaluation as E
 from ..operators import lexical as L
 from ..operators import vectors as V
 from ..sources import scratch as S
-from .catalogue import _DENSE, NORM, QUERIES, _asked, _dense, query  # noqa: F401
+from .catalogue import _DENSE, _GOLD, _TERMS, NORM, QUERIES, _asked, _bm25, _dense, _gold, query  # noqa: F401
 
 _RARE = 10  # letters of a query's words here, so that some queries find less than k
 _TITLED = NORM.replace("coalesce(text, '')", "concat_ws(' ', source, source, text)")
@@ -56,3 +57,20 @@ def ann_recall(t):
         r = V.recall(found, truth)
         out.append(r.groupBy().agg(F.lit(lists).alias("lists"), F.count("*").alias("queries"), F.round(F.avg("recall"), 6).alias("recall"), F.min("recall").alias("least")))
     return out[0].unionByName(out[1])
+
+
+@query(f"""with {_TERMS}, {_GOLD}, lv as (select query_id, 'chunk' as level, cast(row_id as varchar) as item, rank from b union all select query_id, 'source', source, rank from b join documents on doc_id = row_id where source is not null),
+s0 as (select query_id, level, item, min(rank) as r0 from lv group by all), sx as (select *, row_number() over (partition by query_id, level order by r0, item) as rk from s0),
+gs as (select query_id, list(distinct source) as sources from (select query_id, unnest(items) as doc_id from g) join documents using (doc_id) group by 1),
+gl as (select query_id, 'chunk' as level, list_transform(items, lambda x: cast(x as varchar)) as items from g union all select g.query_id, 'source', sources from g left join gs using (query_id)),
+j as (select gl.query_id, gl.level, k, items, rk, list_contains(items, sx.item) as rel from gl cross join (values (1), (3), (5), (10)) v(k) left join sx on sx.query_id = gl.query_id and sx.level = gl.level and rk <= k),
+m as (select query_id, level, k, any_value(items) as items, count(*) filter (rel) as found, min(rk) filter (rel) as first, sum(1 / log2(rk + 1)) filter (rel) as dcg from j group by all)
+select query_id, level, k, if(items is null, null, cast(found > 0 as double)) as hit, round(found / len(items), 6) as recall, if(items is null, null, round(found / cast(k as double), 6)) as precision,
+if(items is null, null, round(coalesce(1.0 / first, 0), 6)) as mrr, if(items is null, null, round(coalesce(dcg, 0) / list_sum(list_transform(generate_series(1, least(len(items), k)), lambda i: 1 / log2(i + 1))), 6)) as ndcg from m""")
+def retrieval_metrics_levels(t):
+    """At 1, 3, 5 and 10, of documents and of their sources."""
+    d = t("documents").select(F.col("doc_id").alias("row_id"), "source")
+    ranked = _bm25(t).join(d, "row_id", "left").select("query_id", "rank", F.col("row_id").alias("chunk"), "source")
+    gold = _gold(t)
+    sources = gold.select("query_id", F.explode("items").alias("row_id")).join(d, "row_id").groupBy("query_id").agg(F.collect_set("source").alias("source"))
+    return E.metrics_by_level(ranked, gold.select("query_id", F.col("items").alias("chunk")).join(sources, "query_id", "left"), ["chunk", "source"], [1, 3, 5, 10])

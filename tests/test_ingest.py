@@ -88,3 +88,41 @@ def test_checks(spark):
     df = spark.createDataFrame(rows, "t string, k string, ok boolean, want int")
     got = df.select("want", K.premise_corrected(F.col("t"), F.col("k"), F.col("ok"), "không|sai").alias("got")).collect()
     assert all(r.want == r.got for r in got), got
+
+
+def test_leases_as_table_and_stream(spark, tmp_path):
+    from quarryline.streaming import leases as L
+    from quarryline.streaming.telemetry import run_available
+
+    r = random.Random(8)
+    at, rows = 0, []
+    for i in range(200):
+        at += r.randint(1, 40)
+        rows.append((i, r.choice("abc") if i % 50 else None, at, r.random() < 0.15))
+    rows.append((999, "z", at + 10_000, False))  # moves the watermark on
+    df = spark.createDataFrame(rows, "n long, k string, s long, out boolean").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    want = [tuple(x) for x in L.lease_intervals(df, "k", "ts", "n", F.col("out"), 60).collect()]
+    live, by_hand = {}, []
+    for _, k, s, out in rows:
+        if k is None:
+            continue
+        if k in live and s - live[k][1] >= 60:
+            a, b, n = live.pop(k)
+            by_hand.append((k, a * 10**6, (b + 60) * 10**6, n, "expired"))
+        if out:
+            if k in live:
+                a, _, n = live.pop(k)
+                by_hand.append((k, a * 10**6, s * 10**6, n + 1, "released"))
+        else:
+            a, _, n = live.get(k, (s, s, 0))
+            live[k] = (a, s, n + 1)
+    by_hand += [(k, a * 10**6, (b + 60) * 10**6, n, "expired") for k, (a, b, n) in live.items()]
+    assert sorted(want) == sorted(by_hand)
+    steps = [(x.at_us, x.live) for x in L.in_flight(L.lease_intervals(df, "k", "ts", "n", F.col("out"), 60)).orderBy("at_us").collect()]
+    assert all(n == sum(a <= t < b for _, a, b, _, _ in by_hand) for t, n in steps) and steps[-1][1] == 0
+    for i in range(3):
+        df.where(F.col("n").between(i * 70, i * 70 + 69) | ((F.col("n") == 999) & F.lit(i == 2))).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+        run_available(L.lease_stream(stream, "k", "ts", F.col("out"), 60), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = [tuple(x) for x in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got) == sorted(x for x in by_hand if x[0] != "z")
