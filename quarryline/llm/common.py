@@ -136,6 +136,11 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def quoted(*names: str) -> list[str]:
+    """Names as columns, also those with dots."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def exclusive_sum(df: DataFrame, part: list[str], block: str, order: list, value: str, out: str) -> DataFrame:
     """Adds out: the sum of value over all rows of the same part that come before, by block and then by order.
 

@@ -12,9 +12,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
 
-from .common import free_name, ready, salted_join, written
+from .common import free_name, quoted, ready, salted_join, written
 
 #: Runs merged into one in each round (2 ** FAN_BITS).
 FAN_BITS = 3
@@ -114,10 +113,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return rows.join(stay, key, "left_semi").drop(key)
     twice = out.where("kept").join(again.select("digest"), "digest", "left_semi").select(of(F.col("doc_id"), F.col("text_sha256")).alias(key))
     once = rows.join(stay, key, "left_semi").join(twice, key, "left_anti").drop(key)
-    plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
-    many = rows.join(twice, key, "left_semi").withColumn(tie, F.xxhash64(*plain))
+    plain = quoted(*[f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])  # no hash of maps, inner ones too
+    many = rows.join(twice, key, "left_semi").withColumn(tie, F.xxhash64(F.lit(0), *plain))
     # min_by adds up before it shuffles, so no task sees the repeats of one id.
-    one = many.groupBy(key).agg(F.min_by(F.struct(*docs.columns), tie).alias(tie)).select(f"{tie}.*")
+    one = many.groupBy(key).agg(F.min_by(F.struct(*quoted(*docs.columns)), tie).alias(tie)).select(f"{tie}.*")
     return once.union(one)
 
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import block_bits, exclusive_sum, free_name, hash_block, ready, source_key, spread_hash, with_sources, written
+from .common import block_bits, exclusive_sum, free_name, hash_block, quoted, ready, source_key, spread_hash, with_sources, written
 
 #: Words in a block: what a slot takes, at every size of the corpus.
 BLOCK_WORDS = 64
@@ -150,7 +150,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     out = out.withColumn(text_col, F.when(F.col(length) == F.col(words), F.col(text_col)).otherwise(cut))
     if n_col in docs.columns:
         out = out.withColumn(n_col, F.length(text_col).cast(docs.schema[n_col].dataType))
-    return out.select(*docs.columns)
+    return out.select(*quoted(*docs.columns))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:

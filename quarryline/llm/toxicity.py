@@ -412,7 +412,8 @@ def train_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
 
 def held_out(id_: Column) -> Column:
-    return F.crc32(F.encode(id_.cast("string"), "UTF-8")) % 5 == 0
+    """Rows without an id are not held out; as labels belong to ids, nothing is learnt from them either."""
+    return F.coalesce(F.crc32(F.encode(id_.cast("string"), "UTF-8")) % 5 == 0, F.lit(False))
 
 
 def score(docs: DataFrame, parameters: dict, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -687,8 +687,12 @@ def test_null_ids_do_not_crash(spark):
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline as P
 
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    labels = spark.createDataFrame([(i * 3, 0) for i in range(50)], "doc_id long, toxic int")
+    r = random.Random(7)
+    clean = [" ".join(r.choice(["apple", "river", "stone", "cloud", "green", "walks"]) + str(r.randint(0, 99)) for _ in range(60)) for _ in range(60)]
+    foul = [" ".join(x if r.random() < 0.7 else r.choice(["vile", "scum", "filth", "hateful"]) for x in t.split(" ")) for t in clean[:40]]
+    more = [(5000 + i, t, "en", "b", len(t), "k", 5, 6, 7, 8) for i, t in enumerate(clean + foul)]
+    docs.unionByName(spark.createDataFrame(more, SCHEMA)).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.createDataFrame([(i * 3, 0) for i in range(50)] + [(5000 + i, int(i >= 60)) for i in range(100)], "doc_id long, toxic int")
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     now = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for name, stage in P.STAGES[:-1]:
@@ -696,8 +700,24 @@ def test_pipeline(spark, docs, tmp_path):
         assert out.columns == now.columns, name
         out.write.parquet(f"{tmp_path}/{name}")
         now = spark.read.parquet(f"{tmp_path}/{name}")
+    left = {x.doc_id for x in spark.read.parquet(f"{tmp_path}/toxicity").collect()}
+    assert sum(5060 + i in left for i in range(40)) <= 8 and sum(5000 + i in left for i in range(60)) >= 54
     want = {r.doc_id for r in spark.read.parquet(f"{tmp_path}/simhash_near_dedup").collect()}
     before = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/exact_dedup").collect()}
     fp = {i: _fingerprint(t) for i, t in before.items()}
     assert want == set(_components([(a, b) for a in fp for b in fp if a < b and (fp[a] ^ fp[b]).bit_count() <= 4], sorted(fp)).values())
-    assert P.run(spark, str(tmp_path)).count() >= now.count()
+    # every token of every reading of the mix is in one piece
+    tokenizer, tokens = Tokenizer.from_file(PATH), Counter()
+    for x in now.collect():
+        tokens[x.doc_id] += len(tokenizer.encode(x.text or "", add_special_tokens=False).ids) + 1
+    packed, windows = Counter(), defaultdict(list)
+    for x in P.run(spark, str(tmp_path)).collect():
+        packed[x.doc_id] += x.length
+        windows[x.sequence_id].append((x.offset, x.length))
+    assert packed == tokens
+    for pieces in windows.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
