@@ -38,25 +38,29 @@ class Rule:
 
 
 class Matcher:
-    """Terms by their first word, each with the words that follow."""
+    """Terms by their line, and the lengths of those that begin with a word, so that a word costs a look-up a length."""
 
     def __init__(self, terms: list[tuple[str, str]]) -> None:
-        self.after: dict[str, list[tuple[list[str], str, str]]] = {}
+        self.of: dict[str, list[str]] = {}
+        lengths: dict[str, set[int]] = {}
         for family, line in sorted(set(terms)):
-            first, *rest = line.split(" ")
-            self.after.setdefault(first, []).append((rest, family, line))
+            self.of.setdefault(line, []).append(family)
+            lengths.setdefault(line.split(" ", 1)[0], set()).add(line.count(" ") + 1)
+        self.lengths = {w: sorted(n) for w, n in lengths.items()}
 
     def families(self, line: str) -> dict[str, int]:
         """The number of distinct terms of each family that occur in a line of words."""
         words = line.split(" ")
         found = set()
         for i, w in enumerate(words):
-            for rest, family, term in self.after.get(w, ()):
-                if not rest or words[i + 1 : i + 1 + len(rest)] == rest:
-                    found.add((family, term))
+            for n in self.lengths.get(w, ()):
+                term = w if n == 1 else " ".join(words[i : i + n])
+                if term in self.of:
+                    found.add(term)
         out: dict[str, int] = {}
-        for family, _ in found:
-            out[family] = out.get(family, 0) + 1
+        for term in found:
+            for family in self.of[term]:
+                out[family] = out.get(family, 0) + 1
         return out
 
 
