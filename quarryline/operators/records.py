@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded, match_norm, stable_id, strip_accents, years
+from ..functions.text import ascii_edges, folded, match_norm, stable_id, strip_accents, years
 
 # What an injected instruction looks like in folded text, and what an id of evidence may look like.
 INJECTION = (
@@ -54,14 +54,14 @@ def safe_evidence(id_: Column, text: Column, title: Column) -> Column:
 def question_domain(c: Column) -> Column:
     """vietnamese, external, mixed or unspecified, by explicit signs alone."""
     plain = strip_accents(F.coalesce(c, F.lit("")))
-    home, abroad = plain.rlike(HOME), plain.rlike(ABROAD)
+    home, abroad = plain.rlike(ascii_edges(HOME)), plain.rlike(ascii_edges(ABROAD))
     return F.when(home & abroad, "mixed").when(home, "vietnamese").when(abroad, "external").otherwise("unspecified")
 
 
 def tags(c: Column, rules: dict[str, str], dated: str | None = None) -> Column:
     """The names of all rules whose pattern the folded text has, in their order; dated: the tag of texts with a year."""
     folded = fold(c)
-    found = [F.when(folded.rlike(p), F.lit(n)) for n, p in rules.items()]
+    found = [F.when(folded.rlike(ascii_edges(p)), F.lit(n)) for n, p in rules.items()]
     if dated:
         found.append(F.when(F.size(years(F.coalesce(c, F.lit("")))) > 0, F.lit(dated)))
     return F.array_compact(F.array(*found))

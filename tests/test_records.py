@@ -85,3 +85,20 @@ def test_diverse_keeps_the_title_cap_for_facets(spark):
     rows = [(1, i, "a", ["cause"] if i == 2 else ["other"], ["time", "other", "cause"], 1.0 - i / 10) for i in range(3)] + [(1, 5, "b", ["cause"], ["x"], 0.1)]
     df = spark.createDataFrame(rows, "query_id long, row_id long, title_key string, facets array<string>, wanted array<string>, score double")
     assert [r.row_id for r in R.diverse(df, 2, 1).orderBy("rank").collect()] == [0, 5]
+
+
+def test_words_end_at_letters_beyond_ascii_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    texts = ["die chau auß der", "ßeurope", "nhà lêß", "im Jahr ß1990 und 2001é", "ßapi-abcdefgh1234", "europes", "x1990", "un été", "éun the", None]
+    rows = [(7 * i + 6, x, "en", "s", len(x or "")) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("question_domain", "doc_years", "category_tags", "secret_flags"):
+        got = entry.queries()[name](spark, str(tmp_path)).toPandas()
+        want = con.sql(entry.oracle_sql()[name]).df()
+        plain = lambda d: sorted(str([v.tolist() if hasattr(v, "tolist") else v for v in r]) for r in d[sorted(d.columns)].values.tolist())
+        assert plain(got) == plain(want), name
