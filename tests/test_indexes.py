@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarryline.functions import text as X
 from quarryline.operators import lexical as L
 from quarryline.operators import retrieval as R
 from quarryline.operators import vectors as V
 from quarryline.operators import rules as U
-from quarryline.plans import indexes
+from quarryline.plans import catalogue, indexes
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +121,28 @@ def test_term_rules(spark):
         1: ("KEEP", 10, ["war"]), 2: ("DROP", 0, ["nothing"]), 3: ("DROP", 0, ["nothing"]), 4: ("DROP", 0, ["nothing"]), 5: ("DROP", 0, ["empty"]), 6: ("DROP", 0, ["nothing"]), 7: ("REVIEW", 10, ["war", "both"]),
     }
     assert U.with_term_hits(got.drop("features"), {"t": F.col("text")}, terms.limit(0)).where("size(features) > 0").count() == 0
+
+
+@pytest.mark.parametrize(("places", "within"), [(6, None), (1, None), (6, "label")])
+def test_dense_top_against_every_product(spark, places, within, monkeypatch):
+    """In several blocks of rows and of queries, with ties, rows and queries without a vector, and values that are no numbers."""
+    monkeypatch.setattr(R, "QUERIES", 7)
+    monkeypatch.setattr(R, "SCORED", 2)
+    r = random.Random(8)
+    rows = [(i, [r.choice([-1.0, 0.0, 0.5, r.random()]) for _ in range(5)], i % 3) for i in range(300)]
+    rows += [(1000 + i, rows[3][1], 0) for i in range(60)] + [(500, None, 0), (501, [float("nan")] * 5, 1), (502, [1.0, None, 0.0, 0.0, 0.0], 2), (503, [1.0] * 5, None)]
+    e = spark.createDataFrame(rows, "row_id long, v array<float>, label int")
+    q = e.where("row_id % 20 = 0").select(F.col("row_id").alias("query_id"), F.col("v").alias("q"), F.col("label"))
+    got = R.dense_top(q, e, 6, 40, places, within).collect()
+    j = q.withColumnRenamed("label", "ql").join(e, F.lit(True) if within is None else F.col("ql") == F.col("label"))
+    want = R.top(j.select("query_id", "row_id", F.round(X.dot(F.col("q"), F.col("v")), places).alias("score")), ["query_id"], [F.desc("score"), "row_id"], 6).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and any(x.score is None for x in got) and any(x.score != x.score for x in got if x.score is not None)
+
+
+def test_only_paired_vectors_are_searched_for(spark, monkeypatch):
+    """A few benchmark items stand for a few vectors, however many there are."""
+    seen = []
+    monkeypatch.setattr(R, "dense_top", lambda q, c, k, **kw: seen.append(q.count()) or q.select("query_id", F.lit(1).alias("rank"), F.lit(1).alias("row_id"), F.lit(0.0).alias("score")))
+    items = spark.createDataFrame([(i, "x") for i in range(3)], "item_id long, text string")
+    vectors = spark.createDataFrame([(i, [1.0]) for i in range(400)], "vec_id long, embedding array<float>")
+    assert catalogue._paired(lambda n: items if n == "benchmark" else vectors).count() == 3 and seen == [3]
