@@ -126,3 +126,34 @@ def test_leases_as_table_and_stream(spark, tmp_path):
         run_available(L.lease_stream(stream, "k", "ts", F.col("out"), 60), f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
     got = [tuple(x) for x in spark.read.parquet(f"{tmp_path}/out").collect()]
     assert sorted(got) == sorted(x for x in by_hand if x[0] != "z")
+
+
+def test_bounded_json_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """Events of one small file become texts of hundreds of times its size, which are many tasks' work."""
+    import __spark_entry__ as entry
+    from quarryline.plans import ingest
+
+    monkeypatch.setattr(ingest, "_ROWS", 10)
+    rows = [(i, i % 50, '{"k": 1}', "click") for i in range(100)]
+    spark.createDataFrame(rows, "event_id long, user_id long, props string, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    out = entry.queries()["bounded_json"](spark, str(tmp_path))
+    assert out.count() == 100 and out.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+
+
+def test_batches_of_texts_with_a_common_word(spark, tmp_path):
+    """Rare words are met first: a word that all texts have makes no pairs of all of them, and the links are those of all pairs."""
+    r = random.Random(2)
+    texts = [(i, "the " + " ".join(r.choice("abcdefgh") + str(r.randint(0, 3)) for _ in range(6))) for i in range(120)] + [(200, "the"), (201, "the the"), (202, "")]
+    d = spark.createDataFrame(texts, "id long, text string")
+    got = set()
+    for i in range(3):
+        links = B.merge_batch(f"{tmp_path}/store", d.where(F.col("id") % 3 == i), "id", F.col("text"), F.filter(F.split("text", " "), lambda x: x != ""), 0.6)
+        got |= {(x.id, x.of, x.similarity) for x in links.collect()}
+    sets = {i: set(x.split()) for i, x in texts}
+    want = set()
+    for i, a in sets.items():
+        for j, b in sets.items():
+            before = (j % 3, j) < (i % 3, i)
+            if before and a and b and len(a & b) / len(a | b) >= 0.6:
+                want.add((i, j, round(len(a & b) / len(a | b), 6)))
+    assert got == want
