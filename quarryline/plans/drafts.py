@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import curation as U
 from ..operators import drafting as D
+from ..sources import scratch as S
 from .catalogue import query
 
 _WORDS = "list_slice(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> ''), 1, 8)"
@@ -21,16 +22,38 @@ select doc_id, lang, source from c where pos in (select unnest(acc) from r where
 def drafted(t):
     """Drafts in the order of a hash, six of a source, 25 of a language, none whose first words are close to an earlier one's."""
     d = t("documents").where("text is not null").select("doc_id", "lang", "source", F.array_distinct(F.slice(F.filter(F.split(F.lower("text"), "\\s+"), lambda x: x != ""), 1, 8)).alias("w"))
+    caps = {"source": 6, "lang": 25}
+    d = S.written(d.withColumn("h", F.sha2(F.concat(F.lit("7:"), F.col("doc_id").cast("string")), 256)), "drafts")
+    n = d.count()
+    if n <= _FIRST:
+        return _taken(d, caps).select("doc_id", "lang", "source")
+    # a row's fate depends on those before it alone, and what comes later in a full group is out
+    early = F.col("h") < f"{_FIRST * (1 << 32) // n:08x}"
+    taken = S.written(_taken(d.where(early), caps), "drafts-taken")
+    left = d.where(~early)
+    for c, most in caps.items():
+        full = taken.where(F.col(c).isNotNull()).groupBy(c).count().where(F.col("count") >= most)
+        left = left.join(F.broadcast(full.select(c)), c, "left_anti")  # a row for each group that the first rows fill
+    left = S.written(left.select(*d.columns), "drafts-left")
+    out = taken if left.isEmpty() else _taken(taken.unionByName(left), caps)
+    return out.select("doc_id", "lang", "source")
+
+
+#: Rows that drafts are looked for in first, about.
+_FIRST = 4096
+
+
+def _taken(d, caps):
+    """The rows of d that greedy choice takes; classes of equal words have a cap of one, and close ones are in conflict."""
     pairs = U.similar_pairs(d, "doc_id", F.col("w"), 0.5)
-    classes = d.select("doc_id", U.set_key(F.col("w")).alias("key"), "lang", "source")
+    classes = d.select("doc_id", U.set_key(F.col("w")).alias("key"), "lang", "source", "h")
     rep = classes.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("a"))
-    # classes of equal words have a cap of one; a class is close to another as its members are
+    # a class is close to another as its members are
     near = pairs.join(rep.withColumnsRenamed({"key": "ka"}), "a").join(rep.withColumnsRenamed({"key": "kb", "a": "b"}), "b")
     first = classes.join(near.select("ka", "kb"), classes["key"] == F.col("ka")).select(F.col("doc_id").alias("a"), "kb")
     links = first.join(classes.select(F.col("doc_id").alias("b"), F.col("key").alias("kb")), "kb").select("a", "b")
-    order = [F.sha2(F.concat(F.lit("7:"), F.col("doc_id").cast("string")), 256)]
-    out = D.greedy(classes, "doc_id", order, {"source": 6, "lang": 25, "key": 1}, links)
-    return out.where("accepted").join(d.select("doc_id", "lang", "source"), "doc_id").select("doc_id", "lang", "source")
+    out = D.greedy(classes, "doc_id", [F.col("h")], {**caps, "key": 1}, links)
+    return d.join(out.where("accepted").select("doc_id"), "doc_id", "left_semi").select(*d.columns)
 
 
 _RATIOS = {"train": 0.8, "validation": 0.1, "test": 0.1}

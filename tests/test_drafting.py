@@ -53,3 +53,20 @@ def test_group_split(spark, exact, monkeypatch):
         for s, share in ratios.items():
             assert abs(n[s, label] - share * whole) <= largest, (s, label)
     assert D.group_split(df.limit(0), "g", {"label": 1.0}, ratios).count() == 0
+
+
+def test_drafts_by_first_rows_are_those_of_all(spark, tmp_path, monkeypatch):
+    """Looking at the first rows, and then at what full groups leave, takes what looking at all rows takes; null groups too."""
+    import random
+
+    import __spark_entry__ as entry
+    from quarryline.plans import drafts
+
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(r.sample(words, r.randint(0, 8))), r.choice(["en", "fr", None]), r.choice(["a", "b", "c", None])) for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda: sorted(map(str, entry.queries()["drafted"](spark, str(tmp_path)).collect()))
+    whole = run()
+    monkeypatch.setattr(drafts, "_FIRST", 60)
+    assert run() == whole and len(whole) > 12
