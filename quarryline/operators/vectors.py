@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .retrieval import top
+from .retrieval import SCORED, best_rows, top
 
 #: Rows that centres are learnt from, in the order of a hash; rounds; rows of a list that meet queries in one task; most lists.
 SAMPLE, ROUNDS, ROWS, MOST_LISTS = 100_000, 8, 1 << 15, 4096
@@ -100,20 +101,23 @@ def _ranked_lists(queries: DataFrame, path: str) -> DataFrame:
     centres, radius = _matrix(pd.Series([r.centre for r in known])), np.array([r.radius for r in known])
     ids, parts = np.array([r.list for r in known], np.int32), np.array([r.parts for r in known], np.int32)
 
-    @F.pandas_udf("array<struct<list int, place int, parts int, bound double>>")
-    def places(q: pd.Series) -> pd.Series:
-        out = []
-        for v in q:
-            v = np.asarray(v, np.float64)
-            dots = centres @ v
-            bound = dots + np.sqrt(v @ v) * radius + SLACK
-            order = np.lexsort((ids, -dots))
-            out.append([{"list": int(ids[i]), "place": p, "parts": int(parts[i]), "bound": float(bound[i])} for p, i in enumerate(order)])
-        return pd.Series(out)
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), SCORED):  # each query comes out once for each list
+                b = batch.slice(i, SCORED)
+                q = np.stack([np.asarray(v, np.float64) for v in b.column("q").to_pylist()])
+                dots = q @ centres.T
+                order = np.argsort(-dots, axis=1, kind="stable")
+                bound = np.take_along_axis(dots + np.sqrt((q * q).sum(1))[:, None] * radius + SLACK, order, 1)
+                again = pa.array(np.repeat(np.arange(len(b)), len(ids)))
+                place = np.tile(np.arange(len(ids), dtype=np.int32), len(b))
+                told = [ids[order].ravel(), place, parts[order].ravel(), bound.ravel()]
+                yield pa.RecordBatch.from_arrays([b.column("query_id").take(again), b.column("q").take(again), *map(pa.array, told)], ["query_id", "q", "list", "place", "parts", "bound"])
 
     if not known:
         return queries.where("false").selectExpr("query_id", "q", "0 as list", "0 as place", "1 as parts", "0d as bound")
-    return queries.select("query_id", "q", F.explode(places("q")).alias("_l")).select("query_id", "q", "_l.*")
+    kinds = dict(queries.dtypes)
+    return queries.select("query_id", "q").mapInArrow(placed, f"query_id {kinds['query_id']}, q {kinds['q']}, list int, place int, parts int, bound double")
 
 
 def _searched(pairs: DataFrame, path: str, k: int, places: int) -> DataFrame:
@@ -124,11 +128,11 @@ def _searched(pairs: DataFrame, path: str, k: int, places: int) -> DataFrame:
     def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(rows):
             return pd.DataFrame({"query_id": [], "row_id": [], "score": []})
-        scores = np.round(_matrix(queries.q) @ _matrix(rows.v).T, places)
-        ids, out = rows.row_id.to_numpy(), []
-        for query, s in zip(queries.query_id, scores, strict=True):
-            best = np.lexsort((ids, -s))[:k]
-            out.append(pd.DataFrame({"query_id": query, "row_id": ids[best], "score": s[best]}))
+        rows = rows.sort_values("row_id")
+        v, ids, asked, out = _matrix(rows.v), rows.row_id.to_numpy(), queries.query_id.to_numpy(), []
+        for i in range(0, len(queries), SCORED):
+            at, row, score = best_rows(_matrix(queries.q.iloc[i : i + SCORED]), v, k, places)
+            out.append(pd.DataFrame({"query_id": asked[at + i], "row_id": ids[row], "score": score}))
         return pd.concat(out)
 
     kinds = dict(pairs.dtypes)

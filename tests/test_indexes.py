@@ -146,3 +146,15 @@ def test_only_paired_vectors_are_searched_for(spark, monkeypatch):
     items = spark.createDataFrame([(i, "x") for i in range(3)], "item_id long, text string")
     vectors = spark.createDataFrame([(i, [1.0]) for i in range(400)], "vec_id long, embedding array<float>")
     assert catalogue._paired(lambda n: items if n == "benchmark" else vectors).count() == 3 and seen == [3]
+
+
+def test_lists_meet_few_queries_at_a_time(spark, vectors, tmp_path, monkeypatch):
+    """A task holds the scores of SCORED queries with a part of a list, not those of all queries."""
+    V.build(vectors, f"{tmp_path}/i", 3)
+    rows = V._matrix(vectors.toPandas().v)
+    monkeypatch.setattr(V, "SCORED", 2)
+    pairs = V._ranked_lists(vectors.limit(5).select(F.col("row_id").alias("query_id"), F.col("v").alias("q")), f"{tmp_path}/i").collect()
+    assert len(pairs) == 15 and {p.place for p in pairs} == {0, 1, 2}
+    at, row, score = R.best_rows(rows[:5], rows, 4, 6)
+    want = np.round(rows[:5] @ rows.T, 6)
+    assert all(np.allclose(sorted(score[at == i]), np.sort(want[i])[-4:]) for i in range(5))
