@@ -85,4 +85,5 @@ def chunk_nested(t):
     """Chunks of documents by the tokens of a public tokenizer; tests hold them against what must hold of every chunk."""
     import public_tokenizers
 
-    return C.nested_chunks(t("documents"), "doc_id", "text", C.by_tokenizer(public_tokenizers.path("byte_bpe_50k.json")))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return C.nested_chunks(t("documents"), "doc_id", "text", C.by_tokenizer(path, path.removesuffix(".json") + ".tiktoken", public_tokenizers.PATTERN))

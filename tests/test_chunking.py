@@ -76,3 +76,23 @@ def test_aliases_by_id_and_place(spark):
     got = [(x.alias, x.source) for x in df.select(G.aliases(F.col("s"), cited_by="citation_id").alias("a")).first().a]
     assert {"a", "c1", "x9", "S1", "1"} <= {k for k, v in got if v == "a"} and {"b", "S7", "7"} <= {k for k, v in got if v == "b"}
     assert "S2" not in {k for k, _ in got}
+
+
+def test_no_count_reaches_far_beyond_what_fits():
+    """A long text without sentences costs in proportion to its length, and sizes by ranks are those of the tokenizer."""
+    import public_tokenizers
+
+    seen = []
+
+    def count(text):
+        seen.append(len(text))
+        return len(text.split())
+
+    for n in (4_000, 16_000):
+        seen.clear()
+        parts = list(C.sized_prefixes("word " * n, count, 100))
+        assert [k for _, k in parts] == [100] * (n // 100) and sum(seen) < 5 * n * 20
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    slow, fast = C.by_tokenizer(path)(), C.by_tokenizer(path, path.removesuffix(".json") + ".tiktoken", public_tokenizers.PATTERN)()
+    for text in ("", "Plain words, don't they?", "東京 añejo\n\n  x" * 50, "a<|endoftext|>b", "x" * 700):
+        assert slow(text) == fast(text)
