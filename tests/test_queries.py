@@ -68,6 +68,27 @@ def test_similar_pairs_against_brute_force(spark):
     assert {(x.a, x.b) for x in got} == want
 
 
+def test_pairs_of_a_neighbourhood_share_the_rows_that_they_compare(spark, monkeypatch):
+    """A value goes to a part of the work once, not once for each pair; a large neighbourhood is several parts."""
+    from quarryline.sources import scratch as S
+
+    monkeypatch.setattr(U, "PART", 64)
+    monkeypatch.setattr(U, "TOGETHER", 8)
+    want = {(a, b) for a in range(40) for b in range(a + 1, 40)}
+    pairs = S.written(spark.createDataFrame(sorted(want), "a long, b long"), "test-pairs")
+    values = spark.createDataFrame([(i, f"v{i}") for i in range(50)], "id long, v string")
+
+    def told(a, b):
+        import pandas as pd
+
+        return pd.DataFrame({"x": a, "y": b, "values": len({*a, *b}), "pairs": len(a)})
+
+    got = U.compared(pairs, values, told, "x string, y string, values int, pairs int").collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(want) and all((r.x, r.y) == (f"v{r.a}", f"v{r.b}") for r in got)
+    parts = {(r["values"], r["pairs"]) for r in got}
+    assert len(parts) > 1 and all(v <= 40 and v < 2 * p for v, p in parts)
+
+
 def test_near_dup_jaccard_against_all_pairs_of_rows(spark, tmp_path):
     """Every link of two documents follows from the class pairs and the membership."""
     import random
