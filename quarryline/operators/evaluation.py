@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,18 +65,29 @@ def token_overlap(df: DataFrame, id_col: str, predicted: Column, gold: Column) -
 
 
 def rouge_l(predicted: Column, gold: Column) -> Column:
-    """F-measure of the longest common subsequence of two token arrays: a fold over the rows of its table."""
-    zeros = F.transform(F.concat(gold, F.array(F.lit(""))), lambda _: F.lit(0))
-
-    def row(prev: Column, x: Column) -> Column:
-        start = F.struct(F.array(F.lit(0)).alias("r"), F.lit(1).alias("j"))
-        return F.aggregate(
-            gold, start,
-            lambda s, y: F.struct(F.concat(s["r"], F.array(F.when(x == y, prev[s["j"] - 1] + 1).otherwise(F.greatest(prev[s["j"]], s["r"][s["j"] - 1])))).alias("r"), (s["j"] + 1).alias("j")),
-        )["r"]
-
-    lcs = F.element_at(F.aggregate(predicted, zeros, row), -1)
-    return F.when(F.size(predicted) + F.size(gold) == 0, 1.0).otherwise(2.0 * lcs / (F.size(predicted) + F.size(gold)))
+    """F-measure of the longest common subsequence of two token arrays. A token of one updates a whole row of the table of
+    common subsequences at once, whose steps are the bits of one number; null tokens are equal to none."""
+
+    @F.pandas_udf("long")
+    def lcs(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        out: list[int | None] = []
+        for x, y in zip(xs, ys, strict=True):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            places: dict[str, int] = {}
+            for i, t in enumerate(y):
+                places[t] = places.get(t, 0) | 1 << i
+            places.pop(None, None)
+            every = (1 << len(y)) - 1
+            row = every
+            for t in x:
+                same = row & places.get(t, 0)
+                row = (row + same | row - same) & every
+            out.append(len(y) - row.bit_count())
+        return pd.Series(out, dtype="Int64")
+
+    return F.when(F.size(predicted) + F.size(gold) == 0, 1.0).otherwise(2.0 * lcs(predicted, gold) / (F.size(predicted) + F.size(gold)))
 
 
 def observed(df: DataFrame, id_cols: list[str], metrics: list[str]) -> DataFrame:

@@ -135,3 +135,32 @@ def test_near_dup_ratio_against_all_pairs_of_rows(spark, tmp_path):
     assert {(i, j) for i in of for j in of if i < j and (of[i] == of[j] or (min(of[i], of[j]), max(of[i], of[j])) in pairs)} == want
     assert {x.id: x.links for x in got if x.kind == "member"} == {i: sum(i in p for p in want) for i in norm}
     assert any(set(norm[a].split()) == set(norm[b].split()) for a, b in pairs) and len(want) > len(pairs)
+
+
+def test_rouge_l_of_long_answers_against_dynamic_programming(spark):
+    """Also of thousands of tokens, where a copy of a row for each of its places takes minutes."""
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quarryline.operators import evaluation as E
+
+    r = random.Random(9)
+    rows = [(i, [r.choice("abcdefgh") for _ in range(r.randint(0, 30))], [r.choice("abcdefgh") for _ in range(r.randint(0, 30))]) for i in range(60)]
+    rows += [(60, [], []), (61, None, ["a"]), (62, ["a", None, "b"], [None, "b"])]
+    rows += [(63 + i, [r.choice("abcdefgh") for _ in range(3000)], ["z", "a"] * 1500) for i in range(4)]
+
+    def brute(x, y):
+        t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x):
+            for j, b in enumerate(y):
+                t[i + 1][j + 1] = t[i][j] + 1 if a == b and a is not None else max(t[i][j + 1], t[i + 1][j])
+        return 1.0 if not x and not y else 2 * t[-1][-1] / (len(x) + len(y))
+
+    d = spark.createDataFrame(rows, "i int, x array<string>, y array<string>").repartition(4)
+    began = time.time()
+    got = {g.i: g.r for g in d.select("i", E.rouge_l(F.col("x"), F.col("y")).alias("r")).collect()}
+    assert time.time() - began < 30
+    for i, x, y in rows[:63] + rows[63:64]:
+        assert got[i] == (None if x is None else pytest.approx(brute(x, y), abs=1e-12))
