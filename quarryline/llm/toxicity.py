@@ -32,7 +32,7 @@ LOOK, DECAY, HIDE, LEAST_TEXTS = 3, 2.0, 0.2, 8
 #: pieces: a word of up to PIECE // 2 characters in it is whole in one of them.
 LONG, PIECE = 14, 24
 CACHE_MOST = 1 << 18
-CHUNK = 1 << 10  # windows that numpy takes at once: few enough that its products stay on one thread, as others would only spin
+CHUNK = 1700  # windows that numpy takes at once: few enough that its products stay on one thread, as others would only spin
 _PUNCTUATION = "\"'`.,;:!?()[]{}<>*%$&#@+=|/\\~^_-"
 
 
@@ -232,15 +232,14 @@ class Network:
                     np.add(x[:gates, t : t + m], y[:gates], out=zr)
                     np.exp(zr, out=zr)
                     zr += np.float32(1)
-                    np.divide(np.float32(1), zr, out=zr)
                     new = zr[HIDDEN:]
-                    new *= y[gates : 3 * HIDDEN]
+                    np.divide(y[gates : 3 * HIDDEN], new, out=new)
                     new += x[gates:, t : t + m]
                     np.exp(new, out=new)
                     new += np.float32(1)
                     np.divide(np.float32(1), new, out=new)
                     h -= new
-                    h *= zr[:HIDDEN]
+                    h /= zr[:HIDDEN]
                     h += new
                     np.matmul(both[k], state, out=y)
                     if k == 0:
