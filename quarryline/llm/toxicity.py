@@ -32,7 +32,7 @@ LOOK, DECAY, HIDE, LEAST_TEXTS = 3, 2.0, 0.2, 8
 #: pieces: a word of up to PIECE // 2 characters in it is whole in one of them.
 LONG, PIECE = 14, 24
 CACHE_MOST = 1 << 18
-CHUNK = 1700  # windows that numpy takes at once: few enough that its products stay on one thread, as others would only spin
+CHUNK = 3400  # windows that numpy takes at once; with OMP_NUM_THREADS=1, as Spark's workers have it, its products stay on one thread
 _PUNCTUATION = "\"'`.,;:!?()[]{}<>*%$&#@+=|/\\~^_-"
 
 
@@ -60,6 +60,10 @@ def word_features(word: str) -> tuple[int, list[int]]:
     return zlib.crc32(b) % (WORD_BUCKETS - 1) + 1, tri
 
 
+#: A CRC of three bytes is the exclusive or of a number for each: that of the byte among zeros; the last has what zeros give.
+_CRC = [np.array([zlib.crc32(bytes([0] * i + [x] + [0] * (2 - i))) ^ (zlib.crc32(bytes(3)) if i < 2 else 0) for x in range(256)], np.uint32) for i in range(3)]
+
+
 class Trigrams:
     """Lists of trigrams' buckets of different lengths, one after another; an empty one has bucket 0."""
 
@@ -81,10 +85,11 @@ class Vocabulary(dict):
         self.runs: list[list[int]] = []
 
     def __missing__(self, word: str) -> int:
-        parts = pieces(word)
-        if parts != [word]:  # not kept: such words are rare, and of any length
-            self.runs.append([self[x] for x in parts])
-            return -1
+        if len(word) > LONG or not word.isascii():  # others are one piece
+            parts = pieces(word)
+            if parts != [word]:  # not kept: such words are rare, and of any length
+                self.runs.append([self[x] for x in parts])
+                return -1
         self.new.append(word)
         n = self[word] = len(self) + 1
         return n
@@ -92,7 +97,8 @@ class Vocabulary(dict):
     def numbers(self, text: str) -> np.ndarray:
         """The inputs' numbers of a text."""
         self.runs = []
-        ids = np.fromiter(map(self.__getitem__, text.split()), np.int32)
+        words = text.split()
+        ids = np.fromiter(map(self.__getitem__, words), np.int32, len(words))
         if not self.runs:
             return ids
         out, last = [], 0
@@ -102,13 +108,22 @@ class Vocabulary(dict):
         return np.concatenate([*out, ids[last:]])
 
     def features(self) -> tuple[np.ndarray, Trigrams]:
-        words, flat, count = np.zeros(len(self.new), np.int32), [], np.zeros(len(self.new), np.int64)
-        for i, w in enumerate(self.new):
-            words[i], tri = word_features(w)
-            flat += tri or [0]
-            count[i] = len(tri) or 1
+        """Those of word_features(), of all new words at once; words hold no white space, so that a line is a word."""
+        if not self.new:
+            return np.zeros(0, np.int32), Trigrams(np.zeros(0, np.int32), np.zeros(0, np.int64))
+        plain = [w.strip(_PUNCTUATION).encode() for w in "\n".join(self.new).lower().split("\n")]
         self.new = []
-        return words, Trigrams(np.array(flat, np.int32), count)
+        words = np.fromiter(map(zlib.crc32, plain), np.int64, len(plain)) % (WORD_BUCKETS - 1) + 1
+        size = np.fromiter(map(len, plain), np.int64, len(plain))  # as many trigrams as bytes, with both edges
+        edges = np.frombuffer(b"<" + b"><".join(plain) + b">", np.uint8)
+        flat = _CRC[0][edges[:-2]] ^ _CRC[1][edges[1:-1]] ^ _CRC[2][edges[2:]] if len(edges) > 2 else np.zeros(0, np.uint32)
+        flat = np.append(flat % (CHAR_BUCKETS - 1) + 1, [0, 0]).astype(np.int32)
+        ends = np.cumsum(size + 2)
+        none = size == 0
+        keep = np.ones(len(flat), bool)
+        keep[ends - 1], keep[ends - 2] = False, none
+        flat[ends[none] - 2] = 0
+        return words.astype(np.int32), Trigrams(flat[keep], np.maximum(size, 1))
 
 
 class Stream:
@@ -221,27 +236,31 @@ class Network:
             m = min(chunk, n - at)
             g = np.ascontiguousarray((table[ids[at : at + m + WINDOW - 1]] * scale).T)
             seen, score = np.empty((WINDOW, ATTEND + 1, m), np.float32), np.empty((WINDOW, m), np.float32)
-            zr = np.empty((gates, m), np.float32)
+            zr, y = np.empty((gates, m), np.float32), np.empty((len(both[0]), m), np.float32)
             for k, order in ((0, range(WINDOW)), (1, range(WINDOW - 1, -1, -1))):
                 x = g[3 * HIDDEN * k : 3 * HIDDEN * (k + 1)]
                 state = np.full((HIDDEN + 1, m), 0.5, np.float32)
                 state[-1] = 1
-                h = state[:-1]
-                y = both[k] @ state
-                for t in order:
-                    np.add(x[:gates, t : t + m], y[:gates], out=zr)
-                    np.exp(zr, out=zr)
-                    zr += np.float32(1)
-                    new = zr[HIDDEN:]
-                    np.divide(y[gates : 3 * HIDDEN], new, out=new)
-                    new += x[gates:, t : t + m]
-                    np.exp(new, out=new)
+                h, z, new = state[:-1], zr[:HIDDEN], zr[HIDDEN:]
+                for step, t in enumerate(order):
+                    if step:
+                        np.add(x[:gates, t : t + m], y[:gates], out=zr)
+                        np.exp(zr, out=zr)
+                        zr += np.float32(1)
+                        np.divide(y[gates : 3 * HIDDEN], new, out=new)
+                        new += x[gates:, t : t + m]
+                        np.exp(new, out=new)
+                    else:  # a state of 0 gives the gates nothing, and leaves nothing to reset
+                        np.exp(x[:HIDDEN, t : t + m], out=z)
+                        z += np.float32(1)
+                        np.exp(x[gates:, t : t + m], out=new)
                     new += np.float32(1)
                     np.divide(np.float32(1), new, out=new)
                     h -= new
-                    h /= zr[:HIDDEN]
+                    h /= z
                     h += new
-                    np.matmul(both[k], state, out=y)
+                    rows = slice(0 if step < WINDOW - 1 else 3 * HIDDEN, None)  # the last state has no step after it
+                    np.matmul(both[k][rows], state, out=y[rows])
                     if k == 0:
                         seen[t] = y[3 * HIDDEN :]
                         continue
@@ -385,7 +404,7 @@ class Scorer:
             self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), 6 * HIDDEN), np.float32)])
         for i in range(0, len(words), 1 << 13):
             rows = np.arange(i, min(i + (1 << 13), len(words)))
-            self.table[self.filled + rows] = self.net.project(words[rows], chars.of(rows))
+            self.table[self.filled + i : self.filled + i + len(rows)] = self.net.project(words[rows], chars.of(rows))
         self.filled = need
         return _sigmoid(np.maximum.reduceat(stream.logits(self.net, self.table), stream.first).astype(np.float64))
 

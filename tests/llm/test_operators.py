@@ -721,3 +721,16 @@ def test_pipeline(spark, docs, tmp_path):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_toxicity_tells_the_features_of_new_words_at_once(monkeypatch):
+    """Words met together have the features of each by itself, and no call for each word."""
+    each = toxicity.word_features
+    monkeypatch.setattr(toxicity, "word_features", lambda w: pytest.fail("a call for each word"))
+    v = toxicity.Vocabulary()
+    assert len(v.features()[0]) == 0 and len(v.numbers("... ΑΣ. ΣΑΣΑ İx <> <a>b 中 Word, word é x\x00y")) == 11
+    names = list(v.new)
+    words, chars = v.features()
+    assert len(names) == 11 and v.new == []
+    for i, w in enumerate(names):
+        assert (words[i], chars.flat[chars.start[i] : chars.start[i] + chars.count[i]].tolist()) == (each(w)[0], each(w)[1] or [0])
