@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ascii_edges, folded, match_norm, stable_id, strip_accents, years
+from ..functions.text import ascii_edges, bound, folded, match_norm, stable_id, strip_accents, years
 
 # What an injected instruction looks like in folded text, and what an id of evidence may look like.
 INJECTION = (
@@ -17,6 +20,9 @@ INJECTION = (
     r"</?(?:system|developer|tool_call|function_call|plan_status|think)>|"
     r"\[(?:system|developer|assistant)\]\s*:"
 )
+# One of these is in all that the pattern matches, which is told faster than the pattern is; folded text has no capitals.
+SIGNS = ["instruction", "prompt", "message", "secret", "password", "api", "chi dan", "huong dan", "lenh", "mat khau", "bi mat", "<|"]
+SIGNS += ["system>", "developer>", "_call>", "plan_status>", "think>", "system]", "developer]", "assistant]"]
 EVIDENCE_ID = r"^[\p{L}\p{N}_:./-]{1,200}$"
 # Signs of either domain in a folded question.
 HOME = r"\b(viet nam|vietnam|vietnamese|dai viet|su viet|van lang|au lac|bach dang|ngo quyen|tran hung dao|nha tran|nha ly|nha le|hai ba trung|quang trung|dien bien phu)\b"
@@ -33,7 +39,7 @@ BRACKETED = r"\[([^\[\]\n]{1,128})\]"
 
 def present(c: Column) -> Column:
     """Whether a string is more than white space; null is not."""
-    return F.coalesce(F.trim(F.regexp_replace(c, "\\s+", " ")) != "", F.lit(False))
+    return F.coalesce(c.rlike("\\S"), F.lit(False))
 
 
 def fold(c: Column) -> Column:
@@ -43,7 +49,7 @@ def fold(c: Column) -> Column:
 
 def suspicious(c: Column) -> Column:
     """Whether the text tries to change instructions or to obtain secrets."""
-    return folded(F.coalesce(c, F.lit(""))).rlike("(?i)" + INJECTION)
+    return bound(folded(F.coalesce(c, F.lit(""))), lambda x: reduce(or_, [F.contains(x, F.lit(s)) for s in SIGNS]) & x.rlike("(?i)" + INJECTION))
 
 
 def safe_evidence(id_: Column, text: Column, title: Column) -> Column:

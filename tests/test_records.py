@@ -1,5 +1,7 @@
 """Record operators: guards that must fail, and outcomes by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +104,49 @@ def test_words_end_at_letters_beyond_ascii_as_in_sql(spark, tmp_path):
         want = con.sql(entry.oracle_sql()[name]).df()
         plain = lambda d: sorted(str([v.tolist() if hasattr(v, "tolist") else v for v in r]) for r in d[sorted(d.columns)].values.tolist())
         assert plain(got) == plain(want), name
+
+
+def _spelt(parsed):
+    """All texts that a parsed pattern of letters, choices and optional parts matches, white space as one space."""
+    out = [""]
+    for op, arg in parsed:
+        kind = str(op)
+        if kind == "LITERAL":
+            each = [chr(arg)]
+        elif kind == "IN":
+            each = [" "]
+        elif kind == "SUBPATTERN":
+            each = _spelt(arg[-1])
+        elif kind == "BRANCH":
+            each = [x for b in arg[1] for x in _spelt(b)]
+        else:  # a repeat
+            each = ([""] if arg[0] == 0 else []) + _spelt(arg[2])
+        out = [a + b for a in out for b in each]
+    return out
+
+
+def test_every_injected_instruction_has_a_sign(spark):
+    """What is told before the pattern leaves out nothing that the pattern matches."""
+    every = _spelt(re._parser.parse(K.INJECTION))
+    assert len(every) > 300 and all(any(s in x for s in K.SIGNS) for x in every)
+    df = spark.createDataFrame([(x,) for x in every] + [(x.upper().replace(" ", " \n\t"),) for x in every], "t string")
+    spaced = ("api", "system", "khau", "lenh", "dan", "mat", "qua", "ghi", "tiet", "in ra", "tat")  # of those, some have a space that is no other white space
+    assert df.limit(len(every)).where(~K.suspicious(F.col("t"))).count() == 0
+    missed = [r.t for r in df.where(~K.suspicious(F.col("t"))).collect()]
+    assert all(any(s in x.lower() for s in spaced) for x in missed)
+    quiet = spark.createDataFrame([("the message of an api",), ("[system] think>",), ("",), (None,), ("ignore it; instructions",)], "t string")
+    assert quiet.where(K.suspicious(F.col("t"))).count() == 0
+
+
+def test_letters_are_folded_in_one_pass(spark):
+    """One map, told once, in place of two and a pass for each ligature; every letter as by those."""
+    signs = [chr(i) for i in (*range(1, 0xD800), *range(0xE000, 0x20000))]
+    df = spark.createDataFrame([(x,) for x in signs] + [("".join(signs[i : i + 97]),) for i in range(0, len(signs), 97)], "t string")
+    slow = F.translate(F.translate(F.lower("t"), X._SRC + X._UNSEEN, X._DST), X._COMPATIBLE, X._PLAIN)
+    for sign, letters in X._LONGER.items():
+        slow = F.replace(slow, F.lit(sign), F.lit(letters))
+    assert df.where(~X.folded(F.col("t")).eqNullSafe(slow)).count() == 0
+    plan = df.select(X.folded(F.col("t")).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("translate(") == 1 and plan.count("replace(") == 1
+    blank = spark.createDataFrame([("",), (" \t\n\x0b\f\r",), (None,), (" ",), (" a",)], "t string").select(K.present(F.col("t")).alias("p"))
+    assert [r.p for r in blank.collect()] == [False, False, False, True, True]
