@@ -158,3 +158,18 @@ def test_lists_meet_few_queries_at_a_time(spark, vectors, tmp_path, monkeypatch)
     at, row, score = R.best_rows(rows[:5], rows, 4, 6)
     want = np.round(rows[:5] @ rows.T, 6)
     assert all(np.allclose(sorted(score[at == i]), np.sort(want[i])[-4:]) for i in range(5))
+
+
+def test_scores_are_rounded_to_one_number_of_places_after_another(spark, tmp_path):
+    """backend_overlap's coarse scores are those of six decimals: 1.2349996 is 1.235 and then 1.24, as 1.236 is, not 1.23."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    score = {0: 2.0, 11: 1.2349996, 12: 1.236}
+    rows = [(i, [1.0, score.get(i, 5.0 if i < 9 else 0.0) - 1], 0) for i in range(20)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()["backend_overlap"]).fetchall()
+    assert sorted(map(tuple, entry.queries()["backend_overlap"](spark, str(tmp_path)).collect())) == sorted(want) and want[0][1] == 0.9
