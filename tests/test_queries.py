@@ -164,3 +164,43 @@ def test_rouge_l_of_long_answers_against_dynamic_programming(spark):
     assert time.time() - began < 30
     for i, x, y in rows[:63] + rows[63:64]:
         assert got[i] == (None if x is None else pytest.approx(brute(x, y), abs=1e-12))
+
+
+def test_ratios_are_those_of_difflib():
+    """Also with more places of equal letters than are looked through at once; long texts that match nowhere take no time."""
+    import random
+    import time
+    from difflib import SequenceMatcher
+
+    from quarryline.functions import matching
+
+    r = random.Random(3)
+    for n in range(300):
+        words = ["".join(r.choice(("ab", "abcdefghijklmnopqrstuvwxyz0123456789", "aé漢😀bc ")[n % 3]) for _ in range(r.randint(1, 9))) for _ in range(r.choice([5, 60, 300]))]
+        a = [r.choice(words) for _ in range(r.choice([0, 1, 5, 30, 120, 400]))]
+        b = [w for w in a if r.random() > 0.04 * (n % 4)]
+        b = b[len(b) // 7 :] + b[: len(b) // 7] if n % 5 == 0 else b
+        a, b = " ".join(a), " ".join(b)
+        want = SequenceMatcher(None, a, b).ratio()
+        assert [matching.ratio(a, b, least) for least in (0.0, 0.5, 0.88)] == [want if want > least - 1e-6 else 0.0 for least in (0.0, 0.5, 0.88)]
+    points, matching.POINTS = matching.POINTS, 0
+    assert matching.ratio(a, b, 0.0) == want
+    matching.POINTS = points
+    words = ["".join(r.choice("etaoinshrdlu" * 4 + "bcfgjkmpqvwxyz") for _ in range(6)) for _ in range(1500)]
+    pairs = [(" ".join(words), " ".join(r.sample(words, len(words)))) for _ in range(20)]
+    began = time.time()
+    got = U._ratios(0.88)([a for a, _ in pairs], [b for _, b in pairs])
+    assert time.time() - began < 4 and not got["ratio"].any()
+
+
+def test_terms_of_one_pass_are_those_of_the_columns(spark):
+    from pyspark.sql import functions as F
+
+    from quarryline.functions import text as X
+    from quarryline.functions import unicode as W
+
+    texts = ["Álpha  beta, a B2-x đường ŒUVRE ﬁn K", "", None, "  ", "a b", "ΑΒΓ άλφα é", "x́yz İstanbul ퟿𝐀 ok\x00ok"]
+    d = spark.createDataFrame([(x,) for x in texts], "text string").withColumn("w", W.norm_and_terms(F.col("text")))
+    terms = F.array_sort(F.array_distinct(X.terms(F.col("text"))))
+    got = d.select("w.*", X.match_norm(F.col("text")).alias("n"), F.to_json(terms).alias("t"), U.set_key(X.terms(F.col("text"))).alias("k")).collect()
+    assert all((x.norm, x.tokens, x.key) == (x.n, x.t, x.k) for x in got), got
