@@ -157,3 +157,20 @@ def test_batches_of_texts_with_a_common_word(spark, tmp_path):
             if before and a and b and len(a & b) / len(a | b) >= 0.6:
                 want.add((i, j, round(len(a & b) / len(a | b), 6)))
     assert got == want
+
+
+def test_merged_batches_compare_whole_texts(spark, tmp_path):
+    """Texts that begin alike and go on differently are no near copies; those that differ at the beginning alone are."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    head, rest = [f"h{i}" for i in range(12)], [f"w{i}" for i in range(60)]
+    texts = [head + rest, head + [f"x{i}" for i in range(60)], [f"g{i}" for i in range(12)] + rest, ['say "a"\\', *rest, *rest], ['say "a"\\', *rest], head[:9] + head]
+    rows = [(i, "\x0b".join([" ".join(x), "end"]), "en", "src0") for i, x in enumerate([*texts, None, texts[1], [""]]) if x is not None]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = [(a, b, kind, float(s)) for a, b, kind, s in con.execute(entry.oracle_sql()["merged_batches"]).fetchall()]
+    got = sorted(map(tuple, entry.queries()["merged_batches"](spark, str(tmp_path)).collect()))
+    assert got == sorted(want) and {(2, 0), (3, 0), (3, 2), (4, 3)} <= {(x[0], x[1]) for x in got} and (1, 0) not in {(x[0], x[1]) for x in got}
